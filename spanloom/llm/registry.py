@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op10_byte_bpe
 from .mixing import OP2_SQL, op2_mixing
+from .secrets import op9_secrets
+from .simhash import op8_simhash
+from .token_store import op3_token_store
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_token_store": op3_token_store,
+    "op8_simhash": op8_simhash,
+    "op9_secrets": op9_secrets,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL = {
     "op2_mixing": OP2_SQL,
