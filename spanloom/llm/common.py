@@ -67,6 +67,7 @@ def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, so that tables with very long texts fit in a Python worker."""
+    """Arrow batches of few rows and bytes, so that tables with very long texts fit in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
