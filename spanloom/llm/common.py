@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +68,19 @@ def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts
     return spread.join(salted, [key, "_salt"], how).drop("_salt")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each SparkContext."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_spanloom_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name)
+        sc.addPyFile(made)
+        sc._spanloom_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows and bytes, so that tables with very long texts fit in a Python worker."""
+    """Arrow batches of few rows and bytes, so that tables with very long texts fit in a Python worker; and the package where the workers find it."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

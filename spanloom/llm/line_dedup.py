@@ -131,13 +131,13 @@ OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 h AS (
-  SELECT doc_id, lines, list_transform(lines, x -> ('0x' || substr(md5(x), 1, 7))::BIGINT) AS hs FROM l),
+  SELECT doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS hs FROM l),
 s AS (
-  SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), i -> i = 1 OR ((hs[i] * 1000003 + coalesce(hs[i + 1], 0)) % 2147483629) % 2 = 0) AS st FROM h),
+  SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: i = 1 OR ((hs[i] * 1000003 + coalesce(hs[i + 1], 0)) % 2147483629) % 2 = 0) AS st FROM h),
 b AS (
-  SELECT doc_id, lines, flatten(list_transform(range(1, len(st) + 1), k -> range(st[k], coalesce(st[k + 1], len(lines) + 1), 16))) AS st FROM s),
+  SELECT doc_id, lines, flatten(list_transform(range(1, len(st) + 1), lambda k: range(st[k], coalesce(st[k + 1], len(lines) + 1), 16))) AS st FROM s),
 c AS (
-  SELECT doc_id, unnest(list_transform(range(1, len(st) + 1), k -> {'pos': k, 'line': st[k], 'n': coalesce(st[k + 1], len(lines) + 1) - st[k],
+  SELECT doc_id, unnest(list_transform(range(1, len(st) + 1), lambda k: {'pos': k, 'line': st[k], 'n': coalesce(st[k + 1], len(lines) + 1) - st[k],
          'text': array_to_string(lines[st[k]:coalesce(st[k + 1], len(lines) + 1) - 1], chr(10))})) AS c FROM b),
 o AS (
   SELECT doc_id, c.pos AS pos, c.line AS line, c.n AS n, c.text AS text,
@@ -145,6 +145,6 @@ o AS (
   FROM c WHERE c.n >= 2 OR len(regexp_extract_all(c.text, '[^\x20\x09-\x0D]+')) >= 50),
 g AS (SELECT doc_id, flatten(list(range(line, line + n))) AS gone, sum(n)::BIGINT AS lines_removed, count(*) AS chunks_removed FROM o WHERE nth > 1 GROUP BY doc_id)
 SELECT l.doc_id, len(lines)::BIGINT AS n_lines, coalesce(lines_removed, 0) AS lines_removed, coalesce(chunks_removed, 0) AS chunks_removed,
-       md5(array_to_string(list_filter(lines, (x, i) -> NOT coalesce(list_contains(gone, i), false)), chr(10))) AS text_md5
+       md5(array_to_string(list_filter(lines, lambda x, i: NOT coalesce(list_contains(gone, i), false)), chr(10))) AS text_md5
 FROM l LEFT JOIN g USING (doc_id)
 """

@@ -307,7 +307,7 @@ OP5_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
 s AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, from_hex(sha1(html))::BIT::VARCHAR AS bits, last FROM p)
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), j -> substr(bits, (i * 5 + j)::INT, 1)::INT * (32 >> j)))::INT, 1)), '') AS payload_digest,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: substr(bits, (i * 5 + j)::INT, 1)::INT * (32 >> j)))::INT, 1)), '') AS payload_digest,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to, true AS intact
 FROM s
