@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, let, table, written
 
-#: A chunk begins at one line in so many, and has at most so many lines.
-SPACING = 2
+#: A chunk begins at MARKS of SPACING lines, about, and has at most MOST_LINES. Short chunks lose little at the ends of a passage.
+MARKS, SPACING = 2, 3
 MOST_LINES = 16
-#: A chunk can be removed if it has so many lines, or so many words.
+#: A chunk can be removed if it has so many lines, or so many words (then a line may be a chunk).
 LEAST_LINES = 2
-LEAST_WORDS = 50
+LEAST_WORDS = 20
 #: The rolling hash of two lines: the first's hash times the factor plus the second's, modulo a prime.
 FACTOR, PRIME = 1_000_003, 2_147_483_629
 
@@ -35,7 +35,7 @@ def chunk_starts(lines: Column) -> Column:
     def by_hash(hashes: Column) -> Column:
         def begins(_line, i: Column) -> Column:
             rolling = (F.element_at(hashes, i + 1) * FACTOR + F.coalesce(F.get(hashes, i + 1), F.lit(0))) % PRIME
-            return F.when((i == 0) | (rolling % SPACING == 0), i + 1)
+            return F.when((i == 0) | (rolling % SPACING < MARKS), i + 1)
 
         return F.filter(F.transform(hashes, begins), lambda s: s.isNotNull())
 
@@ -133,7 +133,7 @@ WITH l AS (
 h AS (
   SELECT doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS hs FROM l),
 s AS (
-  SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: i = 1 OR ((hs[i] * 1000003 + coalesce(hs[i + 1], 0)) % 2147483629) % 2 = 0) AS st FROM h),
+  SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: i = 1 OR ((hs[i] * 1000003 + coalesce(hs[i + 1], 0)) % 2147483629) % 3 < 2) AS st FROM h),
 b AS (
   SELECT doc_id, lines, flatten(list_transform(range(1, len(st) + 1), lambda k: range(st[k], coalesce(st[k + 1], len(lines) + 1), 16))) AS st FROM s),
 c AS (
@@ -142,7 +142,7 @@ c AS (
 o AS (
   SELECT doc_id, c.pos AS pos, c.line AS line, c.n AS n, c.text AS text,
          row_number() OVER (PARTITION BY c.text ORDER BY doc_id, c.pos) AS nth
-  FROM c WHERE c.n >= 2 OR len(regexp_extract_all(c.text, '[^\x20\x09-\x0D]+')) >= 50),
+  FROM c WHERE c.n >= 2 OR len(regexp_extract_all(c.text, '[^\x20\x09-\x0D]+')) >= 20),
 g AS (SELECT doc_id, flatten(list(range(line, line + n))) AS gone, sum(n)::BIGINT AS lines_removed, count(*) AS chunks_removed FROM o WHERE nth > 1 GROUP BY doc_id)
 SELECT l.doc_id, len(lines)::BIGINT AS n_lines, coalesce(lines_removed, 0) AS lines_removed, coalesce(chunks_removed, 0) AS chunks_removed,
        md5(array_to_string(list_filter(lines, lambda x, i: NOT coalesce(list_contains(gone, i), false)), chr(10))) AS text_md5
