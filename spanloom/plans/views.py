@@ -1,0 +1,136 @@
+"""The driver's tables seen as spans, traces, findings and turns.
+
+flat() is one SQL text for both engines: the placeholders in braces are tables, and days and epoch differ.
+spans() dresses its rows up as the nested model.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
+
+RAW = """
+SELECT CAST(l_orderkey AS STRING) AS trace_id,
+  concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS span_id,
+  CASE WHEN l_linenumber = 1 THEN NULL ELSE concat(CAST(l_orderkey AS STRING), '-', CAST(CAST(floor(l_linenumber / 2) AS INT) AS STRING)) END AS parent_span_id,
+  concat('step-', CAST(l_partkey % 5 AS STRING)) AS name,
+  CASE l_linenumber % 6 WHEN 1 THEN 'llm' WHEN 2 THEN 'retriever' WHEN 3 THEN 'tool' WHEN 4 THEN 'agent' WHEN 5 THEN 'guardrail' ELSE 'chain' END AS kind,
+  CAST({days} AS BIGINT) * 86400000 + l_linenumber * 1000 AS start_ms,
+  CAST({days} AS BIGINT) * 86400000 + l_linenumber * 1000 + CAST(l_quantity * 40 AS BIGINT) AS end_ms,
+  l_quantity * 40 AS duration_ms,
+  CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN
+    CASE l_suppkey % 5 WHEN 0 THEN 'request timed out' WHEN 1 THEN 'Rate limit reached' WHEN 2 THEN 'Unauthorized' ELSE 'failed' END END AS status_message,
+  CASE WHEN l_suppkey % 7 = 0 THEN 429 WHEN l_suppkey % 7 = 1 THEN 401 WHEN l_suppkey % 7 = 2 THEN 500 END AS http_status,
+  c_mktsegment AS service, r_name AS environment, CAST(o_custkey AS STRING) AS session_id, o_orderpriority AS route,
+  CAST(floor(l_extendedprice) AS BIGINT) AS input_tokens, CAST(floor(l_quantity) AS BIGINT) AS output_tokens,
+  CAST(floor(l_extendedprice / (2 + l_suppkey % 60)) AS BIGINT) AS cache_read_tokens,
+  CASE WHEN l_partkey % 9 = 0 THEN 'gpt-4o-mini-x' WHEN l_partkey % 9 = 1 THEN 'GPT-4o' WHEN l_partkey % 9 = 2 THEN 'text-embedding-3-large' ELSE p_brand END AS model,
+  CASE WHEN l_partkey % 7 = 0 THEN 'length' ELSE 'stop' END AS finish_reason,
+  100000 AS context_limit,
+  p_type AS tool_name, concat('q', CAST(l_suppkey % 3 AS STRING)) AS tool_arguments, l_suppkey % 4 = 0 AS mutating, l_suppkey % 8 = 0 AS privileged,
+  CASE WHEN l_partkey % 11 = 0 THEN 'bad' END AS tool_error, CAST(1 + l_suppkey % 4 AS INT) AS attempt, l_partkey % 5 = 0 AS unlisted,
+  n_name AS index_name, 1 - l_discount AS top1_score, CAST(l_quantity % 6 AS INT) AS n_docs,
+  CAST(l_quantity % 10 AS INT) AS iteration, CAST(l_partkey % 4 AS INT) AS n_done, l_suppkey % 3 = 0 AS terminated,
+  l_suppkey % 2 = 0 AS blocked, o_custkey % 3 = 0 AS read_only,
+  l_partkey, l_suppkey, l_linenumber, CAST(l_shipdate AS TIMESTAMP) AS shipped, l_extendedprice
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+  JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey JOIN {part} ON l_partkey = p_partkey
+"""
+#: Arrival order of rows with one span_id.
+ARRIVAL = ("l_partkey", "l_suppkey", "shipped", "l_extendedprice")
+
+
+def duck(sql: str) -> str:
+    """sql for DuckDB on the driver's views."""
+    return sql.replace("{days}", "date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))").format(**{t: t for t in TABLES})
+
+
+#: CTEs for DuckDB: raw rows, and spans after deduplication.
+DUCK_RAW = "raw AS (" + duck(RAW) + ")"
+DUCK_SPANS = DUCK_RAW + f", spans AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY {', '.join(ARRIVAL)}) AS rn FROM raw) WHERE rn = 1)"
+
+
+def flat_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 with repeated span ids."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    return spark.sql(RAW.replace("{days}", "datediff(CAST(o_orderdate AS DATE), DATE '1970-01-01')"), **tables)
+
+
+def dressed(flat: DataFrame) -> DataFrame:
+    """Flat rows as nested spans; the flat columns that no payload holds are left out."""
+    is_kind = lambda *k: F.col("kind").isin(*k)
+    attributes = F.map_filter(
+        F.create_map(
+            F.lit("http.status_code"), F.col("http_status").cast("string"),
+            F.lit("route"), F.col("route"),
+            F.lit("guardrail.blocked"), F.when(is_kind("guardrail"), F.col("blocked").cast("string")),
+            F.lit("task.class"), F.when(F.col("read_only"), F.lit("read-only")),
+        ),
+        lambda _k, v: v.isNotNull(),
+    )
+    null = lambda t: F.lit(None).cast(t)
+    messages = null("array<struct<role:string,content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>>")
+    llm = F.struct(
+        null("string").alias("provider"), F.col("model").alias("request_model"), null("string").alias("response_model"), "input_tokens", "output_tokens", "cache_read_tokens",
+        F.lit(0).cast("long").alias("cache_creation_tokens"), null("long").alias("reasoning_tokens"), "finish_reason", null("double").alias("temperature"), null("long").alias("max_tokens"),
+        F.col("context_limit").cast("long").alias("context_limit"), null("string").alias("system_instructions"), null("long").alias("input_message_count"),
+        messages.alias("input_messages"), messages.alias("output_messages"), null("string").alias("reasoning_text"), null("double").alias("cost_usd"),
+    )
+    document = lambda i: F.struct(F.concat(F.lit("d"), i.cast("string")).alias("id"), (F.col("top1_score") - i * 0.01).alias("score"), null("string").alias("content"), null("map<string,string>").alias("metadata"), null("long").alias("timestamp_ms"))
+    documents = F.when(F.col("n_docs") > 0, F.transform(F.sequence(F.lit(0), F.col("n_docs") - 1), document)).otherwise(F.array().cast("array<struct<id:string,score:double,content:string,metadata:map<string,string>,timestamp_ms:bigint>>"))
+    retrieval = F.struct(F.col("tool_arguments").alias("query"), "index_name", F.lit(5).alias("top_k"), F.lit(0.93).alias("score_threshold"), documents.alias("documents"))
+    tool = F.struct(
+        "tool_name", null("string").alias("tool_type"), F.col("tool_arguments").alias("arguments"), null("string").alias("result"), F.col("tool_error").alias("error"), "attempt", "mutating", "privileged",
+        null("string").alias("parameter_schema"), F.when(F.col("unlisted"), F.array(F.lit("other"))).otherwise(F.array(F.lit("other"), F.col("tool_name"))).alias("available_tools"),
+    )
+    agent = F.struct(
+        F.col("name").alias("agent_name"), null("string").alias("agent_role"), F.lit("finish a, b and c").alias("objective"), "iteration", F.lit(8).alias("max_iterations"),
+        F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("declared_subtasks"), F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), F.col("n_done")).alias("completed_subtasks"),
+        "terminated", null("string").alias("reasoning_text"),
+    )
+    return flat.select(
+        "span_id", "trace_id", "parent_span_id", "name", "kind", "start_ms", "end_ms", "duration_ms", "status", "status_message", attributes.alias("attributes"),
+        F.array().cast("array<struct<name:string,timestamp_ms:bigint,attributes:map<string,string>>>").alias("events"),
+        F.when(is_kind("llm"), llm).alias("llm"), F.when(is_kind("retriever"), retrieval).alias("retrieval"), F.when(is_kind("tool"), tool).alias("tool"), F.when(is_kind("agent"), agent).alias("agent"),
+        "service", "environment", "session_id", F.lit(None).cast("long").alias("received_ms"),
+    )
+
+
+def deduplicated(raw: DataFrame) -> DataFrame:
+    first = Window.partitionBy("span_id").orderBy(*ARRIVAL)
+    return raw.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1, deduplicated, as nested spans."""
+    return dressed(deduplicated(flat_raw(spark, sf_dir)))
+
+
+#: V2: each event as a finding-like row of a trace of its own, for both engines.
+EVENTS = """
+SELECT CAST(event_id AS STRING) AS trace_id, CAST(user_id AS STRING) AS user_id, event_type AS service, {epoch} AS start_ms, value AS cost_usd,
+  CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, CAST(user_id % 5 AS STRING) AS route
+FROM {events}
+"""
+DUCK_EVENTS = "ev AS (" + EVENTS.replace("{epoch}", "epoch_ms(ts)").replace("{events}", "events") + ")"
+
+
+def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EVENTS.replace("{epoch}", "unix_millis(CAST(ts AS TIMESTAMP))"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+#: V3: conversation turns as traces of a session, for both engines.
+TURNS = """
+SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS trace_id, CAST(conv_id AS STRING) AS session_id, conv_id * 86400000 + turn * 60000 AS start_ms,
+  CAST(CASE WHEN (conv_id * 7 + turn) % 5 = 0 THEN 1 ELSE turn + 1 END AS BIGINT) AS message_count, role, text
+FROM {conversations}
+"""
+DUCK_TURNS = "turns AS (" + TURNS.replace("{conversations}", "conversations") + ")"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(TURNS, conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
