@@ -4,7 +4,7 @@ Every line has a hash. A rolling hash over the hashes of a line and the one afte
 begins at the line, so that a passage is cut alike wherever it stands in a document: lines put in before or after
 it move no boundary inside. Of chunks that recur anywhere in the corpus all but the first occurrence are removed,
 after their bytes are found equal; chunks of one short line stay, as such lines recur by chance. The work is
-column expressions, a count by chunk hash, and joins of the chunks whose hash recurs.
+column expressions, counts by chunk hashes, and one join of the texts with the places of their recurring chunks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, table, written
+from .common import WORD, let, lookup, table, written
 
 #: A chunk begins at MARKS of SPACING lines, about, and has at most MOST_LINES. Short chunks lose little at the ends of a passage.
 MARKS, SPACING = 2, 3
@@ -70,22 +70,34 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def chunk_text(lines: Column, line: Column, n_lines: Column) -> Column:
+    return F.array_join(F.slice(lines, line, n_lines), "\n")
+
+
 def removable(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, pos, line, n_lines, hash, text of the chunks that may be removed."""
+    """row_key, doc_id, pos, line, n_lines and two hashes (h1, h2) of the chunks that may be removed."""
     c = chunked(docs).select("row_key", "doc_id", F.explode("chunks").alias("c")).select("row_key", "doc_id", "c.*")
-    return c.where((F.col("n_lines") >= LEAST_LINES) | (F.regexp_count("text", F.lit(WORD)) >= LEAST_WORDS)).withColumn("hash", F.xxhash64("text"))
+    c = c.where((F.col("n_lines") >= LEAST_LINES) | (F.regexp_count("text", F.lit(WORD)) >= LEAST_WORDS))
+    return c.select("row_key", "doc_id", "pos", "line", "n_lines", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+
+
+def recurring(docs: DataFrame) -> DataFrame:
+    """row_key and again: the document's chunks whose hashes recur, as (line, n_lines, h1, h2, first); first is the occurrence with the least (doc_id, pos), rows without an id before others."""
+    keys = written(removable(docs), "line-chunks")
+    firsts = keys.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "row_key")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    found = keys.join(firsts, ["h1", "h2"])
+    first = (F.col("row_key") == F.col("head.row_key")) & (F.col("pos") == F.col("head.pos"))
+    return found.groupBy("row_key").agg(F.collect_set(F.struct("line", "n_lines", "h1", "h2", first.alias("first"))).alias("again"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """row_key, pos, line, n_lines of every occurrence that goes: a chunk equal, byte by byte, to an earlier one in order of (doc_id, pos), rows without an id first."""
-    chunks = removable(docs)
-    keys = chunks.select("row_key", "doc_id", "pos", "line", "n_lines", "hash")
-    recurring = keys.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    again = chunks.join(recurring, "hash", "left_semi")
-    firsts = again.groupBy("hash", "text").agg(F.min(F.struct("doc_id", "pos", "row_key")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.withColumnRenamed("text", "same")
-    gone = again.join(firsts, (again["hash"] == firsts["hash"]) & (again["text"] == firsts["same"]))
-    return gone.where((F.col("row_key") != F.col("first.row_key")) | (F.col("pos") != F.col("first.pos"))).select("row_key", "pos", "line", "n_lines")
+def unequal(marked: DataFrame) -> DataFrame:
+    """row_key and keep: chunks whose hashes recur with other bytes somewhere. All occurrences of a pair of hashes are compared, as the least and the greatest text of the pair; where two differ, none of the pair is taken for a repeat."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    texts = F.transform("_again", lambda a: F.struct(a["h1"].alias("h1"), a["h2"].alias("h2"), chunk_text(lines, a["line"], a["n_lines"]).alias("text")))
+    each = marked.where("_again is not null").select(F.explode(texts).alias("t")).select("t.*")
+    clash = each.groupBy("h1", "h2").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("h1", "h2")
+    held = marked.where("_again is not null").select("_key", F.explode("_again").alias("a")).select("_key", "a.h1", "a.h2")
+    return held.join(written(clash, "line-clash"), ["h1", "h2"]).groupBy("_key").agg(F.collect_set(F.struct("h1", "h2")).alias("_keep"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -96,10 +108,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     in id and text are one document: all of them keep what it is the first to have. Columns of docs named like
     the three counts are replaced by them.
     """
-    cols = [c for c in docs.columns if c not in ("n_lines", "lines_removed", "chunks_removed")]
-    gone = repeats(docs).groupBy("row_key").agg(F.collect_set(F.struct("line", "n_lines")).alias("_gone"))
+    cols = [c for c in docs.columns if c not in ("n_lines", "lines_removed", "chunks_removed", "_key", "_again", "_keep")]
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(*cols, row_key(F.col("doc_id"), text).alias("_key")).join(gone.withColumnRenamed("row_key", "_key"), "_key", "left")
+    again = written(recurring(docs), "line-again")
+    marked = docs.select(*cols, row_key(F.col("doc_id"), text).alias("_key")).join(again.withColumnRenamed("row_key", "_key").withColumnRenamed("again", "_again"), "_key", "left")
+    # the only time that whole texts are moved; what follows reads them from here
+    marked = written(marked, "line-marked")
+    d = lookup(marked, written(unequal(marked), "line-unequal"), "_key", "left")
+    sure = F.filter("_again", lambda a: ~a["first"] & ~F.coalesce(F.array_contains("_keep", F.struct(a["h1"].alias("h1"), a["h2"].alias("h2"))), F.lit(False)))
+    d = d.withColumn("_gone", F.when(F.size(sure) > 0, sure))
 
     def kept(v: Column) -> Column:
         lines = lambda g: F.sequence(g["line"], g["line"] + g["n_lines"] - 1)
