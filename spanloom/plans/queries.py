@@ -370,9 +370,9 @@ def trace_set(spark, d) -> DataFrame:
 
 TM = TRACES + ", " + METRICS + ", tm AS (SELECT t.*, cost_usd, input_tokens + output_tokens AS tokens FROM t JOIN m USING (trace_id))"
 ALL = TM + ", " + FOUND
-query("se3_list_sessions", on_spans("""SELECT session_id, min(service) AS service, min(environment) AS environment, count(*) AS traces, min(start_ms) AS first_seen_ms, max(end_ms) AS last_seen_ms, round(sum(cost_usd), 6) AS cost_usd, sum(tokens)::BIGINT AS tokens,
+query("se3_list_sessions", on_spans("""SELECT session_id, min(service) AS service, min(environment) AS environment, count(*) AS traces, min(start_ms) AS first_seen_ms, max(end_ms) AS last_seen_ms, round(sum(cost_usd), 4) AS cost_usd, sum(tokens)::BIGINT AS tokens,
  coalesce(sum(n), 0)::BIGINT AS findings, count(*) FILTER (status = 'error') AS errors, CASE max(r) WHEN 3 THEN 'high' WHEN 4 THEN 'critical' END AS worst_severity
- FROM tm LEFT JOIN (SELECT trace_id, count(*) AS n, max(rank) AS r FROM fr GROUP BY 1) USING (trace_id) GROUP BY 1 HAVING count(*) >= 2 ORDER BY last_seen_ms DESC, session_id LIMIT 100""", ALL))(lambda spark, d: rounded(sessions.list_sessions(trace_set(spark, d), finding_set(spark, d), 2, limit=100), "cost_usd"))
+ FROM tm LEFT JOIN (SELECT trace_id, count(*) AS n, max(rank) AS r FROM fr GROUP BY 1) USING (trace_id) GROUP BY 1 HAVING count(*) >= 2 ORDER BY last_seen_ms DESC, session_id LIMIT 100""", ALL))(lambda spark, d: rounded(sessions.list_sessions(trace_set(spark, d), finding_set(spark, d), 2, limit=100), "cost_usd", places=4))
 query("se4_session_detail", on_spans("SELECT trace_id, start_ms, status FROM t WHERE session_id = '7' ORDER BY 2, 1 LIMIT 200", TRACES))(lambda spark, d: sessions.session_detail(trace_set(spark, d), finding_set(spark, d), "7")[0].select("trace_id", "start_ms", "status"))
 
 # --- attribution, incidents, cohorts

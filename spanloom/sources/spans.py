@@ -150,16 +150,16 @@ def normalise_openinference(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         null("bigint").alias("cache_read_tokens"), null("bigint").alias("cache_creation_tokens"), null("bigint").alias("reasoning_tokens"), null("string").alias("finish_reason"), null("double").alias("temperature"), null("bigint").alias("max_tokens"), null("bigint").alias("context_limit"),
         null("string").alias("system_instructions"), F.when(at("input.value").isNotNull(), F.lit(1).cast("long")).alias("input_message_count"), message("input.value", "user").alias("input_messages"), message("output.value", "assistant").alias("output_messages"), null("string").alias("reasoning_text"), null("double").alias("cost_usd"),
     )
-    retrieval = F.struct(at("input.value").alias("query"), null("string").alias("index_name"), null("int").alias("top_k"), null("double").alias("score_threshold"), docs.alias("documents"))
+    retrieval = F.struct(at("input.value").alias("query"), null("string").alias("index_name"), null("int").alias("top_k"), null("double").alias("score_threshold"), F.col("_docs").alias("documents"))
     tool = F.struct(F.coalesce(at("tool.name"), F.col("name")).alias("tool_name"), null("string").alias("tool_type"), at("input.value").alias("arguments"), at("output.value").alias("result"), *[null(t).alias(n) for n, t in (("error", "string"), ("attempt", "int"), ("mutating", "boolean"), ("privileged", "boolean"), ("parameter_schema", "string"), ("available_tools", "array<string>"))])
     passed = F.map_filter("attributes", lambda k, _v: ~k.rlike(r"^(openinference\.|llm\.|retrieval\.documents\.|input\.|output\.|tool\.)"))
     kind = F.when(declared.isin(*KINDS), declared).otherwise("unknown")
-    d = df.withColumn("_s", to_ms(F.col("start"))).withColumn("_e", to_ms(F.col("end"))).withColumn("_n", gap).withColumn("_kind", kind).withColumn("_llm", F.col("_kind") == "llm")
+    d = df.withColumn("_s", to_ms(F.col("start"))).withColumn("_e", to_ms(F.col("end"))).withColumn("_n", gap).withColumn("_docs", docs).withColumn("_kind", kind).withColumn("_llm", F.col("_kind") == "llm")
     good = d.where("_s is not null and _e is not null").select(
         "span_id", "trace_id", "parent_span_id", F.coalesce("name", F.lit("span")).alias("name"), F.col("_kind").alias("kind"), F.col("_s").alias("start_ms"), F.col("_e").alias("end_ms"), F.greatest(F.lit(0), F.col("_e") - F.col("_s")).cast("double").alias("duration_ms"),
         otel_status(F.col("status_code").cast("string")).alias("status"), "status_message", passed.alias("attributes"), F.when(F.col("_llm"), llm).cast(LLM).alias("llm"), F.when((F.col("_kind") == "retriever") | (F.col("_n") > 0), retrieval).cast(RETRIEVAL).alias("retrieval"), F.when(F.col("_kind") == "tool", tool).cast(TOOL).alias("tool"), at("session.id").alias("session_id"),
     )
-    return finish(good), d.where("_s is null or _e is null").drop("_s", "_e", "_n", "_kind", "_llm")
+    return finish(good), d.where("_s is null or _e is null").drop("_s", "_e", "_n", "_docs", "_kind", "_llm")
 
 
 def normalise_responses(df: DataFrame, provider: str, body: str = "response") -> DataFrame:
