@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, written
-from .vectors import PAGE_ROWS, Tops, best, calls, k_means, matrix, merged, nearest, packed, query_blocks, sample, usable, with_pages
+from .vectors import PAGE_ROWS, Tops, add, best, k_means, matrix, nearest, packed, query_blocks, sample, search_pairs, usable, with_pages
 
 #: One list for so many vectors, at most so many.
 LIST_ROWS, MOST_LISTS = 256, 1024
@@ -25,8 +25,9 @@ LIST_ROWS, MOST_LISTS = 256, 1024
 GROUP, WORDS = 4, 256
 #: Share of true neighbours whose lists a query should visit, as measured on the sample with so many queries.
 COVER, TRIALS = 0.97, 400
-#: Best codes of a page that are scored again, in multiples of k.
-RERANK = 4
+#: Best codes of a page that are scored again while a query has no k answers, in multiples of k; later those whose
+#: score by codes comes within so many standard errors of its k-th best.
+RERANK, ERRORS = 4, 3.0
 
 
 class Index:
@@ -38,6 +39,9 @@ class Index:
         self.groups = [range(i, min(i + GROUP, dim)) for i in range(0, dim, GROUP)]
         residual = x - self.centres[nearest(x, self.centres)]
         self.books = [k_means(residual[:, g], WORDS, 5) for g in self.groups]
+        # how far a score by codes is off, for a query of unit length
+        coded = np.concatenate([b[nearest(residual[:, g], b)] for g, b in zip(self.groups, self.books, strict=True)], axis=1)
+        self.error = float(np.sqrt(((residual - coded) ** 2).mean()))
         self.visits = self.measured(x, k)
 
     def measured(self, x: np.ndarray, k: int) -> int:
@@ -103,37 +107,39 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
             yield b[["vec_id", "cell", "vec"]].assign(cells=[packed(r) for r in mask])
 
     queries = assigned.where("is_query").select("vec_id", "cell", "vec").mapInPandas(route, "vec_id long, cell int, vec binary, cells binary")
-    blocks = query_blocks(queries, sizes, [])
-
-    def scan(batches):
-        tops, tables, of = Tops(k, np.float64), None, None
-        for b in batches:
-            for r in b.itertuples(index=False):
-                ids, q = np.frombuffer(r.ids, np.int64), np.frombuffer(r.vecs, np.float64).reshape(-1, dim)
-                members, stored = np.frombuffer(r.members, np.int64), np.frombuffer(r.stored, np.float64).reshape(-1, dim)
-                codes = np.frombuffer(r.codes, np.uint8).reshape(len(members), -1)
-                visit = np.flatnonzero(np.frombuffer(r.cells, bool).reshape(len(ids), -1)[:, r.cell])
-                if of != r.block:
-                    of, tables = r.block, index.value.tables(q)
-                pushed, best_ids, best_scores = tops.of(r.block, ids)
-                yield from pushed
-                columns = [np.ascontiguousarray(codes[:, g]) for g in range(codes.shape[1])]
-                most = RERANK * k
-                for i in visit:
-                    near = tables[0][i].take(columns[0])
-                    for t, c in zip(tables[1:], columns[1:], strict=True):
-                        near += t[i].take(c)
-                    # all members share a centroid, so its product with the query changes no order here
-                    chosen = merged(members, near, most) if len(members) > most else np.arange(len(members))
-                    chosen = chosen[members[chosen] != ids[i]]
-                    exact = stored[chosen] @ q[i]
-                    all_ids, all_scores = np.concatenate([best_ids[i], members[chosen]]), np.concatenate([best_scores[i], exact])
-                    keep = merged(all_ids, all_scores, k)
-                    best_ids[i], best_scores[i] = all_ids[keep], all_scores[keep]
+    n_all = sum(sizes.values())
+    asked = assigned.where("is_query").count() / n_all
+
+    def scan(pairs):
+        tops, of = Tops(k, -np.inf), None
+        for block, page in pairs:
+            if of is None or of[0] != block.block:
+                ids, q = np.frombuffer(block.ids, np.int64), np.frombuffer(block.vecs, np.float64).reshape(-1, dim)
+                mask = np.frombuffer(block.cells, bool).reshape(len(ids), -1)
+                of = (block.block, ids, q, mask, index.value.tables(q), q @ index.value.centres.T, ERRORS * index.value.error * np.sqrt((q * q).sum(1)))
+            _block, ids, q, mask, tables, by_centre, slack = of
+            pushed, best_ids, best_scores = tops.of(block.block, ids)
+            yield from pushed
+            visit = np.flatnonzero(mask[:, page.cell])
+            if not len(visit):
+                continue
+            members, stored = np.frombuffer(page.members, np.int64), np.frombuffer(page.stored, np.float64).reshape(-1, dim)
+            codes = np.frombuffer(page.codes, np.uint8).reshape(len(members), -1)
+            near = by_centre[visit, page.cell][:, None] + np.zeros(len(members))
+            for g, t in enumerate(tables):
+                near += t[visit].take(codes[:, g], axis=1)
+            floor = best_scores[visit, k - 1] - slack[visit]
+            most = RERANK * k
+            if len(members) > most and not np.isfinite(floor).all():
+                # without k answers yet: the best of the page by codes, all ties with the last of them included
+                empty = ~np.isfinite(floor)
+                floor[empty] = np.partition(near[empty], len(members) - most, axis=1)[:, len(members) - most]
+            rows, at = np.nonzero((near >= floor[:, None]) & (members[None, :] != ids[visit][:, None]))
+            rows = visit[rows]
+            add(best_ids, best_scores, rows, members[at], np.einsum("ij,ij->i", stored[at], q[rows]), -np.inf)
         yield from tops.rest()
 
-    pairs = calls(blocks, sizes).join(pages, ["cell", "page"]).select("block", "ids", "vecs", "cells", "cell", "members", "stored", "codes")
-    return best(pairs.mapInPandas(scan, "query_id long, vec_id long, score double"), k)
+    return best(search_pairs(query_blocks(queries, sizes, [], asked), pages, sizes, asked, scan, "query_id long, vec_id long, score double"), k)
 
 
 def op6_ann(spark, sf_dir: str) -> DataFrame:

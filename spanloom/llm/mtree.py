@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, written
-from .vectors import PAGE_ROWS, Tops, best, calls, k_means, matrix, merged, nearest, packed, query_blocks, sample, usable, with_pages
+from .vectors import PAGE_ROWS, Tops, best, k_means, matrix, merged, nearest, packed, query_blocks, sample, search_pairs, usable, with_pages
 
 SCALE = 1024
 #: One pivot for so many vectors, at most so many.
 PIVOT_ROWS, MOST_PIVOTS = 1024, 256
 #: Vectors in a leaf, at most.
 LEAF = 64
+LOWEST = np.iinfo(np.int64).min
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -146,24 +147,23 @@ def search(vectors: DataFrame, is_query, k: int, scale: int = SCALE) -> DataFram
     pages = with_pages(assigned.select("vec_id", "cell", "vec"), sizes, PAGE_ROWS).groupBy("cell", "page").applyInPandas(build, "cell int, page int, objects binary, leaves binary, members binary, stored binary, to_object binary")
     pages = written(pages, "mtree-pages")
 
-    def search_pairs(pairs: DataFrame) -> DataFrame:
-        def scan(batches):
-            tops = Tops(k, np.int64)
-            for b in batches:
-                for r in b.itertuples(index=False):
-                    ids, q = np.frombuffer(r.ids, np.int64), np.frombuffer(r.vecs, np.float64).reshape(-1, dim)
-                    floors = np.frombuffer(r.floor, np.float64)
-                    page = (np.frombuffer(r.objects, np.float64).reshape(-1, dim), np.frombuffer(r.leaves, np.float64).reshape(4, -1), np.frombuffer(r.members, np.int64), np.frombuffer(r.stored, np.float64).reshape(-1, dim), np.frombuffer(r.to_object, np.float64))
-                    visit = np.flatnonzero(np.frombuffer(r.cells, bool).reshape(len(ids), -1)[:, r.cell])
-                    pushed, best_ids, best_scores = tops.of(r.block, ids)
-                    yield from pushed
-                    to_pivot, q2 = np.sqrt(((q - pivots.value[r.cell]) ** 2).sum(1)), (q * q).sum(1)
-                    for i in visit:
-                        best_ids[i], best_scores[i] = search_page(q[i], q2[i], to_pivot[i], ids[i], floors[i], page, best_ids[i], best_scores[i], k)
-            yield from tops.rest()
-
-        return pairs.select("block", "ids", "vecs", "floor", "cells", "cell", "objects", "leaves", "members", "stored", "to_object").mapInPandas(scan, "query_id long, vec_id long, score long")
-
+    def scan(pairs):
+        tops = Tops(k, LOWEST)
+        for block, p in pairs:
+            ids, q = np.frombuffer(block.ids, np.int64), np.frombuffer(block.vecs, np.float64).reshape(-1, dim)
+            floors = np.frombuffer(block.floor, np.float64)
+            page = (np.frombuffer(p.objects, np.float64).reshape(-1, dim), np.frombuffer(p.leaves, np.float64).reshape(4, -1), np.frombuffer(p.members, np.int64), np.frombuffer(p.stored, np.float64).reshape(-1, dim), np.frombuffer(p.to_object, np.float64))
+            visit = np.flatnonzero(np.frombuffer(block.cells, bool).reshape(len(ids), -1)[:, p.cell])
+            pushed, best_ids, best_scores = tops.of(block.block, ids)
+            yield from pushed
+            to_pivot, q2 = np.sqrt(((q - pivots.value[p.cell]) ** 2).sum(1)), (q * q).sum(1)
+            for i in visit:
+                n = int((best_scores[i] > LOWEST).sum())
+                own_ids, own_scores = search_page(q[i], q2[i], to_pivot[i], ids[i], floors[i], page, best_ids[i, :n], best_scores[i, :n], k)
+                best_ids[i, : len(own_ids)], best_scores[i, : len(own_ids)] = own_ids, own_scores
+        yield from tops.rest()
+
+    answer = "query_id long, vec_id long, score long"
     queries = assigned.where("is_query").select("vec_id", "cell", "vec")
 
     def only_own(batches):
@@ -172,8 +172,9 @@ def search(vectors: DataFrame, is_query, k: int, scale: int = SCALE) -> DataFram
             yield b.assign(cells=[packed(r) for r in mask], floor=-np.inf)
 
     schema = "vec_id long, cell int, vec binary, cells binary, floor double"
-    first = calls(query_blocks(queries.mapInPandas(only_own, schema), sizes, ["floor"]), sizes).where("page = 0")
-    found = best(search_pairs(first.join(pages, ["cell", "page"])), k)
+    asked = assigned.where("is_query").count() / sum(sizes.values())
+    first = query_blocks(queries.mapInPandas(only_own, schema), sizes, ["floor"], asked)
+    found = best(search_pairs(first, pages.where("page = 0"), sizes, asked, scan, answer), k)
     floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")).distinct()
 
     def promising(batches):
@@ -187,7 +188,7 @@ def search(vectors: DataFrame, is_query, k: int, scale: int = SCALE) -> DataFram
             yield b.assign(cells=[packed(r) for r in mask], floor=floor)
 
     second = queries.join(floors, "vec_id", "left").mapInPandas(promising, schema)
-    return best(search_pairs(calls(query_blocks(second, sizes, ["floor"]), sizes).join(pages, ["cell", "page"])), k)
+    return best(search_pairs(query_blocks(second, sizes, ["floor"], asked), pages, sizes, asked, scan, answer), k)
 
 
 def op7_mtree(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 #: Rows in a page (a piece of a cell) and queries in a block, about.
 PAGE_ROWS = 1024
 BLOCK_QUERIES = 256
+#: Pages in a shard, and blocks in a group, about.
+SHARD_PAGES, GROUP_BLOCKS = 32, 64
 #: Values (rows times dimensions) at most in the sample on which cells are fitted, and rows at most.
 SAMPLE_VALUES, SAMPLE_ROWS = 4_000_000, 20_000
 
@@ -66,24 +68,55 @@ def with_pages(assigned: DataFrame, sizes: dict[int, int], rows: int, column: st
     return assigned.withColumn(column, F.pmod(F.xxhash64("vec_id"), F.element_at(pages, F.col("cell"))).cast("int"))
 
 
-def query_blocks(queries: DataFrame, sizes: dict[int, int], extra: list[str]) -> DataFrame:
-    """queries (vec_id, vec binary, cell, cells binary, *extra doubles) put into blocks of neighbours: block, ids, vecs, cells (a boolean for each query and cell), extra, and wanted (the cells that any of them visits)."""
+def query_blocks(queries: DataFrame, sizes: dict[int, int], extra: list[str], asked: float) -> DataFrame:
+    """queries (vec_id, vec binary, cell, cells binary, *extra doubles) put into blocks of neighbours: block, ids, vecs, cells (a boolean for each query and cell), extra, and wanted (the cells that any of them visits). asked is the share of vectors that are queries."""
 
     def pack(b: pd.DataFrame) -> pd.DataFrame:
         mask = np.frombuffer(b"".join(b["cells"]), dtype=bool).reshape(len(b), -1)
         row = {"block": f"{b['cell'].iloc[0]}-{b['part'].iloc[0]}", "ids": packed(b["vec_id"].to_numpy(np.int64)), "vecs": b"".join(b["vec"]), "cells": packed(mask), "wanted": np.flatnonzero(mask.any(axis=0)).tolist()}
         return pd.DataFrame([row | {x: packed(b[x].to_numpy(np.float64)) for x in extra}])
 
-    parts = with_pages(queries, sizes, BLOCK_QUERIES, "part")
+    # neighbouring cells share blocks where a cell has few queries, so that blocks are full
+    share = max(1, sum(sizes.values()) // max(1, len(sizes)))
+    wide = max(1, BLOCK_QUERIES // max(1, round(share * asked)))
+    grouped = queries.withColumn("cell", F.floor(F.col("cell") / wide).cast("int"))
+    totals: dict[int, int] = {}
+    for c, n in sizes.items():
+        totals[c // wide] = totals.get(c // wide, 0) + max(1, round(n * asked))
+    parts = with_pages(grouped, totals, BLOCK_QUERIES, "part")
     return parts.groupBy("cell", "part").applyInPandas(pack, "block string, ids binary, vecs binary, cells binary, wanted array<int>" + "".join(f", {x} binary" for x in extra))
 
 
-def calls(blocks: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """A row for each block of queries and page of a cell that it wants."""
-    n_pages = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (int(c), -(-int(n) // PAGE_ROWS))])
-    each = blocks.withColumn("cell", F.explode("wanted")).drop("wanted")
-    each = each.where(F.element_at(n_pages, F.col("cell")).isNotNull())
-    return each.withColumn("page", F.explode(F.sequence(F.lit(0), F.element_at(n_pages, F.col("cell")) - 1)))
+def shards(sizes: dict[int, int]) -> int:
+    """Shards that the pages are dealt over: a task has SHARD_PAGES of them, about."""
+    return max(1, sum(-(-n // PAGE_ROWS) for n in sizes.values()) // SHARD_PAGES)
+
+
+def search_pairs(blocks: DataFrame, pages: DataFrame, sizes: dict[int, int], asked: float, scan, schema: str) -> DataFrame:
+    """What scan gives for an iterator of pairs (block of queries, page of a cell that it wants); both are named tuples.
+
+    Pages are dealt over shards, and blocks over groups; a task has the pages of one shard and the blocks of one
+    group, both of bounded size, so that a query's answers from all pages of a shard come as one.
+    """
+    n_shards = shards(sizes)
+    n_groups = max(1, round(asked * sum(sizes.values())) // (BLOCK_QUERIES * GROUP_BLOCKS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(n_groups)).cast("int")).withColumn("shard", every(n_shards))
+    right = pages.withColumn("shard", F.pmod(F.xxhash64("cell", "page"), F.lit(n_shards)).cast("int")).withColumn("group", every(n_groups))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def both(of_blocks: pd.DataFrame, of_pages: pd.DataFrame) -> pd.DataFrame:
+        def each():
+            for b in of_blocks.itertuples(index=False):
+                wanted = set(b.wanted)
+                for p in of_pages.itertuples(index=False):
+                    if p.cell in wanted:
+                        yield b, p
+
+        found = [x for x in scan(each()) if len(x)]
+        return pd.concat(found) if found else pd.DataFrame({n: [] for n in names})
+
+    return left.groupBy("shard", "group").cogroup(right.groupBy("shard", "group")).applyInPandas(both, schema)
 
 
 def merged(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -97,28 +130,45 @@ def merged(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 class Tops:
-    """The running k best of each query of a few blocks; what is pushed out is given back to be emitted."""
+    """The running k best of each query of a few blocks, as matrices (ids, scores, filled up with -1 and the lowest score); what is pushed out is given back to be emitted."""
 
-    def __init__(self, k: int, dtype, most: int = 64):
-        self.k, self.dtype, self.most, self.held = k, dtype, most, {}
+    def __init__(self, k: int, lowest, most: int = 32):
+        self.k, self.lowest, self.most, self.held = k, lowest, most, {}
 
-    def of(self, block: str, queries: np.ndarray) -> tuple[list, list, list]:
+    def of(self, block: str, queries: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
         out = []
         if block not in self.held:
             if len(self.held) >= self.most:
                 out.append(self.emit(next(iter(self.held))))
-            self.held[block] = (queries, [np.empty(0, np.int64) for _ in queries], [np.empty(0, self.dtype) for _ in queries])
+            self.held[block] = (queries, np.full((len(queries), self.k), -1, np.int64), np.full((len(queries), self.k), self.lowest))
         return out, self.held[block][1], self.held[block][2]
 
     def emit(self, block: str) -> pd.DataFrame:
         queries, ids, scores = self.held.pop(block)
-        return pd.DataFrame({"query_id": np.repeat(queries, [len(x) for x in ids]), "vec_id": np.concatenate([*ids, np.empty(0, np.int64)]), "score": np.concatenate([*scores, np.empty(0, self.dtype)])})
+        there = scores > self.lowest
+        return pd.DataFrame({"query_id": np.repeat(queries, there.sum(1)), "vec_id": ids[there], "score": scores[there]})
 
     def rest(self):
         while self.held:
             yield self.emit(next(iter(self.held)))
 
 
+def add(ids: np.ndarray, scores: np.ndarray, rows: np.ndarray, new_ids: np.ndarray, new_scores: np.ndarray, lowest) -> None:
+    """Puts new candidates (row, id, score) into the k best of their rows, in place."""
+    if not len(rows):
+        return
+    k = ids.shape[1]
+    touched = np.unique(rows)
+    r = np.concatenate([np.repeat(touched, k), rows])
+    i, s = np.concatenate([ids[touched].ravel(), new_ids]), np.concatenate([scores[touched].ravel(), new_scores])
+    order = np.lexsort((i, -s, r))
+    r, i, s = r[order], i[order], s[order]
+    first = np.searchsorted(r, touched)
+    place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+    keep = place < k
+    ids[r[keep], place[keep]], scores[r[keep], place[keep]] = i[keep], s[keep]
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each query."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
