@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, new_path, small_batches, table
+from .common import new_path, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -33,9 +33,8 @@ END_ID = 2
 LEAST, SPACING, MOST = 256, 1024, 8192
 #: Ids that the rolling hash sees.
 SPAN = 8
-SOLID = re.compile(WORD)
-#: Words whose ids a worker remembers.
-MEMO = 200_000
+#: Words, and parts of words, whose ids a worker remembers.
+MEMO = 800_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -51,21 +50,58 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordEncoder:
-    """Encodes texts word by word with a memory of words, which gives the ids of whole texts: this tokenizer's pre-tokens never reach over white space, and its normalisation of a character depends on none beyond it."""
+#: A word of Latin letters and then marks, whose normal form and pre-tokens are plain: the letters in lower case, and the marks.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=>?@[-`{-~]*)")
 
-    def __init__(self, path: str):
-        self.tok, self.known = tokenizer(path), {}
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        words = [SOLID.findall(t) for t in texts]
-        if len(self.known) > MEMO:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-        return [np.array([i for w in ws for i in known[w]], dtype="<u4") for ws in words]
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, and else the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+class WordEncoder(dict):
+    """Ids (as little-endian 32-bit numbers) of words, worked out when first asked for; a worker keeps it from task to task.
+
+    Word by word gives the ids of whole texts: this tokenizer's pre-tokens never reach over white space, and how it
+    normalises a character depends on none beyond it.
+    """
+
+    def __init__(self, path: str):
+        self.tok = tokenizer(path)
+        self.model, self.letters, self.pieces = self.tok.model, byte_letters(), {}
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+
+    def piece(self, text: str) -> bytes:
+        got = self.pieces.get(text)
+        if got is None:
+            shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            got = b"".join([self.raw[t.id] for t in self.model.tokenize(shown)])
+            if len(self.pieces) < MEMO:
+                self.pieces[text] = got
+        return got
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "surrogatepass")
+        plain = PLAIN.fullmatch(text)
+        if plain:
+            got = self.piece(plain[1].lower())
+            if plain[2]:
+                got += self.piece(plain[2])
+        else:
+            got = b"".join([self.raw[i] for i in self.tok.encode(text, add_special_tokens=False).ids])
+        if len(self) < MEMO:
+            self[word] = got
+        return got
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def mixed(ids: np.ndarray) -> np.ndarray:
@@ -121,16 +157,19 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-@lru_cache(maxsize=1 << 16)
+#: _SHIFTS[n] is x to the power 32 * n, in the same terms: what n ids after it do to a CRC.
+_SHIFTS = [1 << 31, 1 << 31]
+for _ in range(32):
+    _SHIFTS[1] = (_SHIFTS[1] >> 1) ^ (0xEDB88320 if _SHIFTS[1] & 1 else 0)
+
+
 def _shift(n_bytes: int) -> int:
-    """x to the power 8 * n_bytes, in the same terms."""
-    out, square, n = 1 << 31, 1 << 23, n_bytes
-    while n:
-        if n & 1:
-            out = _times(out, square)
-        square = _times(square, square)
-        n >>= 1
-    return out
+    if n_bytes % 4 or n_bytes > 4 * (1 << 20):
+        half = n_bytes // 2
+        return _times(_shift(half), _shift(n_bytes - half)) if n_bytes > 1 else (1 << 23 if n_bytes else 1 << 31)
+    while len(_SHIFTS) <= n_bytes // 4:
+        _SHIFTS.append(_times(_SHIFTS[-1], _SHIFTS[1]))
+    return _SHIFTS[n_bytes // 4]
 
 
 def joined_crc(parts) -> int:
@@ -158,12 +197,13 @@ def write_store(docs: DataFrame, place: str, path: str | None = None, end_id: in
     def chunked(batches):
         import zstandard
 
-        enc, squeeze, seen = WordEncoder(path), zstandard.ZstdCompressor(level=3), set()
+        enc, squeeze, seen = word_encoder(path), zstandard.ZstdCompressor(level=1), set()
+        end = np.array([end_id], "<u4").tobytes()
         wide = enc.tok.get_vocab_size() > 1 << 16
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b["doc_id"], enc.ids(list(b["text"])), strict=True):
-                ids = np.append(ids, np.array([end_id], "<u4"))
+            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                ids = np.frombuffer(enc.ids(text) + end, "<u4")
                 digests, lengths, at = [], [], 0
                 for to in cuts(ids, least, spacing, most):
                     raw = ids[at:to].astype("<u4" if wide else "<u2").tobytes()
@@ -180,22 +220,12 @@ def write_store(docs: DataFrame, place: str, path: str | None = None, end_id: in
                 rows.append(("recipe", spread, 0, None, doc_id, len(ids), digests, lengths, root))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in STAGED.split(", ")]).astype({"doc_id": "Int64", "n_tokens": "Int64"})
 
-    def once(batches):
-        """Equal chunks are neighbours here: the first stays, and the others must be equal byte by byte."""
-        last = data = None
-        for b in batches:
-            keep = []
-            for kind, key, d in zip(b["kind"], b["key"], b["data"], strict=True):
-                keep.append(kind == "recipe" or key != last)
-                if kind == "chunk":
-                    if key == last and d != data:
-                        raise ValueError("two chunks with one digest")
-                    last, data = key, d
-            yield b[keep]
-
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(chunked, STAGED)
-    rows = rows.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInPandas(once, STAGED)
-    rows.write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{place}/staged")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(chunked, STAGED).repartition("kind", "key")
+    rest = ["n", "doc_id", "n_tokens", "digests", "lengths", "root"]
+    once = rows.groupBy("kind", "key").agg(F.first(F.struct(*rest)).alias("r"), F.min("data").alias("data"), F.max("data").alias("same"))
+    # chunks with one digest must be equal byte by byte
+    data = F.when(F.col("data").eqNullSafe(F.col("same")), F.col("data")).otherwise(F.raise_error(F.lit("two chunks with one digest")).cast("binary"))
+    once.select("kind", "key", data.alias("data"), *[f"r.{c}" for c in rest]).write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{place}/staged")
 
     recipes = spark.read.schema(STAGED).parquet(f"{place}/staged").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "lengths", "root")
 
@@ -269,20 +299,21 @@ def read_store(spark: SparkSession, place: str) -> DataFrame:
     )
     entries = recipes.select("part", "row", F.posexplode(F.arrays_zip("digests", "lengths")).alias("pos", "entry")).select("part", "row", "pos", F.col("entry.digests").alias("digest"), F.col("entry.lengths").alias("length"))
     entries = entries.join(read_chunks(spark, place), "digest", "left")
-    parts_of = entries.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("crc", F.lit(0).cast("long")).alias("crc"), "length", (F.coalesce("ok", F.lit(False)) & (F.col("n") == F.col("length"))).alias("ok"), "digest"))).alias("parts"))
+    parts_of = entries.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("crc", F.lit(0).cast("long")).alias("crc"), "length", (F.coalesce("ok", F.lit(False)) & (F.col("n") == F.col("length"))).alias("ok"), "digest"))).alias("p"))
+    parts_of = parts_of.select("part", "row", F.transform("p", lambda x: x["crc"]).alias("crcs"), F.transform("p", lambda x: x["length"]).alias("lengths"), F.transform("p", lambda x: x["digest"]).alias("digests"), F.coalesce(F.forall("p", lambda x: x["ok"]), F.lit(False)).alias("all_ok"))
 
     docs = recipes.drop("digests", "lengths").join(parts_of, ["part", "row"], "left").join(F.broadcast(starts), "part")
 
     def whole(batches):
         for b in batches:
-            rows = []
-            for doc_id, n, root, within, parts, start, ok in zip(b["doc_id"], b["n_tokens"], b["root"], b["within"], b["parts"], b["part_start"], b["part_ok"], strict=True):
-                parts = parts if parts is not None else []
-                good = bool(ok) and all(p["ok"] for p in parts) and merkle([p["digest"] for p in parts]) == root and sum(p["length"] for p in parts) == n
-                rows.append((doc_id, start + within, n, joined_crc((p["crc"], 4 * p["length"]) for p in parts), good))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "verified"]).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "n_tokens", "root", "within", "parts", "part_start", "part_ok").mapInPandas(whole, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+            crcs, good = [], []
+            for n, root, crc, lengths, digests, ok in zip(b["n_tokens"], b["root"], b["crcs"], b["lengths"], b["digests"], b["all_ok"] & b["part_ok"], strict=True):
+                crc, lengths, digests = ([] if x is None else x for x in (crc, lengths, digests))
+                crcs.append(int(crc[0]) if len(crc) == 1 else joined_crc(zip(map(int, crc), (4 * int(x) for x in lengths), strict=True)))
+                good.append(bool(ok) and merkle(list(digests)) == root and sum(lengths) == n)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "start": b["part_start"] + b["within"], "n_tokens": b["n_tokens"], "ids_crc32": crcs, "verified": good}).astype({"doc_id": "Int64"})
+
+    return docs.select("doc_id", "n_tokens", "root", "within", "crcs", "lengths", "digests", F.coalesce("all_ok", F.lit(False)).alias("all_ok"), "part_start", F.coalesce("part_ok", F.lit(False)).alias("part_ok")).mapInPandas(whole, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def read_ids(spark: SparkSession, place: str, doc_ids: DataFrame) -> DataFrame:
