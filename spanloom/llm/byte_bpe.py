@@ -85,50 +85,54 @@ def pieces_of_long(long_docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return cut_at.select("key", "doc_id", "piece", F.expr("substring(text, cast(span.start + 1 as int), cast(coalesce(span.end, length(text)) - span.start as int))").alias("text"))
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, piece, ids (little-endian unsigned 32-bit) and key for each piece of each row of docs (doc_id, text).
+PIECE = "key string, doc_id long, piece int, n long, ids binary"
 
-    Null and empty texts have one piece without ids. Rows that are equal in id and text are encoded each; where
-    such texts are longer than a chunk, n tells the rows apart. Other columns are ignored.
+
+def pieces(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """key, doc_id, piece, n, text: the texts of docs (doc_id, text) that are a piece each (key is null), and the pieces of the longer ones.
+
+    Null texts are empty. Rows that are equal in id and text are apart where the text is short; longer ones are
+    pieces of one key, and n says how many rows they stand for. Other columns are ignored.
     """
-    path = path or ranks_path()
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk).select(F.lit(None).cast("string").alias("key"), "doc_id", F.lit(0).alias("piece"), F.lit(1).cast("long").alias("n"), "text")
     long = rows.where(F.length("text") > chunk)
-    long = long.groupBy(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256).alias("key")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("n"))
-    pieces = pieces_of_long(long, chunk, overlap).join(long.select("key", "n"), "key").select("key", "doc_id", "piece", "n", "text")
+    key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256)
+    long = long.groupBy(key.alias("key")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("n"))
+    cut = pieces_of_long(long, chunk, overlap).join(long.select("key", "n"), "key").select("key", "doc_id", "piece", "n", "text")
+    return short, cut.repartition("key", "piece")
+
+
+def encode(texts: DataFrame, path: str | None = None) -> DataFrame:
+    """pieces() with ids (little-endian unsigned 32-bit) in place of text."""
+    path = path or ranks_path()
+    small_batches(texts.sparkSession)
 
     def run(batches):
         enc = encoding(path)
         for b in batches:
             yield b.drop(columns="text").assign(ids=[enc.encode_to_numpy(t).astype("<u4").tobytes() for t in b["text"]])
 
-    out = "key string, doc_id long, piece int, n long, ids binary"
-    return short.mapInPandas(run, out).unionByName(pieces.repartition("key", "piece").mapInPandas(run, out))
-
+    return texts.mapInPandas(run, PIECE)
 
-def decode_bytes(ids: bytes, path: str) -> bytes:
-    return encoding(path).decode_bytes(np.frombuffer(ids, "<u4").tolist())
 
-
-def decode(pieces: DataFrame, path: str | None = None) -> DataFrame:
-    """pieces with the raw bytes of each; a document's bytes are those of its pieces in order (a piece may end inside no character, as pieces end at pre-tokens)."""
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """encode()'s rows with the raw bytes of each; a document's bytes are those of its pieces one after the other."""
     path = path or ranks_path()
+    small_batches(encoded.sparkSession)
 
     def run(batches):
+        enc = encoding(path)
         for b in batches:
-            yield b.assign(raw=[decode_bytes(x, path) for x in b["ids"]])
+            yield b.assign(raw=[enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in b["ids"]])
 
-    return pieces.mapInPandas(run, "key string, doc_id long, piece int, n long, ids binary, raw binary")
+    return encoded.mapInPandas(run, PIECE + ", raw binary")
 
 
 def digests(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs."""
-    whole = decode(encode(docs, path, chunk, overlap), path)
-    out = [F.col("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256")]
-    one = whole.where("key is null").select(*out)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs (doc_id, text); null and empty texts have no ids. Other columns are ignored; an empty table gives an empty result."""
+    short, long = (decode(encode(p, path), path) for p in pieces(docs, chunk, overlap))
+    one = short.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
         ids, raw, count = hashlib.sha256(), hashlib.sha256(), 0
@@ -140,8 +144,7 @@ def digests(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overla
         row = (b["doc_id"].iloc[0], count, ids.hexdigest(), raw.hexdigest())
         return pd.DataFrame([row] * int(b["n"].iloc[0]), columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
-    many = whole.where("key is not null").groupBy("key").applyInPandas(join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return one.unionByName(many)
+    return one.unionByName(long.groupBy("key").applyInPandas(join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
