@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,20 +55,29 @@ def assemble_traces(spans: DataFrame) -> DataFrame:
     return t.select("trace_id", "start_ms", "end_ms", F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "status", F.col("root.span_id").alias("root_span_id"), F.col("root.name").alias("name"), F.col("root.attributes").alias("attributes"), "service", "environment", "session_id", "span_count")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in spark.checkpoint.dir (a temporary folder where that is unset)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def span_tree(spans: DataFrame, cap: int = MAX_DEPTH) -> DataFrame:
     """span_id, trace_id, depth, ancestors (nearest first) and root_id; a span whose parent is missing is a root, one inside a cycle of parents has depth null and no ancestors.
 
-    Pointer doubling: each round joins every span with its farthest known ancestor, so that six rounds reach depth 64.
+    Pointer doubling: each round joins every span with its farthest known ancestor, so that six rounds reach depth 64;
+    rounds end once all spans know their root. A round's result is a checkpoint, as the plan would double with it.
     """
     own = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("parent"))
     present = spans.select("trace_id", F.col("span_id").alias("parent"), F.lit(True).alias("there"))
     linked = own.join(present, ["trace_id", "parent"], "left").select("trace_id", "span_id", F.when(F.col("there"), F.col("parent")).alias("up"))
     state = linked.select("trace_id", "span_id", F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array("up")).alias("path"), "up")
-    hops = 1
-    while hops < cap:
+    hops, state = 1, settled(state)
+    while hops < cap and not state.where("up is not null").isEmpty():
         far = state.select("trace_id", F.col("span_id").alias("up"), F.col("path").alias("more"), F.col("up").alias("next"))
         state = state.join(far, ["trace_id", "up"], "left").select("trace_id", "span_id", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.col("next").alias("up"))
-        hops *= 2
+        hops, state = hops * 2, settled(state)
     rooted = F.col("up").isNull()
     return state.select("trace_id", "span_id", F.when(rooted, F.size("path")).alias("depth"), F.when(rooted, F.col("path")).otherwise(F.array().cast("array<string>")).alias("ancestors"), F.when(rooted, F.coalesce(F.try_element_at("path", F.lit(-1)), "span_id")).alias("root_id"))
 

@@ -391,7 +391,7 @@ roles AS (SELECT *, CASE WHEN role0 <> 'symptom' AND row_number() OVER (PARTITIO
 
 def role_set(spark, d) -> DataFrame:
     s = views.spans(spark, d)
-    return causes.attribute(finding_set(spark, d), s, traces.span_tree(s))
+    return traces.settled(causes.attribute(finding_set(spark, d), s, traces.span_tree(s)))
 
 
 query("at3_link_causes", on_spans("SELECT trace_id, position, code, role, cause_position FROM roles", ", ".join([TREE, FOUND, CLOSURE, ORDERED]), True))(

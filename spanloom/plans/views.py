@@ -116,7 +116,7 @@ SELECT CAST(event_id AS STRING) AS trace_id, CAST(user_id AS STRING) AS user_id,
   CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, CAST(user_id % 5 AS STRING) AS route
 FROM {events}
 """
-DUCK_EVENTS = "ev AS (" + EVENTS.replace("{epoch}", "epoch_ms(ts)").replace("{events}", "events") + ")"
+DUCK_EVENTS = "ev AS (" + EVENTS.replace("{epoch}", "epoch_ns(ts) // 1000000").replace("{events}", "events") + ")"
 
 
 def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
