@@ -23,7 +23,7 @@ PATTERNS = (
     ("ipv4", r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", "[REDACTED:ipv4]", False),
 )
 DEFAULT = tuple(name for name, _p, _r, on in PATTERNS if on)
-#: Characters of a text that are searched; the rest is kept as it is.
+#: Characters of a text that the reference searches, keeping the rest as it is. It holds only where it is given as `limit`; else texts are searched whole.
 SCAN_LIMIT = 200_000
 DEPTH = 8
 
@@ -44,18 +44,24 @@ def _applied(text: Column, name: str, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(text, pattern, replacement)
 
 
-def redact(text: Column, classes=DEFAULT, limit: int = SCAN_LIMIT) -> Column:
-    """text with each class's matches replaced, one class after the other, in its first `limit` characters."""
-    out = F.left(text, F.lit(limit))
+def _searched(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.left(text, F.lit(limit))
+
+
+def redact(text: Column, classes=DEFAULT, limit: int | None = None) -> Column:
+    """text with each class's matches replaced, one class after the other, in its first `limit` characters or all of it."""
+    out = _searched(text, limit)
     for name, pattern, replacement, _on in PATTERNS:
         if name in classes:
             out = _applied(out, name, pattern, replacement)
+    if limit is None:
+        return out
     return F.when(F.length(text) > limit, F.concat(out, F.substring(text, F.lit(limit + 1), F.length(text)))).otherwise(out)
 
 
-def with_secret_counts(df: DataFrame, text: str, out: str = "secrets", classes=DEFAULT, limit: int = SCAN_LIMIT) -> DataFrame:
+def with_secret_counts(df: DataFrame, text: str, out: str = "secrets", classes=DEFAULT, limit: int | None = None) -> DataFrame:
     """df with out: array of (class, count) found as the replacement proceeds; never a value."""
-    step, found = F.left(F.coalesce(F.col(text), F.lit("")), F.lit(limit)), []
+    step, found = _searched(F.coalesce(F.col(text), F.lit("")), limit), []
     df = df.withColumn("_redact", step)
     for name, pattern, replacement, _on in PATTERNS:
         if name not in classes:
@@ -68,9 +74,9 @@ def with_secret_counts(df: DataFrame, text: str, out: str = "secrets", classes=D
     return df.drop("_redact", *[f"_n_{n}" for n in classes])
 
 
-def scan_secrets(text: Column, classes=DEFAULT, limit: int = SCAN_LIMIT) -> Column:
+def scan_secrets(text: Column, classes=DEFAULT, limit: int | None = None) -> Column:
     """array of (class, count) as one expression, for texts inside arrays."""
-    start = F.struct(F.left(text, F.lit(limit)).alias("t"), F.array().cast("array<struct<class:string,count:int>>").alias("f"))
+    start = F.struct(_searched(text, limit).alias("t"), F.array().cast("array<struct<class:string,count:int>>").alias("f"))
     for name, pattern, replacement, _on in PATTERNS:
         if name not in classes:
             continue
@@ -89,14 +95,14 @@ def _counted(name: str, pattern: str, replacement: str):
     return step
 
 
-def redact_frame(df: DataFrame, classes=DEFAULT, depth: int = DEPTH) -> DataFrame:
+def redact_frame(df: DataFrame, classes=DEFAULT, depth: int = DEPTH, limit: int | None = None) -> DataFrame:
     """df with every string in it redacted, in structs, arrays and map values down to `depth`; map keys stay."""
 
     def walk(c: Column, kind: T.DataType, level: int) -> Column:
         if level > depth:
             return c
         if isinstance(kind, T.StringType):
-            return redact(c, classes)
+            return redact(c, classes, limit)
         if isinstance(kind, T.StructType):
             return F.when(c.isNotNull(), F.struct(*[walk(c[f.name], f.dataType, level + 1).alias(f.name) for f in kind.fields]))
         if isinstance(kind, T.ArrayType):

@@ -146,6 +146,24 @@ def test_redaction(spark):
     assert (r["a"], r["b"], r["c"]) == ("[REDACTED:email]", ["[REDACTED:email]"], {"k": "[REDACTED:email]"})
 
 
+def test_redaction_of_whole_texts(spark):
+    df = spark.createDataFrame([("x " * 150_000 + "me@example.org",)], "t string")
+    want = "x " * 150_000 + "[REDACTED:email]"
+    assert df.select(red.redact(F.col("t")).alias("x")).first()["x"] == want
+    assert red.redact_frame(df).first()["t"] == want
+    assert [tuple(s) for s in red.with_secret_counts(df, "t").first()["secrets"]] == [("email", 1)]
+    assert [tuple(s) for s in df.select(red.scan_secrets(F.col("t")).alias("s")).first()["s"]] == [("email", 1)]
+
+
+def test_scan_limit_as_an_option(spark):
+    df = spark.createDataFrame([("a@b.org " + "x " * 150_000 + "me@example.org",)], "t string")
+    want = "[REDACTED:email] " + "x " * 150_000 + "me@example.org"
+    assert df.select(red.redact(F.col("t"), limit=red.SCAN_LIMIT).alias("x")).first()["x"] == want
+    assert red.redact_frame(df, limit=red.SCAN_LIMIT).first()["t"] == want
+    assert [tuple(s) for s in red.with_secret_counts(df, "t", limit=red.SCAN_LIMIT).first()["secrets"]] == [("email", 1)]
+    assert [tuple(s) for s in df.select(red.scan_secrets(F.col("t"), limit=red.SCAN_LIMIT).alias("s")).first()["s"]] == [("email", 1)]
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(i % 2 == 0, float(i % 10)) for i in range(200)], "side boolean, v double").withColumn("k", F.lit(1))
     same = df.withColumn("side", F.floor(F.rand(1) * 2) == 1)
