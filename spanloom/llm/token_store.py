@@ -196,8 +196,10 @@ def write_store(docs: DataFrame, place: str, path: str | None = None, end_id: in
 
     def chunked(batches):
         import zstandard
+        from pyspark import TaskContext
 
         enc, squeeze, seen = word_encoder(path), zstandard.ZstdCompressor(level=1), set()
+        part, row = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         wide = enc.tok.get_vocab_size() > 1 << 16
         for b in batches:
@@ -216,7 +218,9 @@ def write_store(docs: DataFrame, place: str, path: str | None = None, end_id: in
                     lengths.append(to - at)
                     at = to
                 root = merkle(digests)
-                spread = hashlib.sha256(f"{doc_id} {at} {len(rows)}".encode() + root).digest()
+                # no two rows share it, so that grouping by it merges no recipes
+                spread = hashlib.sha256(f"{part} {row}".encode()).digest()
+                row += 1
                 rows.append(("recipe", spread, 0, None, doc_id, len(ids), digests, lengths, root))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in STAGED.split(", ")]).astype({"doc_id": "Int64", "n_tokens": "Int64"})
 

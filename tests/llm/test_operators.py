@@ -105,6 +105,20 @@ def test_token_store(spark, texts):
     assert len(digests) == len(set(digests))
 
 
+def test_token_store_keeps_repeated_rows(spark):
+    texts = ["one two", "", None, prose(60), "one two"]
+    rows = [(i % 3 or None, t, "en", "a", 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    place = new_path(spark, "test-store")
+    token_store.write_store(df.unionByName(df).unionByName(df), place)
+    got = sorted(token_store.read_store(spark, place).collect(), key=lambda r: r["start"])
+    single = new_path(spark, "test-store")
+    token_store.write_store(df, single)
+    once = [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.read_store(spark, single).collect()]
+    assert len(once) == 5 and sorted([(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got], key=str) == sorted(once * 3, key=str)
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(15)] and all(r["verified"] for r in got)
+
+
 def test_token_store_finds_damage(spark):
     place = new_path(spark, "test-store")
     token_store.write_store(table(spark, [prose(50), prose(60)]), place)
