@@ -5,6 +5,9 @@ begins at the line, so that a passage is cut alike wherever it stands in a docum
 it move no boundary inside. Of chunks that recur anywhere in the corpus all but the first occurrence are removed,
 after their bytes are found equal; chunks of one short line stay, as such lines recur by chance. The work is
 column expressions, counts by chunk hashes, and one join of the texts with the places of their recurring chunks.
+
+Chunks that can't be removed and ends cut by foreign text let much of a passage stay. The query's SQL fixes this
+rule; with passages=True the runs of passages() are looked up too, which cover each passage to its ends.
 """
 
 from __future__ import annotations
@@ -81,10 +84,49 @@ def removable(docs: DataFrame) -> DataFrame:
     return c.select("row_key", "doc_id", "pos", "line", "n_lines", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
 
 
-def recurring(docs: DataFrame) -> DataFrame:
+def passages(docs: DataFrame) -> DataFrame:
+    """The columns of removable() for runs of lines: of each line the shortest run from it, and the shortest up to it, that has LEAST_WORDS words or MOST_LINES lines; pos is the first line.
+
+    Whether a run is one depends on its own lines only, and in a passage of LEAST_WORDS words each line is in such
+    a run that leaves the passage on neither side.
+    """
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select("doc_id", text.alias("text"), row_key(F.col("doc_id"), text).alias("row_key"))
+
+    def length(words: Column) -> Column:
+        def step(acc: Column, w: Column) -> Column:
+            return F.when(acc["words"] >= LEAST_WORDS, acc).otherwise(F.struct((acc["n"] + 1).alias("n"), (acc["words"] + w).alias("words")))
+
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
+        return F.aggregate(words, zero, step, lambda acc: F.when((acc["words"] >= LEAST_WORDS) | (acc["n"] >= MOST_LINES), acc["n"]).otherwise(0))
+
+    def from_each(v: Column) -> Column:
+        each = F.transform(v["words"], lambda _w, i: length(F.slice(v["words"], i + 1, F.lit(MOST_LINES))))
+        return let(F.struct(v["lines"].alias("lines"), v["words"].alias("words"), each.alias("ahead")), runs)
+
+    def runs(v: Column) -> Column:
+        def back(_w: Column, i: Column) -> Column:
+            n = length(F.reverse(F.slice(v["words"], F.greatest(i + 2 - MOST_LINES, F.lit(1)), F.least(i + 1, F.lit(MOST_LINES)))))
+            return let(n, lambda n: F.struct((i + 2 - n).alias("line"), n.alias("n_lines")))
+
+        ahead = F.transform(v["ahead"], lambda n, i: F.struct((i + 1).alias("line"), n.alias("n_lines")))
+        # a run up to a line that is a run from its first line is listed already
+        more = F.filter(F.transform(v["words"], back), lambda r: (r["n_lines"] > 0) & (F.get(v["ahead"], r["line"] - 1) != r["n_lines"]))
+        return F.transform(F.concat(F.filter(ahead, lambda r: r["n_lines"] > 0), more), lambda r: let(chunk_text(v["lines"], r["line"], r["n_lines"]), lambda t: F.struct(r["line"].alias("line"), r["n_lines"].alias("n_lines"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"))))
+
+    found = let(F.split("text", "\n", -1), lambda lines: let(F.struct(lines.alias("lines"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))).alias("words")), from_each))
+    return d.select("row_key", "doc_id", F.explode(found).alias("r")).select("row_key", "doc_id", F.col("r.line").alias("pos"), "r.*")
+
+
+def recurring(docs: DataFrame, whole: bool = False) -> DataFrame:
     """row_key and again: the document's chunks whose hashes recur, as (line, n_lines, h1, h2, first); first is the occurrence with the least (doc_id, pos), rows without an id before others."""
-    keys = written(removable(docs), "line-chunks")
-    firsts = keys.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "row_key")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    keys, place = removable(docs), F.struct("doc_id", "pos", "row_key")
+    if whole:
+        keys = keys.withColumn("pos", F.col("line")).unionByName(passages(docs))
+    keys = written(keys, "line-chunks")
+    firsts = keys.groupBy("h1", "h2").agg(F.min(place).alias("head"), *([F.max(place).alias("last")] if whole else []), F.count("*").alias("n"))
+    # a chunk may be a run as well, and is no repeat of itself
+    firsts = firsts.where("head <> last").drop("last") if whole else firsts.where("n > 1")
     found = keys.join(firsts, ["h1", "h2"])
     first = (F.col("row_key") == F.col("head.row_key")) & (F.col("pos") == F.col("head.pos"))
     return found.groupBy("row_key").agg(F.collect_set(F.struct("line", "n_lines", "h1", "h2", first.alias("first"))).alias("again"))
@@ -100,9 +142,12 @@ def unequal(marked: DataFrame) -> DataFrame:
     return held.join(written(clash, "line-clash"), ["h1", "h2"]).groupBy("_key").agg(F.collect_set(F.struct("h1", "h2")).alias("_keep"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
     """docs with text without the repeated chunks, and n_lines, lines_removed, chunks_removed.
 
+    With passages, repeated runs of lines (see passages()) go as well, and chunks_removed counts them too. Each line
+    that goes still stands at an earlier place, as its run's first occurrence is earlier.
+
     Lines end at line feeds; a null text stays null and counts as one empty line; an empty one has one too.
     A document all of whose chunks repeat earlier ones ends up with an empty text; no document goes. Rows equal
     in id and text are one document: all of them keep what it is the first to have. Columns of docs named like
@@ -110,7 +155,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     cols = [c for c in docs.columns if c not in ("n_lines", "lines_removed", "chunks_removed", "_key", "_again", "_keep")]
     text = F.coalesce(F.col("text"), F.lit(""))
-    again = written(recurring(docs), "line-again")
+    again = written(recurring(docs, passages), "line-again")
     marked = docs.select(*cols, row_key(F.col("doc_id"), text).alias("_key")).join(again.withColumnRenamed("row_key", "_key").withColumnRenamed("again", "_again"), "_key", "left")
     # the only time that whole texts are moved; what follows reads them from here
     marked = written(marked, "line-marked")
@@ -118,10 +163,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     sure = F.filter("_again", lambda a: ~a["first"] & ~F.coalesce(F.array_contains("_keep", F.struct(a["h1"].alias("h1"), a["h2"].alias("h2"))), F.lit(False)))
     d = d.withColumn("_gone", F.when(F.size(sure) > 0, sure))
 
+    def dropped(gone: Column) -> Column:
+        drop = F.flatten(F.transform(gone, lambda g: F.sequence(g["line"], g["line"] + g["n_lines"] - 1)))
+        return F.array_distinct(drop) if passages else drop
+
     def kept(v: Column) -> Column:
-        lines = lambda g: F.sequence(g["line"], g["line"] + g["n_lines"] - 1)
-        drop = F.flatten(F.transform(v["gone"], lines))
-        return let(F.struct(v["lines"].alias("lines"), F.array_sort(drop).alias("drop")), remaining)
+        return let(F.struct(v["lines"].alias("lines"), F.array_sort(dropped(v["gone"])).alias("drop")), remaining)
 
     def remaining(v: Column) -> Column:
         # what stays is what lies between the lines that go
@@ -132,7 +179,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     new = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.struct(lines.alias("lines"), F.col("_gone").alias("gone")), kept))
     counts = [
         F.size(lines).alias("n_lines"),
-        F.coalesce(F.aggregate("_gone", F.lit(0), lambda a, g: a + g["n_lines"]), F.lit(0)).alias("lines_removed"),
+        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(dropped(F.col("_gone")))).alias("lines_removed") if passages else F.coalesce(F.aggregate("_gone", F.lit(0), lambda a, g: a + g["n_lines"]), F.lit(0)).alias("lines_removed"),
         F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).alias("chunks_removed"),
     ]
     return d.select(*[new.alias("text") if c == "text" else F.col(c) for c in cols], *counts)

@@ -206,6 +206,32 @@ def test_line_dedup(spark):
 
 
 # --- WARC
+@pytest.mark.parametrize("size", [1, 4, 12, 80])
+def test_passages_go_to_their_ends(spark, size):
+    """Planted passages of 50-300 words in lines of about `size` words (one line: 80) between lines of their own."""
+    made, texts, planted = random.Random(size), [], []
+    own = lambda: "\n".join(" ".join(f"w{made.randrange(10**6)}" for _ in range(made.randint(1, 30))) for _ in range(made.randint(1, 6)))
+    for _ in range(30):
+        words = [f"p{made.randrange(10**6)}" for _ in range(80 if size == 80 else made.randint(50, 300))]
+        planted.append("\n".join(" ".join(words[i : i + size]) for i in range(0, len(words), size)))
+        texts += [f"{own()}\n{planted[-1]}\n{own()}" for _ in range(2)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, texts, extra=True).repartition(3), passages=True).collect()}
+    for i, t in enumerate(texts):
+        want = t.replace(planted[i // 2] + "\n", "") if i % 2 else t
+        assert got[i]["text"] == want
+        assert got[i]["lines_removed"] == len(t.split("\n")) - len(want.split("\n"))
+
+
+def test_passages_leave_each_line_somewhere(spark):
+    made = random.Random(8)
+    lines = ["", "same", *(prose(made.randint(1, 25)) for _ in range(12))]
+    texts = ["\n".join(made.choice(lines) for _ in range(made.randint(1, 40))) for _ in range(30)] + [None, "", "\n".join(["same"] * 100)]
+    got = line_dedup.dedup_lines(table(spark, texts), passages=True).collect()
+    plain = {r["doc_id"]: r["lines_removed"] for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    assert {x for r in got for x in (r["text"] or "").split("\n")} == {x for t in texts for x in (t or "").split("\n")}
+    assert all(r["lines_removed"] >= plain[r["doc_id"]] for r in got) and {r["doc_id"]: r["text"] for r in got}[30] is None
+
+
 
 
 def page_table(spark, htmls):
