@@ -26,14 +26,15 @@ BASE = (
 )
 #: Something that every match of a base pattern has; it is cheap to look for.
 HINTS = {"assign": r"(?i:pass|secret|token|api)", "access": "AKIA", "hex": r"[0-9a-f]{32}"}
-#: Runs of these are candidates of the tests.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Encodings by the characters they may use, the narrowest first: kind, pattern, alphabet (its order gives the numbers), least length.
+#: Runs of these are candidates of the tests: token characters, and '=' as padding after them only, so that what is before an inner '=' is apart.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?"
+#: Encodings by the characters they may use: kind, pattern, alphabet (its order gives the numbers), least length. The first that fits is taken; which characters must occur is left to the tests, but for digits alone.
 ENCODINGS = (
-    ("random16", r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 24),
-    ("random32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
-    ("random36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 24),
-    ("random64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+={0,2}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
+    ("random16", r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)=*$", "0123456789abcdef", 24),
+    ("random32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
+    ("random36", r"^[a-z0-9]+=*$", "abcdefghijklmnopqrstuvwxyz0123456789", 24),
+    ("random64", r"^(?![a-z0-9]+=*$)(?![A-Z0-9]+=*$)[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
+    ("random36u", r"^[A-Z0-9]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24),
 )
 #: Share of random strings that may be among the dismissed, and the lower ends of the bands of lengths.
 RATE = 0.05

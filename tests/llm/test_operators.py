@@ -436,6 +436,30 @@ def test_random_strings_pass_and_words_fail(spark):
 
 
 # --- quality
+def test_each_encoding_is_tried(spark):
+    made = random.Random(5)
+    letters = {
+        "random16": "0123456789abcdef", "random32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "random36": "abcdefghijklmnopqrstuvwxyz0123456789",
+        "random36u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "random64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    }
+    texts, want = [], []
+    for kind, chars in letters.items():
+        for before, after in (("", ""), ("auth=", ""), ("?sig=", "&x"), ("see key=", "== end"), ("a=b=", "=")):
+            for _ in range(8):
+                # 31 hexadecimal digits are no base kind
+                key = "".join(made.choice(chars) for _ in range(31 if kind == "random16" else 40))
+                texts.append(f"{before}{key}{after}")
+                want.append((len(before), len(before) + len(key) + len(after) - len(after.lstrip("="))))
+    texts += ["x=" + "".join(made.choice(secrets.ENCODINGS[3][2][:52]) for _ in range(20)) for _ in range(20)]
+    want += [(2, 22)] * 20
+    got = {r["doc_id"]: r["tried"] for r in secrets.scanned(table(spark, texts)).collect()}
+    assert [[(t["start"], t["end"]) for t in got[i]] for i in range(len(texts))] == [[w] for w in want]
+    names = [secrets.KINDS[got[i][0]["kind"]] for i in range(200)]
+    assert sum(n == k for n, k in zip(names, [k for k in letters for _ in range(40)], strict=True)) >= 195
+    spans = secrets.find_secrets(table(spark, texts)).where("added > 0").count()
+    assert spans >= 0.85 * len(texts)
+
+
 
 
 def test_quality(spark):
