@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Every vector belongs to the list of its nearest centroid and is stored as the codes of its residual, a byte for
-each group of components, beside the vector itself. A query visits the lists whose centroids score best; within a
-list a table of inner products of the query with all code words (the asymmetric distances) scores the codes by
+each group of components, beside the vector itself. A query visits the lists whose centroids score best, empty ones
+passed over, and goes on while these hold too few vectors; within a list a table of inner products of the query with all code words (the asymmetric distances) scores the codes by
 lookups, and the best of them are scored again on the original vectors in double precision. Centroids and code
 books are fitted on a bounded sample; how many lists a query visits is measured on the sample too, so that it is
 as small as the data allow; every vector is indexed. Lists are stored in pages of bounded size, so that a list
@@ -98,12 +98,19 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
 
     pages = with_pages(assigned.drop("is_query"), sizes, PAGE_ROWS).groupBy("cell", "page").applyInPandas(page, "cell int, page int, members binary, stored binary, codes binary")
 
+    held = np.zeros(len(index.value.centres), np.int64)
+    held[list(sizes)] = list(sizes.values())
+    filled = np.flatnonzero(held)
+
     def route(batches):
         for b in batches:
             q = np.frombuffer(b"".join(b["vec"]), np.float64).reshape(-1, dim)
-            near = np.argsort(-(q @ index.value.centres.T), axis=1)[:, : index.value.visits]
+            near = filled[np.argsort(-(q @ index.value.centres[filled].T), axis=1)]
+            # before a list: how many vectors the better ones hold
+            before = np.cumsum(held[near], axis=1) - held[near]
+            visit = (np.arange(len(filled)) < index.value.visits) | (before < RERANK * k)
             mask = np.zeros((len(q), len(index.value.centres)), bool)
-            np.put_along_axis(mask, near, True, axis=1)
+            np.put_along_axis(mask, near, visit, axis=1)
             yield b[["vec_id", "cell", "vec"]].assign(cells=[packed(r) for r in mask])
 
     queries = assigned.where("is_query").select("vec_id", "cell", "vec").mapInPandas(route, "vec_id long, cell int, vec binary, cells binary")

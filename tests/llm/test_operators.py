@@ -294,6 +294,17 @@ def test_ann(spark):
     assert ann.search(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0, 20).count() == 4
 
 
+def test_ann_goes_on_in_small_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    monkeypatch.setattr(ann.Index, "measured", lambda self, x, k: 1)
+    made = np.random.default_rng(9)
+    x = np.repeat(made.normal(size=(40, 8)) * 20, 6, axis=0) + made.normal(size=(240, 8)) * 0.01
+    x[120:200] = x[120]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 5 == 0, 20).groupBy("query_id").count().collect()
+    assert len(got) == 48 and {r["count"] for r in got} == {20}
+
+
 @pytest.mark.parametrize("rows, leaf, page", [(1024, 64, 1024), (100, 8, 50)])
 def test_mtree(spark, monkeypatch, rows, leaf, page):
     monkeypatch.setattr(mtree, "PIVOT_ROWS", rows)
