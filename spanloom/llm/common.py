@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a small side is broadcast; beyond it the lookup is a salted shuffle join.
 BROADCAST_ROWS = 20_000
+#: Rows of one key beyond which a join takes the key apart from the others.
+HOT_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,25 @@ def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts
     return spread.join(salted, [key, "_salt"], how).drop("_salt")
 
 
+def counted_join(big: DataFrame, small: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """The inner join of big with small, which is unique on the non-null columns keys and has in column count how many rows of big a key has.
+
+    Keys of more than HOT_ROWS rows are looked up apart, in a counted broadcast or with salts, and their rows are left
+    out of the shuffle by key, so that no key's rows meet in one task.
+    """
+    hot = small.where(F.col(count) > HOT_ROWS)
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return big.join(small, keys)
+    cold = small.where(F.col(count) <= HOT_ROWS)
+    if n <= BROADCAST_ROWS:
+        calm, warm = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti"), big.join(F.broadcast(hot), keys)
+        return calm.join(cold, keys).unionByName(warm)
+    # so many hot keys are a small share of big, which has HOT_ROWS rows of each
+    salt, every = F.pmod(F.xxhash64(*big.columns), F.lit(32)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(31)))
+    return big.withColumn("_salt", salt).join(small.withColumn("_salt", every), [*keys, "_salt"]).drop("_salt")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each SparkContext."""
     sc = spark.sparkContext

@@ -1,13 +1,14 @@
 """Line dedup by content-defined line chunks.
 
-Every line has a hash. A rolling hash over the hashes of a line and the one after it decides whether a chunk
-begins at the line, so that a passage is cut alike wherever it stands in a document: lines put in before or after
-it move no boundary inside. Of chunks that recur anywhere in the corpus all but the first occurrence are removed,
-after their bytes are found equal; chunks of one short line stay, as such lines recur by chance. The work is
-column expressions, counts by chunk hashes, and one join of the texts with the places of their recurring chunks.
-
-Chunks that can't be removed and ends cut by foreign text let much of a passage stay. The query's SQL fixes this
-rule; with passages=True the runs of passages() are looked up too, which cover each passage to its ends.
+Every line has a hash. A rolling hash over the hashes of WINDOW lines decides whether a chunk ends with the last of
+them, so that a passage is cut alike wherever it stands in a document: lines put in before or after it move no
+boundary inside. Chunks have at least two lines. Of chunks that recur anywhere in the corpus all but the first
+occurrence are removed, after their bytes are found equal. The work is column expressions, counts by chunk hashes,
+and one join of the texts with the places of their recurring chunks.
+
+At a passage's ends chunks hold foreign lines, and a short passage may have no boundary inside. passages() therefore
+gives a second kind of chunk, which depends on its own lines only: the shortest runs of enough words from each line
+and up to each line. They cover a repeated passage to its ends, and those of one long line.
 """
 
 from __future__ import annotations
@@ -15,15 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, lookup, table, written
+from .common import WORD, counted_join, let, lookup, table, written
 
-#: A chunk begins at MARKS of SPACING lines, about, and has at most MOST_LINES. Short chunks lose little at the ends of a passage.
-MARKS, SPACING = 2, 3
-MOST_LINES = 16
-#: A chunk can be removed if it has so many lines, or so many words (then a line may be a chunk).
-LEAST_LINES = 2
+#: Lines that the rolling hash sees. A line is marked if its hash leaves 0 when divided by SPACING; a chunk ends with a marked line that follows an unmarked one.
+WINDOW, SPACING = 4, 3
+LEAST_LINES, MOST_LINES = 2, 16
+#: Words of a run that can be removed; runs of MOST_LINES lines can be in any case.
 LEAST_WORDS = 20
-#: The rolling hash of two lines: the first's hash times the factor plus the second's, modulo a prime.
+#: The rolling hash of lines: the hash of those before times the factor plus that of the next, modulo a prime.
 FACTOR, PRIME = 1_000_003, 2_147_483_629
 
 
@@ -32,15 +32,24 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def chunk_starts(lines: Column) -> Column:
-    """array of the 1-based lines at which the chunks of an array of lines begin."""
+def marks(hashes: Column) -> Column:
+    """array of whether the rolling hash up to each line marks it; lines before the first count as hash 0."""
+
+    def marked(_h: Column, i: Column) -> Column:
+        rolling = F.lit(0).cast("long")
+        for back in range(WINDOW - 1, -1, -1):
+            rolling = (rolling * FACTOR + F.when(i >= back, F.get(hashes, i - back)).otherwise(F.lit(0))) % PRIME
+        return rolling % SPACING == 0
+
+    return F.transform(hashes, marked)
 
-    def by_hash(hashes: Column) -> Column:
-        def begins(_line, i: Column) -> Column:
-            rolling = (F.element_at(hashes, i + 1) * FACTOR + F.coalesce(F.get(hashes, i + 1), F.lit(0))) % PRIME
-            return F.when((i == 0) | (rolling % SPACING < MARKS), i + 1)
 
-        return F.filter(F.transform(hashes, begins), lambda s: s.isNotNull())
+def chunk_starts(lines: Column) -> Column:
+    """array of the 1-based lines at which the chunks of an array of lines begin. A line begins one if the line before it is marked and the one before that is not; neither the second nor the last line does, so that a chunk has LEAST_LINES lines, unless it is what is left of MOST_LINES or the text has one line only."""
+
+    def begun(v: Column) -> Column:
+        inner = F.filter(F.sequence(F.lit(3), F.greatest(v["n"] - 1, F.lit(3))), lambda i: (i < v["n"]) & F.get(v["marks"], i - 2) & ~F.get(v["marks"], i - 3))
+        return let(F.struct(F.concat(F.array(F.lit(1)), inner).alias("starts"), v["n"].alias("n")), bounded)
 
     def bounded(v: Column) -> Column:
         def split(start: Column, k: Column) -> Column:
@@ -48,11 +57,11 @@ def chunk_starts(lines: Column) -> Column:
 
         return F.flatten(F.transform(v["starts"], split))
 
-    return let(F.struct(let(F.transform(lines, line_hash), by_hash).alias("starts"), F.size(lines).alias("n")), bounded)
+    return let(F.struct(let(F.transform(lines, line_hash), marks).alias("marks"), F.size(lines).alias("n")), begun)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id and chunks (array of pos, first line, n_lines, text) of each row of docs; the key is equal only for rows with equal id and text."""
+    """row_key, doc_id and chunks (array of line, n_lines, text) of each row of docs; the key is equal only for rows with equal id and text."""
     text = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", text.alias("text"), row_key(F.col("doc_id"), text).alias("row_key"))
 
@@ -60,7 +69,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         def texts(v: Column) -> Column:
             def chunk(start: Column, k: Column) -> Column:
                 end = F.coalesce(F.get(v["starts"], k + 1), F.size(v["lines"]) + 1)
-                return F.struct(k.alias("pos"), start.alias("line"), (end - start).alias("n_lines"), F.array_join(F.slice(v["lines"], start, end - start), "\n").alias("text"))
+                return F.struct(start.alias("line"), (end - start).alias("n_lines"), F.array_join(F.slice(v["lines"], start, end - start), "\n").alias("text"))
 
             return F.transform(v["starts"], chunk)
 
@@ -70,7 +79,8 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(doc_id, text)
+    """128 bits that stand for a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("\n"), text).cast("binary")))
 
 
 def chunk_text(lines: Column, line: Column, n_lines: Column) -> Column:
@@ -78,14 +88,13 @@ def chunk_text(lines: Column, line: Column, n_lines: Column) -> Column:
 
 
 def removable(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, pos, line, n_lines and two hashes (h1, h2) of the chunks that may be removed."""
+    """row_key, doc_id, line, n_lines and two hashes (h1, h2) of the chunks that may be removed: those of LEAST_LINES lines."""
     c = chunked(docs).select("row_key", "doc_id", F.explode("chunks").alias("c")).select("row_key", "doc_id", "c.*")
-    c = c.where((F.col("n_lines") >= LEAST_LINES) | (F.regexp_count("text", F.lit(WORD)) >= LEAST_WORDS))
-    return c.select("row_key", "doc_id", "pos", "line", "n_lines", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    return c.where(F.col("n_lines") >= LEAST_LINES).select("row_key", "doc_id", "line", "n_lines", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """The columns of removable() for runs of lines: of each line the shortest run from it, and the shortest up to it, that has LEAST_WORDS words or MOST_LINES lines; pos is the first line.
+    """The columns of removable() for runs of lines: of each line the shortest run from it, and the shortest up to it, that has LEAST_WORDS words or MOST_LINES lines.
 
     Whether a run is one depends on its own lines only, and in a passage of LEAST_WORDS words each line is in such
     a run that leaves the passage on neither side.
@@ -115,20 +124,19 @@ def passages(docs: DataFrame) -> DataFrame:
         return F.transform(F.concat(F.filter(ahead, lambda r: r["n_lines"] > 0), more), lambda r: let(chunk_text(v["lines"], r["line"], r["n_lines"]), lambda t: F.struct(r["line"].alias("line"), r["n_lines"].alias("n_lines"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"))))
 
     found = let(F.split("text", "\n", -1), lambda lines: let(F.struct(lines.alias("lines"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))).alias("words")), from_each))
-    return d.select("row_key", "doc_id", F.explode(found).alias("r")).select("row_key", "doc_id", F.col("r.line").alias("pos"), "r.*")
+    return d.select("row_key", "doc_id", F.explode(found).alias("r")).select("row_key", "doc_id", "r.*")
 
 
-def recurring(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """row_key and again: the document's chunks whose hashes recur, as (line, n_lines, h1, h2, first); first is the occurrence with the least (doc_id, pos), rows without an id before others."""
-    keys, place = removable(docs), F.struct("doc_id", "pos", "row_key")
+def recurring(docs: DataFrame, whole: bool = True) -> DataFrame:
+    """row_key and again: the document's chunks whose hashes recur, as (line, n_lines, h1, h2, first); first is the occurrence with the least (doc_id, line), rows without an id before others."""
+    keys, place = removable(docs), F.struct("doc_id", "line", "row_key")
     if whole:
-        keys = keys.withColumn("pos", F.col("line")).unionByName(passages(docs))
+        keys = keys.unionByName(passages(docs))
     keys = written(keys, "line-chunks")
-    firsts = keys.groupBy("h1", "h2").agg(F.min(place).alias("head"), *([F.max(place).alias("last")] if whole else []), F.count("*").alias("n"))
     # a chunk may be a run as well, and is no repeat of itself
-    firsts = firsts.where("head <> last").drop("last") if whole else firsts.where("n > 1")
-    found = keys.join(firsts, ["h1", "h2"])
-    first = (F.col("row_key") == F.col("head.row_key")) & (F.col("pos") == F.col("head.pos"))
+    firsts = keys.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("last"), F.count("*").alias("n")).where("head <> last").drop("last")
+    found = counted_join(keys, written(firsts, "line-firsts"), ["h1", "h2"], "n")
+    first = (F.col("row_key") == F.col("head.row_key")) & (F.col("line") == F.col("head.line"))
     return found.groupBy("row_key").agg(F.collect_set(F.struct("line", "n_lines", "h1", "h2", first.alias("first"))).alias("again"))
 
 
@@ -142,11 +150,11 @@ def unequal(marked: DataFrame) -> DataFrame:
     return held.join(written(clash, "line-clash"), ["h1", "h2"]).groupBy("_key").agg(F.collect_set(F.struct("h1", "h2")).alias("_keep"))
 
 
-def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, passages: bool = True) -> DataFrame:
     """docs with text without the repeated chunks, and n_lines, lines_removed, chunks_removed.
 
-    With passages, repeated runs of lines (see passages()) go as well, and chunks_removed counts them too. Each line
-    that goes still stands at an earlier place, as its run's first occurrence is earlier.
+    Repeated runs of lines (see passages()) go as well, unless passages is False, and chunks_removed counts them too.
+    Each line that goes still stands at an earlier place, as the first occurrence of its chunk or run is earlier.
 
     Lines end at line feeds; a null text stays null and counts as one empty line; an empty one has one too.
     A document all of whose chunks repeat earlier ones ends up with an empty text; no document goes. Rows equal
@@ -195,20 +203,29 @@ OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 h AS (
-  SELECT doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS hs FROM l),
+  SELECT doc_id, lines, len(lines) AS n, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS hs,
+         list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS ws FROM l),
+m AS (
+  SELECT *, list_transform(range(1, n + 1), lambda i:
+         ((((CASE WHEN i > 3 THEN hs[i - 3] ELSE 0 END % 2147483629 * 1000003 + CASE WHEN i > 2 THEN hs[i - 2] ELSE 0 END) % 2147483629 * 1000003
+           + CASE WHEN i > 1 THEN hs[i - 1] ELSE 0 END) % 2147483629 * 1000003 + hs[i]) % 2147483629) % 3 = 0) AS marked FROM h),
 s AS (
-  SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: i = 1 OR ((hs[i] * 1000003 + coalesce(hs[i + 1], 0)) % 2147483629) % 3 < 2) AS st FROM h),
+  SELECT *, list_filter(range(1, n + 1), lambda i: i = 1 OR (i > 2 AND i < n AND marked[greatest(i - 1, 1)] AND NOT marked[greatest(i - 2, 1)])) AS st FROM m),
 b AS (
-  SELECT doc_id, lines, flatten(list_transform(range(1, len(st) + 1), lambda k: range(st[k], coalesce(st[k + 1], len(lines) + 1), 16))) AS st FROM s),
-c AS (
-  SELECT doc_id, unnest(list_transform(range(1, len(st) + 1), lambda k: {'pos': k, 'line': st[k], 'n': coalesce(st[k + 1], len(lines) + 1) - st[k],
-         'text': array_to_string(lines[st[k]:coalesce(st[k + 1], len(lines) + 1) - 1], chr(10))})) AS c FROM b),
-o AS (
-  SELECT doc_id, c.pos AS pos, c.line AS line, c.n AS n, c.text AS text,
-         row_number() OVER (PARTITION BY c.text ORDER BY doc_id, c.pos) AS nth
-  FROM c WHERE c.n >= 2 OR len(regexp_extract_all(c.text, '[^\x20\x09-\x0D]+')) >= 20),
-g AS (SELECT doc_id, flatten(list(range(line, line + n))) AS gone, sum(n)::BIGINT AS lines_removed, count(*) AS chunks_removed FROM o WHERE nth > 1 GROUP BY doc_id)
-SELECT l.doc_id, len(lines)::BIGINT AS n_lines, coalesce(lines_removed, 0) AS lines_removed, coalesce(chunks_removed, 0) AS chunks_removed,
+  SELECT *, flatten(list_transform(range(1, len(st) + 1), lambda k: range(st[k], coalesce(st[k + 1], n + 1), 16))) AS cs FROM s),
+w AS (
+  SELECT *, list_transform(range(1, n + 1), lambda i: list_filter(range(1, 17), lambda k: i + k - 1 <= n AND (k = 16 OR list_sum(ws[i:i + k - 1]) >= 20))[1]) AS ahead,
+         list_transform(range(1, n + 1), lambda i: list_filter(range(1, 17), lambda k: i - k + 1 >= 1 AND (k = 16 OR list_sum(ws[i - k + 1:i]) >= 20))[1]) AS back FROM b),
+p AS (
+  SELECT doc_id, lines, list_distinct(list_concat(
+         list_filter(list_transform(range(1, len(cs) + 1), lambda k: {'line': cs[k], 'n': coalesce(cs[k + 1], n + 1) - cs[k]}), lambda c: c.n >= 2),
+         list_transform(list_filter(range(1, n + 1), lambda i: ahead[i] IS NOT NULL), lambda i: {'line': i, 'n': ahead[i]}),
+         list_transform(list_filter(range(1, n + 1), lambda i: back[i] IS NOT NULL), lambda i: {'line': i - back[i] + 1, 'n': back[i]}))) AS ps FROM w),
+u AS (SELECT doc_id, lines, unnest(ps) AS p FROM p),
+o AS (SELECT doc_id, p.line AS line, p.n AS n, array_to_string(lines[p.line:p.line + p.n - 1], chr(10)) AS text FROM u),
+r AS (SELECT doc_id, line, n, row_number() OVER (PARTITION BY text ORDER BY doc_id, line) AS nth FROM o),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(line, line + n)))) AS gone, count(*) AS chunks_removed FROM r WHERE nth > 1 GROUP BY doc_id)
+SELECT l.doc_id, len(lines)::INTEGER AS n_lines, coalesce(len(gone), 0)::INTEGER AS lines_removed, coalesce(chunks_removed, 0)::INTEGER AS chunks_removed,
        md5(array_to_string(list_filter(lines, lambda x, i: NOT coalesce(list_contains(gone, i), false)), chr(10))) AS text_md5
 FROM l LEFT JOIN g USING (doc_id)
 """

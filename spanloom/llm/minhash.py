@@ -67,7 +67,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 "bands": [bands(s) for s in sets], "set": [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets],
             })
 
-    return keyed.mapInPandas(run, "row_key long, doc_id long, node long, bands array<long>, set array<int>")
+    return keyed.mapInPandas(run, "row_key binary, doc_id long, node long, bands array<long>, set array<int>")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:

@@ -168,42 +168,87 @@ def test_byte_bpe(spark, texts, chunk, overlap):
 # --- line dedup
 
 
-def dedup_by_hand(docs):
+def dedup_by_hand(docs, passages=True):
     def h(line):
         return int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
 
-    chunks = []
+    def words(lines):
+        return sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines)
+
+    pieces = set()
     for d, t in docs:
         lines = (t or "").split("\n")
-        hs = [h(x) for x in lines]
-        starts = [i for i in range(len(lines)) if i == 0 or (hs[i] * 1_000_003 + (hs[i + 1] if i + 1 < len(lines) else 0)) % 2_147_483_629 % 3 < 2]
-        starts = [y for a, b in zip(starts, [*starts[1:], len(lines)], strict=True) for y in range(a, b, 16)]
-        for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
-            text = "\n".join(lines[a:b])
-            if b - a >= 2 or len(text.split()) >= 20:
-                chunks.append((text, d, a, b))
+        hs, n, marked = [0, 0, 0, *map(h, lines)], len(lines), []
+        for i in range(n):
+            rolling = 0
+            for x in hs[i : i + 4]:
+                rolling = (rolling * 1_000_003 + x) % 2_147_483_629
+            marked.append(rolling % 3 == 0)
+        # 0-based: a chunk begins at i if line i - 1 is marked and line i - 2 is not
+        starts = [0, *(i for i in range(2, n - 1) if marked[i - 1] and not marked[i - 2])]
+        starts = [y for a, b in zip(starts, [*starts[1:], n], strict=True) for y in range(a, b, 16)]
+        pieces |= {(d, a, b) for a, b in zip(starts, [*starts[1:], n], strict=True) if b - a >= 2}
+        if passages:
+            for i in range(n):
+                pieces |= {(d, i, b) for b in [next((b for b in range(i + 1, min(n, i + 16) + 1) if b - i == 16 or words(lines[i:b]) >= 20), None)] if b}
+                pieces |= {(d, a, i + 1) for a in [next((a for a in range(i, max(-1, i - 16), -1) if i + 1 - a == 16 or words(lines[a : i + 1]) >= 20), None)] if a is not None}
+    text = {p: "\n".join((dict(docs)[p[0]] or "").split("\n")[p[1] : p[2]]) for p in pieces}
     first = {}
-    for text, d, a, b in sorted(chunks, key=lambda c: (c[1], c[2])):
-        first.setdefault(text, (d, a))
+    for p in sorted(pieces):
+        first.setdefault(text[p], p)
     out = {}
     for d, t in docs:
-        gone = {i for text, e, a, b in chunks if e == d and first[text] != (e, a) for i in range(a, b)}
-        out[d] = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+        mine = [p for p in pieces if p[0] == d and first[text[p]] != p]
+        gone = {i for p in mine for i in range(p[1], p[2])}
+        out[d] = (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone), len(gone), len(mine))
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("passages", [True, False])
+def test_line_dedup(spark, passages):
     lines = [prose(rng.randint(1, 70)) for _ in range(60)]
     passage = "\n".join(prose(30) for _ in range(20))
     texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 30))) for _ in range(25)]
     texts = [*texts, None, "", "\n\n\n", texts[3], texts[3], "\n".join(["same"] * 100), "x\n" + passage + "\ny", passage + "\nz", prose(80), "pre\n" + prose(3) + "\n" + texts[5]]
     df = table(spark, texts, extra=True).repartition(3)
-    got = line_dedup.dedup_lines(df)
+    got = line_dedup.dedup_lines(df, passages)
     assert set(df.columns) <= set(got.columns)
-    want = dedup_by_hand(list(enumerate(texts)))
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
-    assert len(want[texts.index(passage + "\nz")].split("\n")) < 10
-    assert line_dedup.dedup_lines(table(spark, [])).count() == 0
+    want = dedup_by_hand(list(enumerate(texts)), passages)
+    assert {r["doc_id"]: (r["text"], r["lines_removed"], r["chunks_removed"]) for r in got.collect()} == want
+    left = want[texts.index(passage + "\nz")][0]
+    assert left == "z" if passages else left.count("\n") < 18
+    assert line_dedup.dedup_lines(table(spark, []), passages).count() == 0
+
+
+def test_chunks_have_two_lines_and_copies_of_short_lines_go(spark):
+    """Documents of 60 lines of 9 words, each stored twice: chunks alone, without passages(), remove all of the second copy."""
+    made = random.Random(3)
+    texts = ["\n".join(" ".join(f"w{made.randrange(10**6)}" for _ in range(9)) for _ in range(60)) for _ in range(20)]
+    df = table(spark, texts + texts)
+    sizes = [c["n_lines"] for r in line_dedup.chunked(df).collect() for c in r["chunks"]]
+    assert min(sizes) >= 2 and max(sizes) <= 16 and 3 < sum(sizes) / len(sizes) < 7
+    for passages in (True, False):
+        left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, passages).collect()}
+        assert [left[i] for i in range(20)] == texts and {left[i] for i in range(20, 40)} == {""}
+    shifted = table(spark, texts + [f"own {i}\n{t}\nown too {i}" for i, t in enumerate(texts)])
+    left = [r["text"].count("\n") + 1 for r in line_dedup.dedup_lines(shifted, False).where("doc_id >= 20").collect()]
+    assert sum(left) / len(left) < 16
+    assert {r["lines_removed"] for r in line_dedup.dedup_lines(shifted).where("doc_id >= 20").collect()} == {60}
+
+
+def test_line_dedup_of_repeated_rows_and_hot_lines(spark, monkeypatch):
+    """Rows equal in id and text are one document; a passage in all documents goes from all but the first, also where its key is taken apart from the others."""
+    licence = prose(40)
+    rows = [(i, f"own {i} {prose(25)}\n{licence}") for i in range(60)]
+    df = spark.createDataFrame([(*r, "en", "a", 0) for r in [*rows, *rows[:5], (None, licence), (None, None)]], DOCS)
+    want = None
+    for hot, most in ((10**6, 20_000), (10, 20_000), (10, 0)):
+        monkeypatch.setattr("spanloom.llm.common.HOT_ROWS", hot)
+        monkeypatch.setattr("spanloom.llm.common.BROADCAST_ROWS", most)
+        got = sorted(((r["doc_id"], r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(df).collect()), key=str)
+        assert want is None or got == want
+        want = got
+    assert len(want) == 67 and sorted({r[2] for r in want if r[0] is not None}) == [1] and (None, licence, 0) in want and (None, None, 0) in want
 
 
 @pytest.mark.parametrize("size", [1, 4, 12, 80])
@@ -215,7 +260,7 @@ def test_passages_go_to_their_ends(spark, size):
         words = [f"p{made.randrange(10**6)}" for _ in range(80 if size == 80 else made.randint(50, 300))]
         planted.append("\n".join(" ".join(words[i : i + size]) for i in range(0, len(words), size)))
         texts += [f"{own()}\n{planted[-1]}\n{own()}" for _ in range(2)]
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, texts, extra=True).repartition(3), passages=True).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, texts, extra=True).repartition(3)).collect()}
     for i, t in enumerate(texts):
         want = t.replace(planted[i // 2] + "\n", "") if i % 2 else t
         assert got[i]["text"] == want
@@ -226,8 +271,8 @@ def test_passages_leave_each_line_somewhere(spark):
     made = random.Random(8)
     lines = ["", "same", *(prose(made.randint(1, 25)) for _ in range(12))]
     texts = ["\n".join(made.choice(lines) for _ in range(made.randint(1, 40))) for _ in range(30)] + [None, "", "\n".join(["same"] * 100)]
-    got = line_dedup.dedup_lines(table(spark, texts), passages=True).collect()
-    plain = {r["doc_id"]: r["lines_removed"] for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    got = line_dedup.dedup_lines(table(spark, texts)).collect()
+    plain = {r["doc_id"]: r["lines_removed"] for r in line_dedup.dedup_lines(table(spark, texts), passages=False).collect()}
     assert {x for r in got for x in (r["text"] or "").split("\n")} == {x for t in texts for x in (t or "").split("\n")}
     assert all(r["lines_removed"] >= plain[r["doc_id"]] for r in got) and {r["doc_id"]: r["text"] for r in got}[30] is None
 
