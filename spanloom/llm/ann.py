@@ -2,11 +2,12 @@
 
 Every vector belongs to the list of its nearest centroid and is stored as the codes of its residual, a byte for
 each group of components, beside the vector itself. A query visits the lists whose centroids score best, empty ones
-passed over, and goes on while these hold too few vectors; within a list a table of inner products of the query with all code words (the asymmetric distances) scores the codes by
-lookups, and the best of them are scored again on the original vectors in double precision. Centroids and code
-books are fitted on a bounded sample; how many lists a query visits is measured on the sample too, so that it is
-as small as the data allow; every vector is indexed. Lists are stored in pages of bounded size, so that a list
-with a large share of all vectors is many pages.
+passed over, and goes on while these hold too few vectors; within a list a table of inner products of the query with
+all code words (the asymmetric distances) scores the codes by lookups, and the best of them are scored again on the
+original vectors in double precision. Centroids and code books are fitted on a bounded sample; how many lists a query
+visits is measured on the sample too, so that it is as small as the data allow; every vector is indexed. Lists are
+stored in pages of bounded size, so that a list with a large share of all vectors is many pages, and queries go to the
+shards of the lists that they visit only.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, written
-from .vectors import PAGE_ROWS, Tops, add, best, k_means, matrix, nearest, packed, query_blocks, sample, search_pairs, usable, with_pages
+from .vectors import Layout, Tops, asking, best, by_dimension, cut, k_means, matrix, nearest, packed, page_rows, query_blocks, sample, search_shards, usable, with_pages
 
 #: One list for so many vectors, at most so many.
 LIST_ROWS, MOST_LISTS = 256, 1024
@@ -68,85 +69,92 @@ class Index:
         return [q[:, g] @ b.T for g, b in zip(self.groups, self.books, strict=True)]
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest inner products found for each row of vectors (vec_id, embedding) that the condition is_query holds for, among all rows with another vec_id.
 
-    Vectors that are null, zero, hold null or non-finite components, or are of another dimension than most take no
-    part, nor do rows without an id. Ties go to the smaller vec_id; a repeated row counts each time. Fewer than k
-    candidates give fewer rows, an empty table none. Other columns are ignored.
+    Vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows without an id.
+    Vectors are compared with those of their own dimension. Ties go to the smaller vec_id; a repeated row counts each
+    time as a candidate, and asks once. Products beyond the range of doubles count as the largest or smallest double,
+    undefined ones (infinity less infinity) as the smallest. Fewer than k candidates give fewer rows, an empty table
+    none. Other columns are ignored.
     """
-    spark = vectors.sparkSession
-    small_batches(spark, 2000)
-    v, dim = usable(vectors, nonzero=True)
-    x = sample(v, dim)
-    if not len(x):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = spark.sparkContext.broadcast(Index(x, v.count(), k))  # bounded by MOST_LISTS and WORDS
+    small_batches(vectors.sparkSession, 2000)
+    return by_dimension(usable(vectors, is_query, nonzero=True), lambda v, dim, n: search_one(v, dim, n, k), RESULT)
+
+
+def search_one(v: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+    spark = v.sparkSession
+    index = spark.sparkContext.broadcast(Index(cut(sample(v, dim)), n, k))  # bounded by MOST_LISTS and WORDS
 
     def assign(batches):
+        row = 0
         for b in batches:
             m = matrix(b["v"], dim)
-            cell = nearest(m, index.value.centres)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "is_query": b["is_query"], "cell": cell.astype(np.int32), "vec": [packed(r) for r in m], "codes": [packed(r) for r in index.value.codes(m, cell)]})
+            c = cut(m)
+            cell = nearest(c, index.value.centres)
+            yield pd.DataFrame({"vec_id": b["vec_id"], "is_query": b["is_query"], "row": range(row, row + len(b)), "cell": cell.astype(np.int32), "vec": [packed(r) for r in m], "codes": [packed(r) for r in index.value.codes(c, cell)]})
+            row += len(b)
 
-    assigned = v.withColumn("is_query", F.coalesce(is_query, F.lit(False))).mapInPandas(assign, "vec_id long, is_query boolean, cell int, vec binary, codes binary")
-    assigned = written(assigned, "ann-index")
-    sizes = {r["cell"]: r["count"] for r in assigned.groupBy("cell").count().collect()}  # a row a list: MOST_LISTS at most
+    assigned = written(v.mapInPandas(assign, "vec_id long, is_query boolean, row long, cell int, vec binary, codes binary"), "ann-index")
+    paged, n_pages = with_pages(assigned.select("vec_id", "cell", "vec", "codes", "row", F.lit(0).alias("shell")), page_rows(dim))
+    layout, n_lists = Layout(index.value.centres, n_pages), len(index.value.centres)
 
     def page(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"cell": b["cell"].iloc[0], "page": b["page"].iloc[0], "members": packed(b["vec_id"].to_numpy(np.int64)), "stored": b"".join(b["vec"]), "codes": b"".join(b["codes"])}])
+        cell, number = int(b["cell"].iloc[0]), int(b["page"].iloc[0])
+        return pd.DataFrame([{"shard": layout.shard(cell, number), "cell": cell, "page": number, "members": packed(b["vec_id"].to_numpy(np.int64)), "stored": b"".join(b["vec"]), "codes": b"".join(b["codes"])}])
 
-    pages = with_pages(assigned.drop("is_query"), sizes, PAGE_ROWS).groupBy("cell", "page").applyInPandas(page, "cell int, page int, members binary, stored binary, codes binary")
+    pages = paged.select("vec_id", "cell", "page", "vec", "codes").groupBy("cell", "page").applyInPandas(page, "shard int, cell int, page int, members binary, stored binary, codes binary")
 
-    held = np.zeros(len(index.value.centres), np.int64)
-    held[list(sizes)] = list(sizes.values())
+    held = np.zeros(n_lists, np.int64)
+    for r in assigned.groupBy("cell").count().collect():  # a row a list: MOST_LISTS at most
+        held[r["cell"]] = r["count"]
     filled = np.flatnonzero(held)
 
     def route(batches):
         for b in batches:
-            q = np.frombuffer(b"".join(b["vec"]), np.float64).reshape(-1, dim)
+            q = cut(np.frombuffer(b"".join(b["vec"]), np.float64).reshape(-1, dim))
             near = filled[np.argsort(-(q @ index.value.centres[filled].T), axis=1)]
             # before a list: how many vectors the better ones hold
             before = np.cumsum(held[near], axis=1) - held[near]
             visit = (np.arange(len(filled)) < index.value.visits) | (before < RERANK * k)
-            mask = np.zeros((len(q), len(index.value.centres)), bool)
+            mask = np.zeros((len(q), n_lists), bool)
             np.put_along_axis(mask, near, visit, axis=1)
-            yield b[["vec_id", "cell", "vec"]].assign(cells=[packed(r) for r in mask])
-
-    queries = assigned.where("is_query").select("vec_id", "cell", "vec").mapInPandas(route, "vec_id long, cell int, vec binary, cells binary")
-    n_all = sum(sizes.values())
-    asked = assigned.where("is_query").count() / n_all
-
-    def scan(pairs):
-        tops, of = Tops(k, -np.inf), None
-        for block, page in pairs:
-            if of is None or of[0] != block.block:
-                ids, q = np.frombuffer(block.ids, np.int64), np.frombuffer(block.vecs, np.float64).reshape(-1, dim)
-                mask = np.frombuffer(block.cells, bool).reshape(len(ids), -1)
-                of = (block.block, ids, q, mask, index.value.tables(q), q @ index.value.centres.T, ERRORS * index.value.error * np.sqrt((q * q).sum(1)))
-            _block, ids, q, mask, tables, by_centre, slack = of
-            pushed, best_ids, best_scores = tops.of(block.block, ids)
-            yield from pushed
-            visit = np.flatnonzero(mask[:, page.cell])
-            if not len(visit):
-                continue
-            members, stored = np.frombuffer(page.members, np.int64), np.frombuffer(page.stored, np.float64).reshape(-1, dim)
-            codes = np.frombuffer(page.codes, np.uint8).reshape(len(members), -1)
-            near = by_centre[visit, page.cell][:, None] + np.zeros(len(members))
-            for g, t in enumerate(tables):
-                near += t[visit].take(codes[:, g], axis=1)
-            floor = best_scores[visit, k - 1] - slack[visit]
-            most = RERANK * k
-            if len(members) > most and not np.isfinite(floor).all():
-                # without k answers yet: the best of the page by codes, all ties with the last of them included
-                empty = ~np.isfinite(floor)
-                floor[empty] = np.partition(near[empty], len(members) - most, axis=1)[:, len(members) - most]
-            rows, at = np.nonzero((near >= floor[:, None]) & (members[None, :] != ids[visit][:, None]))
-            rows = visit[rows]
-            add(best_ids, best_scores, rows, members[at], np.einsum("ij,ij->i", stored[at], q[rows]), -np.inf)
-        yield from tops.rest()
-
-    return best(search_pairs(query_blocks(queries, sizes, [], asked), pages, sizes, asked, scan, "query_id long, vec_id long, score double"), k)
+            yield b[["vec_id", "cell", "vec"]].assign(cells=[packed(r) for r in np.packbits(mask, axis=1)])
+
+    queries = written(asking(assigned).mapInPandas(route, "vec_id long, cell int, vec binary, cells binary"), "ann-queries")
+
+    def scan(blocks, of_shard):
+        for b in blocks:
+            ids, q = np.frombuffer(b.ids, np.int64), np.frombuffer(b.vecs, np.float64).reshape(-1, dim)
+            mask = np.unpackbits(np.frombuffer(b.cells, np.uint8).reshape(len(ids), -1), axis=1, count=n_lists).astype(bool)
+            c, tops = cut(q), Tops(ids, k, -np.inf)
+            tables, by_centre, slack = index.value.tables(c), c @ index.value.centres.T, ERRORS * index.value.error * np.sqrt((c * c).sum(1))
+            for p in of_shard:
+                visit = np.flatnonzero(mask[:, p.cell])
+                if not len(visit):
+                    continue
+                members, stored = np.frombuffer(p.members, np.int64), np.frombuffer(p.stored, np.float64).reshape(-1, dim)
+                codes = np.frombuffer(p.codes, np.uint8).reshape(len(members), -1)
+                near = by_centre[visit, p.cell][:, None] + np.zeros(len(members))
+                for g, t in enumerate(tables):
+                    near += t[visit].take(codes[:, g], axis=1)
+                floor = tops.scores[visit, k - 1] - slack[visit]
+                most = RERANK * k
+                if len(members) > most and not np.isfinite(floor).all():
+                    # without k answers yet: the best of the page by codes, all ties with the last of them included
+                    empty = ~np.isfinite(floor)
+                    floor[empty] = np.partition(near[empty], len(members) - most, axis=1)[:, len(members) - most]
+                rows, at = np.nonzero((near >= floor[:, None]) & (members[None, :] != ids[visit][:, None]))
+                rows = visit[rows]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = np.nan_to_num(np.einsum("ij,ij->i", stored[at], q[rows]), nan=-np.finfo(float).max)
+                tops.add(rows, members[at], scores)
+            yield tops.rows()
+
+    return best(search_shards(query_blocks(queries, layout, dim), pages, scan, "query_id long, vec_id long, score double"), k)
 
 
 def op6_ann(spark, sf_dir: str) -> DataFrame:
