@@ -2,9 +2,11 @@
 
 A long text is cut into chunks that overlap. Each chunk is pre-tokenised where it lies, from its own first
 character, which may be the middle of a pre-token; soon its boundaries meet those of the chunk before it. Where
-both have a boundary, all later ones agree, as what follows a boundary depends only on what comes after it. The
-text is then cut there, the pieces are encoded apart, and their ids (and bytes, when decoding) are put together.
-A text of at most one chunk is a piece as it is, so that ordinary documents are never moved.
+both have a boundary, all later ones agree, as what follows a boundary depends only on what comes after it. A chunk
+that doesn't meet the one before it (within a pre-token longer than the overlap) is joined to that one, and the two
+are pre-tokenised together until they meet the next. The text is then cut where chunks meet, the pieces are encoded
+apart, and their ids (and bytes, when decoding) are put together. A text of at most one chunk is a piece as it is, so
+that ordinary documents are never moved.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, table
+from .common import small_batches, table, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters in a chunk, and by how many it reaches into the next.
@@ -59,30 +61,81 @@ def boundaries(text: str, last: bool) -> list[int]:
     return [*starts, len(text)] if last else starts[:-2]
 
 
-def pieces_of_long(long_docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(key, doc_id, piece, text) of the documents that are longer than a chunk: their texts cut at common boundaries."""
-    n_chunks = F.ceil((F.length("text")) / F.lit(chunk)).cast("int")
-    cut = long_docs.select("key", "doc_id", "text", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"), n_chunks.alias("n"))
-    cut = cut.select("key", "doc_id", "chunk", "n", F.expr(f"substring(text, chunk * {chunk} + 1, {chunk + overlap})").alias("text"))
+def sliced(docs: DataFrame, spans: str, chunk: int, schema: str, make) -> DataFrame:
+    """Rows that make(row, text) gives for each entry of the array column spans of docs (text, ...); each text is held once and cut in one pass."""
 
-    def lex(batches):
+    def run(batches):
+        names = [x.split()[0] for x in schema.split(", ")]
         for b in batches:
-            rows = []
-            for c, n, t in zip(b["chunk"], b["n"], b["text"], strict=True):
-                at = boundaries(t, c == n - 1)
-                rows.append(([c * chunk + x for x in at if x <= overlap], [c * chunk + x for x in at if x >= chunk]))
-            yield b.drop(columns="text").assign(head=[r[0] for r in rows], tail=[r[1] for r in rows])
-
-    lexed = cut.repartition("key", "chunk").mapInPandas(lex, "key string, doc_id long, chunk int, n int, head array<long>, tail array<long>")
-    of_doc = Window.partitionBy("key").orderBy("chunk")
-    common = F.array_min(F.array_intersect("head", F.lag("tail").over(of_doc)))
-    starts = lexed.withColumn("start", F.when(F.col("chunk") == 0, F.lit(0).cast("long")).otherwise(common))
-    # A chunk whose boundaries never meet those before it, and all after it, are no starts of pieces: the last good piece goes on to the end.
-    starts = starts.withColumn("met", F.min(F.col("start").isNotNull()).over(of_doc.rowsBetween(Window.unboundedPreceding, 0))).where("met")
-    spans = starts.withColumn("end", F.lead("start").over(of_doc))
-    spans = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    cut_at = long_docs.join(spans, "key").select("key", "doc_id", "text", F.posexplode("spans").alias("piece", "span"))
-    return cut_at.select("key", "doc_id", "piece", F.expr("substring(text, cast(span.start + 1 as int), cast(coalesce(span.end, length(text)) - span.start as int))").alias("text"))
+            rows, size = [], 0
+            for r in b.itertuples(index=False):
+                for i, span in enumerate(getattr(r, spans)):
+                    rows.append(make(r, i, span))
+                    size += len(rows[-1][-1])
+                    if size > 1 << 22:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    return docs.mapInPandas(run, schema)
+
+
+LEXED = "key string, first int, last int, head array<long>, tail array<long>"
+
+
+def lexed(parts: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """LEXED of parts (key, first, last, ends, text): boundaries within the overlaps at both ends of the chunks first to last of a text; ends says that the text ends with them."""
+
+    def run(batches):
+        for b in batches:
+            heads, tails = [], []
+            for first, last, ends, text in zip(b["first"], b["last"], b["ends"], b["text"], strict=True):
+                at, own = boundaries(text, bool(ends)), (int(last) - int(first) + 1) * chunk
+                heads.append([int(first) * chunk + x for x in at if x <= overlap])
+                tails.append([int(first) * chunk + x for x in at if x >= own])
+            yield b[["key", "first", "last"]].assign(head=heads, tail=tails)
+
+    return parts.mapInPandas(run, LEXED)
+
+
+def meetings(long_docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """key, starts: the places, 0 among them, at which the long texts (key, text) can be cut."""
+    n = F.ceil(F.length("text") / F.lit(chunk)).cast("int")
+    part = "key string, first int, last int, ends boolean, text string"
+
+    def cut(r, _i, span):
+        first, last = int(span["first"]), int(span["last"])
+        return r.key, first, last, last == r.n - 1, r.text[first * chunk : (last + 1) * chunk + overlap]
+
+    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("first"), i.alias("last")))
+    parts = sliced(long_docs.select("key", "text", n.alias("n"), single.alias("spans")), "spans", chunk, part, cut)
+    state = written(lexed(parts.repartition("key", "first"), chunk, overlap), "bpe-lexed")
+    of_doc = Window.partitionBy("key").orderBy("first")
+    while True:
+        common = F.array_min(F.array_intersect("head", F.lag("tail").over(of_doc)))
+        met = state.withColumn("start", F.when(F.col("first") == 0, F.lit(0).cast("long")).otherwise(common))
+        met = met.withColumn("run", F.sum(F.col("start").isNotNull().cast("int")).over(of_doc))
+        joined = met.groupBy("key", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n")).where("n > 1")
+        again = written(joined.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), "bpe-again")
+        if again.isEmpty():
+            return met.groupBy("key").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+        # only the texts of runs that don't meet are pre-tokenised again; each round leaves fewer parts
+        parts = sliced(long_docs.select("key", "text", n.alias("n")).join(again, "key"), "spans", chunk, part, cut).repartition("key", "first")
+        inside = F.exists("spans", lambda s: (F.col("first") >= s["first"]) & (F.col("last") <= s["last"]))
+        rest = state.join(again, "key", "left").where(~F.coalesce(inside, F.lit(False))).select(state.columns)
+        state = written(rest.unionByName(lexed(parts, chunk, overlap)), "bpe-lexed")
+
+
+def pieces_of_long(long_docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """key, doc_id, piece, n, text of the documents (key, doc_id, n, text) that are longer than a chunk: their texts cut where chunks meet."""
+
+    def cut(r, i, start):
+        end = int(r.starts[i + 1]) if i + 1 < len(r.starts) else len(r.text)
+        return r.key, r.doc_id, i, r.n, r.text[int(start) : end]
+
+    cuts = long_docs.withColumn("doc_id", F.col("doc_id").cast("string")).join(meetings(long_docs, chunk, overlap), "key")
+    pieces = sliced(cuts, "starts", chunk, "key string, doc_id string, piece int, n long, text string", cut)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 PIECE = "key string, doc_id long, piece int, n long, ids binary"
@@ -98,9 +151,9 @@ def pieces(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple
     short = rows.where(F.length("text") <= chunk).select(F.lit(None).cast("string").alias("key"), "doc_id", F.lit(0).alias("piece"), F.lit(1).cast("long").alias("n"), "text")
     long = rows.where(F.length("text") > chunk)
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256)
-    long = long.groupBy(key.alias("key")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("n"))
-    cut = pieces_of_long(long, chunk, overlap).join(long.select("key", "n"), "key").select("key", "doc_id", "piece", "n", "text")
-    return short, cut.repartition("key", "piece")
+    small_batches(docs.sparkSession)
+    long = written(long.groupBy(key.alias("key")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("n")), "bpe-long")
+    return short, pieces_of_long(long, chunk, overlap).repartition("key", "piece")
 
 
 def encode(texts: DataFrame, path: str | None = None) -> DataFrame:
@@ -109,11 +162,14 @@ def encode(texts: DataFrame, path: str | None = None) -> DataFrame:
     small_batches(texts.sparkSession)
 
     def run(batches):
+        import pyarrow as pa
+
         enc = encoding(path)
         for b in batches:
-            yield b.drop(columns="text").assign(ids=[enc.encode_to_numpy(t).astype("<u4").tobytes() for t in b["text"]])
+            ids = [enc.encode_to_numpy(t).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
+            yield b.drop_columns(["text"]).append_column("ids", pa.array(ids, pa.binary()))
 
-    return texts.mapInPandas(run, PIECE)
+    return texts.mapInArrow(run, PIECE)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -122,11 +178,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     small_batches(encoded.sparkSession)
 
     def run(batches):
+        import pyarrow as pa
+
         enc = encoding(path)
         for b in batches:
-            yield b.assign(raw=[enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in b["ids"]])
+            yield b.append_column("raw", pa.array([enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in b.column("ids").to_pylist()], pa.binary()))
 
-    return encoded.mapInPandas(run, PIECE + ", raw binary")
+    return encoded.mapInArrow(run, PIECE + ", raw binary")
 
 
 def digests(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -134,17 +192,30 @@ def digests(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overla
     short, long = (decode(encode(p, path), path) for p in pieces(docs, chunk, overlap))
     one = short.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
-    def join(b: pd.DataFrame) -> pd.DataFrame:
-        ids, raw, count = hashlib.sha256(), hashlib.sha256(), 0
-        b = b.sort_values("piece")
-        for i, r in zip(b["ids"], b["raw"], strict=True):
-            ids.update(i)
-            raw.update(r)
-            count += len(i) // 4
-        row = (b["doc_id"].iloc[0], count, ids.hexdigest(), raw.hexdigest())
-        return pd.DataFrame([row] * int(b["n"].iloc[0]), columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
-
-    return one.unionByName(long.groupBy("key").applyInPandas(join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    def joined(batches):
+        """The pieces of a document come one after the other; only its digests are held."""
+        import pyarrow as pa
+
+        held = None
+
+        def row(h):
+            one = [h["doc_id"], h["count"], h["ids"].hexdigest(), h["raw"].hexdigest()]
+            return pa.RecordBatch.from_arrays([pa.array([x] * h["n"], t) for x, t in zip(one, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        for b in batches:
+            for key, doc_id, n, ids, raw in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "n", "ids", "raw")), strict=True):
+                if held is None or held["key"] != key:
+                    if held is not None:
+                        yield row(held)
+                    held = {"key": key, "doc_id": doc_id, "n": n, "count": 0, "ids": hashlib.sha256(), "raw": hashlib.sha256()}
+                held["ids"].update(ids)
+                held["raw"].update(raw)
+                held["count"] += len(ids) // 4
+        if held is not None:
+            yield row(held)
+
+    ordered = long.repartition("key").sortWithinPartitions("key", "piece")
+    return one.unionByName(ordered.mapInArrow(joined, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import corpus_pipeline
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import ann, byte_bpe, line_dedup, minhash, mixing, mtree, quality, secrets, simhash, token_store, warc
+from spanloom.llm import vectors as vectors_module
 from spanloom.llm.common import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -165,6 +167,32 @@ def test_byte_bpe(spark, texts, chunk, overlap):
     assert got == sorted(want)
 
 
+def test_byte_bpe_of_repeated_rows_and_null_ids(spark):
+    enc, long = byte_bpe.encoding(byte_bpe.ranks_path()), prose(9_000)
+    big = 2**60 + 1
+    rows = [(None, "a b"), (None, long), (None, long), (big, "a b"), (big, "a b"), (big, long), (5, None), (5, None)]
+    df = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], DOCS)
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in byte_bpe.digests(df).collect()]
+    want = [(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for i, t in rows for ids in [enc.encode_ordinary(t or "")]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_byte_bpe_meets_again_behind_long_words(spark):
+    """At production size: a run of letters longer than overlap and chunk costs its own piece only."""
+    made, enc = random.Random(9), byte_bpe.encoding(byte_bpe.ranks_path())
+    plain = lambda n: " ".join(made.choice(WORDS) for _ in range(n))
+    texts = [plain(30_000) + " " + "".join(made.choice("abcdefgh") for _ in range(40_000)) + " " + plain(50_000), plain(10_000) + "x" * 100_000 + plain(20_000) + "é" * 70_000, " " * 90_000 + plain(12_000), "ab" * 50_000]
+    df = table(spark, texts)
+    _short, long = byte_bpe.pieces(df)
+    cut = {}
+    for r in long.collect():
+        cut.setdefault(r["doc_id"], []).append((r["piece"], r["text"]))
+    assert {i: "".join(t for _, t in sorted(p)) for i, p in cut.items()} == dict(enumerate(texts))
+    assert len(cut[0]) > len(texts[0]) / byte_bpe.CHUNK - 3 and max(len(t) for _, t in cut[0]) < 80_000 and len(cut[1]) >= 3 and len(cut[3]) == 1
+    got = {r["doc_id"]: r["ids_sha256"] for r in byte_bpe.digests(df).collect()}
+    assert got == {i: hashlib.sha256(np.array(enc.encode_ordinary(t), "<u4").tobytes()).hexdigest() for i, t in enumerate(texts)}
+
+
 # --- line dedup
 
 
@@ -314,19 +342,27 @@ def test_arc_versions():
 # --- vector searches
 
 
-def vectors(spark, n=700, dim=16):
+def vectors(spark, n=700, dim=16, clustered=False):
     made = np.random.default_rng(3)
     x = made.normal(size=(n, dim))
+    if clustered:
+        x = made.normal(size=(25, dim))[np.arange(n) % 25] * 4 + 0.2 * x
     x[100:160] = x[7]
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
-    rows += [(n, None), (n + 1, [0.0] * dim), (n + 2, [None] * dim), (n + 3, [float("nan")] * dim), (n + 4, [1.0, 2.0]), (n + 5, []), (None, [1.0] * dim)]
+    rows += [(n, None), (n + 1, [0.0] * dim), (n + 2, [None] * dim), (n + 3, [float("nan")] * dim), (n + 5, []), (None, [1.0] * dim)]
+    # vectors of another dimension have only each other
+    rows += [(10_000, [1.0, 2.0]), (10_001, [3.0, -1.0]), (10_100, [0.5, 0.25])]
     return x, spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit("clash"))
 
 
-def test_ann(spark):
-    x, df = vectors(spark)
+@pytest.mark.parametrize("clustered", [False, True])
+def test_ann(spark, monkeypatch, clustered):
+    monkeypatch.setattr(ann, "LIST_ROWS", 40)
+    x, df = vectors(spark, clustered=clustered)
     got = ann.search(df, F.col("vec_id") % 20 == 0, 20).toPandas()
-    hit = 0
+    small = got[got["query_id"] >= 10_000]
+    assert small[["query_id", "vec_id", "score"]].values.tolist() == [[10_000, 10_001, 1.0], [10_000, 10_100, 1.0], [10_100, 10_001, 1.25], [10_100, 10_000, 1.0]]
+    got, hit = got[got["query_id"] < 10_000], 0
     for q, own in got.groupby("query_id"):
         scores = x @ x[q]
         order = [i for i in np.lexsort((np.arange(len(x)), -scores)) if i != q][:20]
@@ -339,6 +375,25 @@ def test_ann(spark):
     assert ann.search(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0, 20).count() == 4
 
 
+def test_extreme_vectors_and_repeated_rows(spark):
+    """Products beyond the range, and rows that are there twice: as candidates each counts, as queries they ask once."""
+    rows = [(0, [1e300, 1e300]), (20, [1.0, 2.0]), (3, [-1e300, 1e300]), (4, [1e300, -1e299]), (100, [2.0, 1.0]), (100, [2.0, 1.0]), (6, [0.5, 0.5]), (6, [0.5, 0.5])]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 20 == 0, 3).orderBy("query_id", "rank").collect()]
+    # 0 with 3 and 4: infinity less infinity
+    assert got[:3] == [(0, 1, 20, 3e300), (0, 2, 100, 3e300), (0, 3, 100, 3e300)]
+    assert [x[2:] for x in got[3:6]] == [(0, 3e300), (3, 1e300), (4, 8e299)] and [x[2] for x in got[6:]] == [0, 4, 20]
+    long = np.iinfo(np.int64).max
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.search(df, F.col("vec_id") % 100 == 0, 7).orderBy("query_id", "rank").collect()]
+    assert [x[2:] for x in got[:6]] == [(4, long), (6, long), (6, long), (20, long), (100, long), (100, long)] and got[6][:3] == (0, 7, 3)
+    assert [x[2:] for x in got[7:]] == [(0, long), (4, long), (20, 4 * 1024**2), (6, 1536 * 1024), (6, 1536 * 1024), (3, -long + 1)]
+    big = np.random.default_rng(1).normal(size=(60, 64)) * 3e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(big)], "vec_id long, embedding array<double>")
+    whole = [[int(a) for a in np.floor(1024 * v)] for v in big]
+    exact = sorted((-min(long, max(-long + 1, sum(a * b for a, b in zip(whole[0], whole[i], strict=True)))), i) for i in range(1, 60))[:10]
+    assert [(-r["score"], r["vec_id"]) for r in mtree.search(df, F.col("vec_id") == 0, 10).orderBy("rank").collect()] == exact
+
+
 def test_ann_goes_on_in_small_lists(spark, monkeypatch):
     monkeypatch.setattr(ann, "LIST_ROWS", 8)
     monkeypatch.setattr(ann.Index, "measured", lambda self, x, k: 1)
@@ -350,10 +405,11 @@ def test_ann_goes_on_in_small_lists(spark, monkeypatch):
     assert len(got) == 48 and {r["count"] for r in got} == {20}
 
 
-@pytest.mark.parametrize("rows, leaf, page", [(1024, 64, 1024), (100, 8, 50)])
-def test_mtree(spark, monkeypatch, rows, leaf, page):
+@pytest.mark.parametrize("rows, page, clustered", [(1024, 1024, False), (100, 50, False), (40, 16, True), (10**6, 16, True)])
+def test_mtree(spark, monkeypatch, rows, page, clustered):
     monkeypatch.setattr(mtree, "PIVOT_ROWS", rows)
-    x, df = vectors(spark)
+    monkeypatch.setattr(vectors_module, "PAGE_ROWS", page)
+    x, df = vectors(spark, clustered=clustered)
     got = mtree.search(df, F.col("vec_id") % 100 == 0, 10).toPandas()
     whole = np.floor(1024 * np.vstack([x, np.zeros((1, x.shape[1]))])).astype(np.int64)
     ids = [*range(len(x)), len(x) + 1]
@@ -362,18 +418,62 @@ def test_mtree(spark, monkeypatch, rows, leaf, page):
         order = sorted((-s, i) for s, i in zip(scores, ids, strict=True) if i != q)[:10]
         own = got[got["query_id"] == q].sort_values("rank")
         assert list(zip(own["vec_id"], own["score"], strict=True)) == [(i, -s) for s, i in order]
+    assert sorted(got[got["query_id"] >= 10_000]["vec_id"]) == [10_000, 10_001, 10_001, 10_100]
     assert mtree.search(df.limit(0), F.col("vec_id") % 100 == 0, 10).count() == 0
 
 
-def test_mtree_bounds_hold():
+def pages_by_hand(x, n, leaf=None):
+    """Pages of n rows in order of the distance from one pivot."""
+    pivot = np.full(x.shape[1], 100.0)
+    order = np.argsort(((x - pivot) ** 2).sum(1))
+    rows = [order[i : i + n] for i in range(0, len(x), n)]
+    return pivot, [SimpleNamespace(cell=0, page=i, **mtree.build_page(x[r], r.astype(np.int64), pivot)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e4, 1e12])
+def test_mtree_bounds_hold(scale):
     made = np.random.default_rng(5)
-    x, pivot = np.floor(made.normal(size=(300, 8)) * 1024), made.normal(size=8) * 100
-    page = mtree.build_page(x, np.arange(300), pivot)
-    arrays = (np.frombuffer(page["objects"]).reshape(-1, 8), np.frombuffer(page["leaves"]).reshape(4, -1), np.frombuffer(page["members"], np.int64), np.frombuffer(page["stored"]).reshape(-1, 8), np.frombuffer(page["to_object"]))
-    for q in x[:40]:
-        ids, scores = mtree.search_page(q, q @ q, np.sqrt(((q - pivot) ** 2).sum()), -1, -np.inf, arrays, np.empty(0, np.int64), np.empty(0, np.int64), 5)
-        want = sorted((-int(s), i) for i, s in enumerate((x @ q).astype(int)))[:5]
-        assert [(-s, i) for i, s in zip(ids, scores, strict=True)] == want
+    x = np.floor((made.normal(size=(10, 8)) * 5)[np.arange(600) % 10] * 1024 + made.normal(size=(600, 8)) * 100 * scale)
+    pivot, pages = pages_by_hand(x, 60)
+    for p in pages:
+        radius, parent, largest = np.frombuffer(p.reach)
+        centre, members = np.frombuffer(p.centre), x[np.frombuffer(p.members, np.int64)]
+        assert mtree.apart(members, centre[None]).max() <= radius and parent == pytest.approx(np.sqrt(((centre - pivot) ** 2).sum())) and largest == (members**2).sum(1).max()
+    q = x[:40]
+    s = mtree.Search(np.arange(40), q, np.full(40, -np.inf), 5)
+    s.pages(pages, np.ones((40, 1), bool), pivot[None], 8)
+    whole = [[int(v) for v in r] for r in x]
+    for i in range(40):
+        exact = sorted((-min(mtree.HIGHEST, max(mtree.LOWEST + 1, sum(a * b for a, b in zip(whole[i], r, strict=True)))), j) for j, r in enumerate(whole) if j != i)[:5]
+        assert [(-a, b) for a, b in zip(s.tops.scores[i].tolist(), s.tops.ids[i].tolist(), strict=True)] == exact
+
+
+def test_mtree_leaves_products_out():
+    """On clustered vectors the bounds spare most products; a second search that knows the k-th score spares more."""
+    made = np.random.default_rng(6)
+    x = np.floor(made.normal(size=(40, 8))[np.arange(4000) % 40] * 4096 + made.normal(size=(4000, 8)) * 40)
+    pivot, pages = pages_by_hand(x, 100)
+    q, seen = x[:64], []
+    floor = np.full(64, -np.inf)
+    for _ in range(2):
+        s = mtree.Search(np.arange(64), q, floor, 10)
+        s.pages(pages, np.ones((64, 1), bool), pivot[None], 8)
+        seen.append(s.computed)
+        floor = s.tops.scores[:, -1].astype(float)
+    assert seen[1] <= seen[0] < 0.3 * 64 * 4000
+
+
+def test_layout_covers_all_pages():
+    made = np.random.default_rng(2)
+    centres, pages = made.normal(size=(50, 4)), {i: int(n) for i, n in enumerate(made.integers(1, 5, 50)) if i % 7}
+    pages[3] = 400
+    layout = vectors_module.Layout(centres, pages)
+    of = [(layout.shard(c, p), c) for c, n in pages.items() for p in range(n)]
+    sizes = np.bincount([s for s, _ in of])
+    assert sizes.max() <= vectors_module.SHARD_PAGES and len(sizes) >= vectors_module.FEW_SHARDS
+    for c in pages:
+        assert layout.shards(np.array([c])) == sorted({s for s, d in of if d == c})
+    assert layout.shards(np.array([0, 7])) == []
 
 
 # --- SimHash
