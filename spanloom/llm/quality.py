@@ -1,9 +1,10 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted good documents are the positives; a sample of all documents, good and bad together, is the unlabelled set.
-With the class prior known, the risk of a classifier on the bad ones is its risk on the unlabelled set less the
+With the class prior given, the risk of a classifier on the bad ones is its risk on the unlabelled set less the
 prior's share of the positives' risk; that difference can't truly be negative, so where it is, the non-negative
-estimator steps back instead of fitting it further. A small network on style features is trained so. Training uses
+estimator steps back instead of fitting it further. The prior itself is estimated from positives and unlabelled
+documents: above any score, the unlabelled share is at least the prior times the positives' share. A small network on style features is trained so. Training uses
 a bounded sample, as its size is a parameter; every document is scored by its whole text.
 """
 
@@ -166,21 +167,32 @@ def prior_from_scores(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(top_u[best] / max(top_p[best], 1e-9), 0.01, 0.99))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 2) -> float:
+    """Class prior of the unlabelled documents, from positives and unlabelled ones alone: each fold is scored by a first model of the others, and the folds' estimates are averaged. One half if there are too few."""
+    if len(positive) < 2 * folds or len(unlabelled) < 2 * folds:
+        return 0.5
+    found = []
+    for i in range(folds):
+        p_in, u_in = np.arange(len(positive)) % folds == i, np.arange(len(unlabelled)) % folds == i
+        first = fit(positive[~p_in], unlabelled[~u_in], 0.5, epochs=20, seed=5 + i)
+        found.append(prior_from_scores(first.score(positive[p_in]), first.score(unlabelled[u_in])))
+    return float(np.mean(found))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by 4 (a null id: no)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[np.ndarray, np.ndarray, float | None]:
-    """Features of the sampled positives and unlabelled documents, and the share of label 1 among the labels used (None if they are all of label 1). The sample is drawn by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the sampled positives (label 1) and unlabelled documents; no label 0 is read. The sample is drawn by a hash of the id."""
 
     def drawn(df: DataFrame, most: int, n: int) -> DataFrame:
         return df.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, n))))
 
-    usable = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    n_good, n_all = usable.agg(F.sum(F.when(F.col("quality") == 1, 1)), F.count("*")).first()
+    trusted = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1) & F.col("doc_id").isNotNull())
     n_docs = docs.count()
-    good = drawn(usable.where("quality = 1"), positives, n_good or 0).select("doc_id", F.lit(1).alias("kind"))
+    good = drawn(trusted, positives, trusted.count()).select("doc_id", F.lit(1).alias("kind"))
     some = drawn(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()), unlabelled, n_docs * 3 // 4).select("doc_id", F.lit(0).alias("kind"))
     # about positives + unlabelled ids, whatever the size of the tables
     chosen = F.broadcast(good.unionByName(some).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds")))
@@ -192,23 +204,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int, unlabelled
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "kinds").mapInPandas(run, "kinds array<int>, x binary").toPandas()
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, N_FEATURES).astype(float)
     is_good, is_some = (np.array([k in ks for ks in rows["kinds"]], bool) for k in (1, 0))
-    return x[is_good], x[is_some], None if not n_all or n_good == n_all else (n_good or 0) / n_all
+    return x[is_good], x[is_some]
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
-    """A model from docs (doc_id, text) and labels (doc_id, quality), of which only those not held out are used; None if there are no positives or no documents to learn from.
+    """A model from docs (doc_id, text) and the positives of labels (doc_id, quality) that are not held out; None if there are no positives or no documents to learn from.
 
-    The class prior is the share of label 1 among the labels used. Where those name positives only, it is estimated
-    from a first model's scores on halves of the samples that it hasn't seen.
+    Labels other than 1 are not read, the class prior among them: it is estimated (see estimated_prior()). Labels of
+    documents that docs lacks, null ids and null labels are ignored; a document that is labelled or there more than
+    once counts each time that it is there.
     """
     small_batches(docs.sparkSession)
-    p, u, prior = training_rows(docs, labels, positives, unlabelled)
+    p, u = training_rows(docs, labels, positives, unlabelled)
     if not len(p) or not len(u):
         return None
-    if prior is None:
-        first = fit(p[::2], u[::2], 0.5, epochs=20)
-        prior = prior_from_scores(first.score(p[1::2]), first.score(u[1::2])) if len(p) > 1 and len(u) > 1 else 0.5
-    return fit(p, u, min(max(prior, 0.01), 0.99))
+    return fit(p, u, min(max(estimated_prior(p, u), 0.01), 0.99))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
