@@ -6,7 +6,8 @@ one segment differs in at most one bit, so each fingerprint looks up the 33 valu
 each of its segments in the table of segments, and the full distance decides. Where a segment value is shared by
 many fingerprints, the lookup also needs one of four bytes of the other segment to be equal (which it must be
 for one of them, as at most 3 bits differ there), so that no bucket is compared as a whole.
-Components come from rounds of taking the least neighbour, all on tables.
+Components come from rounds that contract links, all on tables; a fingerprint or component with many members is
+joined apart from the others.
 """
 
 from __future__ import annotations
@@ -14,18 +15,16 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, small_batches, table, written
+from .common import BROADCAST_ROWS, WORD, counted_join, discard, small_batches, table, written
 
 BITS = 3
 SHINGLE = 3
 SEED = 42
 #: Fingerprints with one segment value beyond which its lookups need an equal byte too.
 CROWDED = 64
-ROUNDS = 60
 
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
@@ -52,11 +51,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        import pyarrow as pa
+
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp})
+            fp = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def close_pairs(points: DataFrame, bits: int = BITS) -> DataFrame:
@@ -84,43 +85,61 @@ def close_pairs(points: DataFrame, bits: int = BITS) -> DataFrame:
     return pairs.unionByName(more).distinct()
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """node, root: the least node that each node of pairs (a, b; each once) reaches. Large-star and small-star rounds: each replaces the links of a node by links to its least neighbour, until nothing changes; nodes without links are not listed."""
-    links = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
-    for _ in range(ROUNDS):
+    """node, root: a node of its component, the same for all of them, for each node of pairs (a, b); nodes without links to others are not listed.
+
+    Each round sends every node to the one with the least hash among itself and its neighbours, and keeps the links
+    between the nodes that are left. As hashes are in no order, a chain is cut in pieces at each round; the node of the
+    greatest hash goes in any case, so that rounds end.
+    """
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
+    ends = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    links, steps = written(pairs.where("a <> b").select(*ends("a", "b")).distinct(), "links"), []
+    while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # large holds links from greater to smaller nodes only
-        down = large.where(F.col("a") != F.col("b"))
-        small_least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.*").where("a != b").distinct()
-        new = written(small, "links")
-        # a star forest: each greater node has one link, and no root is a greater node
-        done = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and new.select("b").distinct().join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
+        least = both.groupBy("a").agg(F.min(order("b")).alias("m"))
+        step = written(least.select(F.col("a").alias("node"), F.least(order("a"), "m")["node"].alias("to")), "link-steps")
+        steps.append(step)
+        at = sized(step)
+        of = lambda side, at=at: at.select(F.col("node").alias(side), F.col("to").alias(f"to_{side}"))
+        new = written(links.join(of("a"), "a").join(of("b"), "b").where("to_a <> to_b").select(*ends("to_a", "to_b")).distinct(), "links")
         discard(links)
         links = new
-        if done:
-            roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    raise RuntimeError("components did not settle")
+    if not steps:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = steps[0].select("node", F.col("to").alias("root"))
+    for step in steps[1:]:
+        found = found.join(sized(step).select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return found
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row of docs (doc_id, text).
 
     Texts are lower-cased in A-Z only; fewer words than a shingle make one shingle, none (null, empty, blank) the
     fingerprint zero, which is linked like any other. component_id is the least doc_id that chains of links reach;
     rows without an id have fingerprints and link others, but never name a component (null if all lack one).
     Repeated rows count once each; other columns are ignored.
+
+    With a similarity, links are between texts whose sets of shingles are that similar, which fingerprints of 64 bits
+    can't tell: near_copies() in minhash finds them, and gives row keys in place of fingerprints.
     """
+    if similarity is not None:
+        from .minhash import near_copies
+
+        return near_copies(docs, similarity, shingle)
     fps = written(fingerprints(docs, shingle), "simhash-fps")
-    points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-points")
+    points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "simhash-points")
     roots = components(close_pairs(points.select("fp"), bits))
-    named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    class_of = written(named.join(names, "root").select("fp", "component_id"), "simhash-classes")
-    return fps.join(class_of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root")), "simhash-named")
+    names = written(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members")), "simhash-names")
+    class_of = written(counted_join(named, names, ["root"], "members").select("fp", "n", "component_id"), "simhash-classes")
+    return counted_join(fps, class_of, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
