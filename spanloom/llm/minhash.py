@@ -2,10 +2,9 @@
 
 A document's set is the hashes of its shingles (runs of words). Equal sets become one node. A node has BANDS values,
 each made of ROWS minima of its set under other hash functions; nodes that share a value are candidates. A pair of
-similarity 0.8 shares none of them with probability (1 - 0.8^5)^24, 7e-5. Values of more than CROWDED nodes pair
-their nodes with the least and the greatest of them only, so that no group is compared as a whole. First each node
-is compared with its least candidate; later candidates are compared only where components of that don't link them
-already.
+similarity 0.8 shares none of them with probability (1 - 0.8^5)^24, 7e-5; no other pair is left out. First each node
+is compared with its least candidate, which links most copies. Of what shares a value, only nodes that these links
+leave apart and whose sets are of like size are then compared with each other, in blocks where they are many.
 """
 
 from __future__ import annotations
@@ -13,19 +12,22 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, small_batches, written
+from .common import WORD, counted_join, small_batches, written
 from .line_dedup import row_key
-from .simhash import _LOWER, SEED, components
+from .simhash import _LOWER, SEED, components, sized
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Nodes of one value that are compared in one row; more are dealt over blocks of so many.
 CROWDED = 32
+BLOCK_NODES = 256
 #: Shingles whose minima are taken at a time.
 BLOCK = 1 << 12
+#: Sets that a task remembers to have given already.
+MEMO = 500_000
 
 _WORD = re.compile(WORD)
 _made = np.random.default_rng(SEED)
@@ -52,33 +54,56 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(least.reshape(BANDS, ROWS))]
 
 
+SKETCH = "row_key binary, doc_id long, node long, size int, bands array<long>, set array<int>"
+
+
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """row_key, doc_id, node (a hash of the set), bands and set (the shingles' hashes cut to 32 bits) of each row."""
-    keyed = docs.select(row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("row_key"), "doc_id", "text")
+    """row_key, doc_id, node (a hash of the set), size (of the set), and bands and set (the shingles' hashes cut to 32 bits) of each row; a task gives the latter two once for each node, about, so that many copies have few sets."""
+    keyed = docs.select(row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     small_batches(docs.sparkSession)
 
     def run(batches):
+        import pyarrow as pa
         import xxhash
 
+        seen = set()
         for b in batches:
-            sets = [shingles(t, size) for t in b["text"]]
-            yield pd.DataFrame({
-                "row_key": b["row_key"], "doc_id": b["doc_id"].astype("Int64"), "node": [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
-                "bands": [bands(s) for s in sets], "set": [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets],
-            })
-
-    return keyed.mapInPandas(run, "row_key binary, doc_id long, node long, bands array<long>, set array<int>")
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """a, b: pairs a < b of nodes (node, bands; each once) that share a value."""
-    entries = nodes.select("node", F.explode("bands").alias("value"))
-    groups = entries.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    shared = written(entries.join(groups, "value"), "minhash-shared")
-    few = shared.where(F.col("n") <= CROWDED).groupBy("value").agg(F.sort_array(F.collect_list("node")).alias("of"))
-    each = few.select("of", F.posexplode("of").alias("i", "a")).select("a", F.explode(F.slice("of", F.col("i") + 2, F.size("of"))).alias("b"))
-    ends = shared.where(F.col("n") > CROWDED).select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    return each.unionByName(ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))).distinct()
+            nodes, sizes, values, sets = [], [], [], []
+            for t in b.column("text").to_pylist():
+                hashes = shingles(t, size)
+                node = xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+                again = node in seen
+                if not again and len(seen) < MEMO:
+                    seen.add(node)
+                nodes.append(node)
+                cut = np.unique(hashes.astype(np.uint32)).view(np.int32)
+                sizes.append(len(cut))
+                values.append(None if again else bands(hashes))
+                sets.append(None if again else cut)
+            columns = [b.column("row_key"), b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(values, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SKETCH.split(", ")])
+
+    return keyed.mapInArrow(run, SKETCH)
+
+
+def apart_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs a < b of nodes of shared (value, node, size, root) that share a value, are in different components (root) and have sets of like size."""
+    groups = shared.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value", "n")
+    mixed = written(counted_join(shared, written(groups, "minhash-mixed"), ["value"], "n").select("value", "n", F.struct("node", "root", "size").alias("m")), "minhash-apart")
+    fit = lambda a, b: (a["root"] != b["root"]) & (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]))
+    pair = lambda a, b: F.struct(F.least(a["node"], b["node"]).alias("a"), F.greatest(a["node"], b["node"]).alias("b"))
+    few = mixed.where(F.col("n") <= CROWDED).groupBy("value").agg(F.collect_list("m").alias("of"))
+    each = F.flatten(F.transform("of", lambda a, i: F.transform(F.filter(F.slice("of", i + 2, F.size("of")), lambda b: fit(a, b)), lambda b: pair(a, b))))
+    out = few.select(F.explode(each).alias("p")).select("p.*")
+    many = mixed.where(F.col("n") > CROWDED)
+    if many.isEmpty():
+        return out.distinct()
+    blocks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
+    many = many.select("value", "m", F.pmod(F.xxhash64("m.node"), blocks).cast("int").alias("own"), (blocks - 1).alias("last"))
+    left = many.select("value", F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"), F.col("m").alias("x"))
+    right = many.select("value", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("m").alias("y"))
+    crossed = left.join(right, ["value", "i", "j"]).where(fit(F.col("x"), F.col("y"))).select(pair(F.col("x"), F.col("y")).alias("p")).select("p.*")
+    return out.unionByName(crossed).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -86,9 +111,8 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     of = lambda side: sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     size_a, size_b = F.size("set_a"), F.size("set_b")
-    sized = pairs.join(of("a"), "a").join(of("b"), "b")
-    # sets of very different sizes can't be similar; what follows is exact
-    return sized.where((F.least(size_a, size_b) >= least * F.greatest(size_a, size_b)) & (both >= least * (size_a + size_b - both))).select("a", "b")
+    sized_alike = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least(size_a, size_b) >= least * F.greatest(size_a, size_b))
+    return sized_alike.where(both >= least * (size_a + size_b - both)).select("a", "b")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
@@ -96,19 +120,30 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHI
 
     Components are of links between texts whose shingle sets have at least the similarity. component_id is the least
     doc_id of the component, keep_key the row key of the least (doc_id, row key); rows without an id link others but
-    are no keepers (both null if all lack one). Texts are lower-cased in A-Z only.
+    are no keepers (both null if all lack one). Texts are lower-cased in A-Z only; null, empty and blank texts have
+    the same set. Repeated rows each have a row; other columns are ignored; an empty table gives an empty result.
     """
     rows = written(sketches(docs, size), "minhash-sketches")
-    nodes = rows.groupBy("node").agg(F.first("bands").alias("bands"))
-    pairs = written(candidates(nodes), "minhash-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(rows.select("node", "set").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
-    links = written(similar(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity), "minhash-links")
-    root = written(components(links), "minhash-roots")
-    of = lambda side: root.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    root = components(links.unionByName(similar(apart, sets, similarity)).distinct())
-    named = rows.select("row_key", "doc_id", "node").join(root, "node", "left").select("row_key", "doc_id", F.coalesce("root", "node").alias("root"))
-    named = written(named, "minhash-named")
-    keepers = named.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("k"))
-    return named.join(keepers, "root", "left").select("row_key", "doc_id", F.col("k.doc_id").alias("component_id"), F.col("k.row_key").alias("keep_key"))
+    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))
+    nodes = written(rows.groupBy("node").agg(F.first("bands", True).alias("bands"), F.first("size").alias("size"), F.count("*").alias("rows"), F.min(place).alias("least")), "minhash-nodes")
+    entries = nodes.select("node", "size", F.explode("bands").alias("value"))
+    groups = written(entries.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1"), "minhash-values")
+    shared = written(counted_join(entries, groups, ["value"], "n").drop("n"), "minhash-shared")
+    wanted = shared.select("node").distinct()
+    sets = written(rows.where("set is not null").select("node", "set").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
+    first = shared.where("node <> low").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a"))
+    root = written(components(written(similar(first.select("a", "b"), sets, similarity), "minhash-links")), "minhash-roots")
+    labelled = shared.join(sized(root), "node", "left").select("value", "node", "size", F.coalesce("root", "node").alias("root"))
+    more = written(similar(apart_pairs(labelled, similarity), sets, similarity), "minhash-links")
+    if not more.isEmpty():
+        # links between components, and nodes without one
+        of = lambda side: root.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        linked = more.join(sized(of("a")), "a", "left").join(sized(of("b")), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        above = written(components(linked), "minhash-above").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        every = root.unionByName(above.select(F.col("root").alias("node"), F.col("root")).join(root.select("node"), "node", "left_anti"))
+        root = written(every.join(sized(above), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "minhash-roots")
+    named = written(nodes.select("node", "rows", "least").join(sized(root), "node", "left").select("node", "rows", "least", F.coalesce("root", "node").alias("root")), "minhash-named")
+    keepers = written(named.groupBy("root").agg(F.min("least").alias("keep"), F.count("*").alias("members")), "minhash-keepers")
+    per_node = written(counted_join(named, keepers, ["root"], "members").select("node", "rows", "keep"), "minhash-classes")
+    found = counted_join(rows.select("row_key", "doc_id", "node"), per_node, ["node"], "rows")
+    return found.select("row_key", "doc_id", F.col("keep.doc_id").alias("component_id"), F.col("keep.row_key").alias("keep_key"))

@@ -500,6 +500,19 @@ def test_simhash(spark, texts):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_simhash_of_many_copies(spark, monkeypatch):
+    """Nine of ten rows have one text; their keys are taken apart from the others. Repeated rows and rows without an id each have a row."""
+    monkeypatch.setattr("spanloom.llm.common.HOT_ROWS", 50)
+    long = prose(300)
+    rows = [(i, long if i % 10 else prose(200)) for i in range(400)] + [(None, long), (3, long), (3, None), (None, None)]
+    df = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], DOCS)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
+    want = [(i, 1 if i % 10 else i) for i in range(400)] + [(None, 1), (3, 1), (3, 3), (None, 3)]
+    assert got == sorted(want, key=str)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df, shingle=5, similarity=0.8).collect()), key=str)
+    assert got == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("crowded", [64, 2])
 def test_close_pairs_and_components(spark, monkeypatch, crowded):
     monkeypatch.setattr(simhash, "CROWDED", crowded)
@@ -517,14 +530,21 @@ def test_close_pairs_and_components(spark, monkeypatch, crowded):
     pairs = {(r["a"], r["b"]) for r in simhash.close_pairs(df).collect()}
     assert pairs == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 20 != 19], "a long, b long")
-    roots = {r["node"]: r["root"] for r in simhash.components(chain).collect()}
-    assert roots == {i: i // 20 * 20 for i in range(61) if i // 20 < 3}
+    for links in (chain, chain.unionByName(chain.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(spark.createDataFrame([(7, 7)], "a long, b long"))):
+        members = {}
+        for r in simhash.components(links).collect():
+            members.setdefault(r["root"], []).append(r["node"])
+        assert sorted(sorted(m) for m in members.values()) == [list(range(i, i + 20)) for i in (0, 20, 40)] and all(root in m for root, m in members.items())
+    assert simhash.components(chain.limit(0)).count() == 0
 
 
 # --- near copies of the pipeline
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("crowded, block", [(32, 256), (4, 8)])
+def test_near_copies(spark, monkeypatch, crowded, block):
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
+    monkeypatch.setattr(minhash, "BLOCK_NODES", block)
     made, texts, want = random.Random(6), [], []
     word = lambda: f"w{made.randrange(10**5)}"
     for share in (0.005, 0.01, 0.015, 0.02, 0.03, 0.05):
@@ -539,7 +559,7 @@ def test_near_copies(spark):
     for _ in range(3):
         for i, a in enumerate(sets):
             want[i] = min(want[j] for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b))
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(table(spark, texts, extra=True)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, texts, extra=True), shingle=5, similarity=0.8).collect()}
     assert got == dict(enumerate(want)) and 40 < sum(i != w for i, w in got.items()) - 49 < 72
     assert minhash.near_copies(table(spark, [])).count() == 0
     docs = table(spark, texts)
@@ -547,6 +567,25 @@ def test_near_copies(spark):
     assert kept == set(want)
 
 
+def test_near_copies_in_chains_and_crowds(spark):
+    """Many versions of one text, each a few words from the next: chains of links have to be found though their ends are far apart, and all of them share values with an unlike text that has most of their shingles."""
+    made = random.Random(12)
+    words, texts = [f"w{made.randrange(10**5)}" for _ in range(250)], []
+    for i in range(60):
+        words = [*words]
+        words[(i * 4) % 250] = f"n{i}"
+        texts.append(" ".join(words))
+    shared = [f"s{i}" for i in range(200)]
+    texts += [" ".join([*shared, *(f"o{made.randrange(10**6)}" for _ in range(75))]) for _ in range(50)]
+    sets = [set(minhash.shingles(t).tolist()) for t in texts]
+    want, moved = list(range(len(texts))), True
+    while moved:
+        new = [min(want[j] for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)) for a in sets]
+        moved, want = new != want, new
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(table(spark, texts)).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) == 51
+
+
 def test_near_dedup_of_repeated_ids(spark):
     made = random.Random(7)
     words = [f"w{made.randrange(10**5)}" for _ in range(200)]
@@ -640,6 +679,34 @@ def test_quality(spark):
     assert {r["score"] for r in quality.scored(docs, None).collect()} == {0.5}
 
 
+def test_prior_is_estimated_without_bad_labels(spark):
+    made = np.random.default_rng(8)
+    for prior in (0.3, 0.6, 0.85):
+        good = made.random(6000) < prior
+        x = made.normal(size=(6000, 6)) + np.where(good[:, None], 1.0, -1.0)
+        positives = made.normal(size=(2000, 6)) + 1.0
+        assert abs(quality.estimated_prior(positives, x) - prior) < 0.05
+    assert quality.estimated_prior(positives[:1], x) == 0.5
+
+
+def test_quality_repeated_rows_and_no_bad_labels(spark):
+    made = random.Random(5)
+    texts = [("The river carried the stone slowly to the sea. " * made.randint(3, 20)) if i % 3 else "WIN!! NOW$$ FREE## " * made.randint(3, 40) for i in range(300)]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    given = quality.train(docs, labels, 300, 400)
+    # labels 0, null and of unknown documents change nothing
+    more = labels.where("quality = 1").unionByName(spark.createDataFrame([(1, None, 0), (None, 1, 0), (9999, 1, 0)], labels.schema))
+    same = quality.train(docs, more, 300, 400)
+    x = np.stack([quality.features(t) for t in texts[:50]])
+    assert np.allclose(given.score(x), same.score(x), atol=0.05)
+    twice = quality.scored(docs.unionByName(docs), given).collect()
+    scores = {}
+    for r in twice:
+        scores.setdefault(r["doc_id"], set()).add(r["score"])
+    assert len(twice) == 600 and all(len(v) == 1 for v in scores.values())
+
+
 def test_held_out(spark):
     got = {r["id"]: r["h"] for r in spark.range(200).select("id", quality.held_out(F.col("id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)}
