@@ -122,6 +122,47 @@ def test_token_store_keeps_repeated_rows(spark):
     assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(15)] and all(r["verified"] for r in got)
 
 
+def test_token_store_of_repeated_rows_over_partitions(spark):
+    """Equal rows at equal places of different partitions and batches, large ids beside nulls, and a chunk in all recipes."""
+    from tokenizers import Tokenizer
+
+    tok, big = Tokenizer.from_file(token_store.tokenizer_path()), 2**60 + 1
+    texts = [prose(5 + i % 7) for i in range(200)]
+    rows = [(i if i % 9 else None, texts[i]) for i in range(200)] + [(big, "One <|endoftext|> TWO"), (None, None), (big + 2, "<|ENDOFTEXT|> i\u0307 I\u0307 E\u0301"), (7, "")]
+    df = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], DOCS).coalesce(1)
+    place = new_path(spark, "test-store")
+    token_store.write_store(df.unionByName(df), place)
+    got = token_store.read_store(spark, place).collect()
+    want = []
+    for i, t in rows * 2:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True))
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"], r["verified"]) for r in got), key=str) == sorted(want, key=str)
+    assert len({r["start"] for r in got}) == len(got) == 408
+
+
+def test_token_store_notices_a_lost_document(spark):
+    place = new_path(spark, "test-store")
+    token_store.write_store(table(spark, [prose(50), prose(60), ""]), place)
+    spark.createDataFrame([(4,)], "n_docs long").write.mode("overwrite").parquet(f"{place}/count")
+    assert [r["verified"] for r in token_store.read_store(spark, place).collect()] == [False] * 3
+
+
+def test_word_by_word_only_where_the_tokenizer_allows(tmp_path):
+    import json
+
+    path = token_store.tokenizer_path()
+    assert token_store.by_word(path)
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    d["normalizer"]["normalizers"] = d["normalizer"]["normalizers"][:2]
+    (tmp_path / "other.json").write_text(json.dumps(d))
+    enc = token_store.WordEncoder(str(tmp_path / "other.json"))
+    assert not enc.by_word
+    text = "The Quick, brown fox don't"
+    assert np.frombuffer(enc.ids(text.encode()), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids != token_store.word_encoder(path).tok.encode(text, add_special_tokens=False).ids
+
+
 def test_token_store_finds_damage(spark):
     place = new_path(spark, "test-store")
     token_store.write_store(table(spark, [prose(50), prose(60)]), place)
