@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, counted_join, let, lookup, table, written
+from .common import WORD, counted_join, discard, let, lookup, table, written
 
 #: Lines that the rolling hash sees. A line is marked if its hash leaves 0 when divided by SPACING; a chunk ends with a marked line that follows an unmarked one.
 WINDOW, SPACING = 4, 3
@@ -135,9 +135,12 @@ def recurring(docs: DataFrame, whole: bool = True) -> DataFrame:
     keys = written(keys, "line-chunks")
     # a chunk may be a run as well, and is no repeat of itself
     firsts = keys.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.max(place).alias("last"), F.count("*").alias("n")).where("head <> last").drop("last")
-    found = counted_join(keys, written(firsts, "line-firsts"), ["h1", "h2"], "n")
+    firsts = written(firsts, "line-firsts")
+    found = counted_join(keys, firsts, ["h1", "h2"], "n")
     first = (F.col("row_key") == F.col("head.row_key")) & (F.col("line") == F.col("head.line"))
-    return found.groupBy("row_key").agg(F.collect_set(F.struct("line", "n_lines", "h1", "h2", first.alias("first"))).alias("again"))
+    again = written(found.groupBy("row_key").agg(F.collect_set(F.struct("line", "n_lines", "h1", "h2", first.alias("first"))).alias("again")), "line-again")
+    discard(keys, firsts)
+    return again
 
 
 def unequal(marked: DataFrame) -> DataFrame:
@@ -163,10 +166,11 @@ def dedup_lines(docs: DataFrame, passages: bool = True) -> DataFrame:
     """
     cols = [c for c in docs.columns if c not in ("n_lines", "lines_removed", "chunks_removed", "_key", "_again", "_keep")]
     text = F.coalesce(F.col("text"), F.lit(""))
-    again = written(recurring(docs, passages), "line-again")
+    again = recurring(docs, passages)
     marked = docs.select(*cols, row_key(F.col("doc_id"), text).alias("_key")).join(again.withColumnRenamed("row_key", "_key").withColumnRenamed("again", "_again"), "_key", "left")
     # the only time that whole texts are moved; what follows reads them from here
     marked = written(marked, "line-marked")
+    discard(again)
     d = lookup(marked, written(unequal(marked), "line-unequal"), "_key", "left")
     sure = F.filter("_again", lambda a: ~a["first"] & ~F.coalesce(F.array_contains("_keep", F.struct(a["h1"].alias("h1"), a["h2"].alias("h2"))), F.lit(False)))
     d = d.withColumn("_gone", F.when(F.size(sure) > 0, sure))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, counted_join, small_batches, written
+from .common import WORD, counted_join, discard, small_batches, written
 from .line_dedup import row_key
 from .simhash import _LOWER, SEED, components, sized
 
@@ -145,5 +145,6 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHI
     named = written(nodes.select("node", "rows", "least").join(sized(root), "node", "left").select("node", "rows", "least", F.coalesce("root", "node").alias("root")), "minhash-named")
     keepers = written(named.groupBy("root").agg(F.min("least").alias("keep"), F.count("*").alias("members")), "minhash-keepers")
     per_node = written(counted_join(named, keepers, ["root"], "members").select("node", "rows", "keep"), "minhash-classes")
+    discard(nodes, groups, shared, sets, root, more, named, keepers)
     found = counted_join(rows.select("row_key", "doc_id", "node"), per_node, ["node"], "rows")
     return found.select("row_key", "doc_id", F.col("keep.doc_id").alias("component_id"), F.col("keep.row_key").alias("keep_key"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import discard, small_batches, table, written
 from .vectors import Layout, Tops, asking, best, by_dimension, cut, k_means, matrix, nearest, packed, page_rows, query_blocks, sample, search_shards, usable, with_pages
 
 SCALE = 1024
@@ -216,6 +216,7 @@ def search_one(v: DataFrame, dim: int, n: int, k: int, scale: int) -> DataFrame:
 
     answer = "query_id long, vec_id long, score long"
     queries = written(asking(assigned), "mtree-queries")
+    discard(assigned)
 
     def only_own(batches):
         for b in batches:

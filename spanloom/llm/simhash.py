@@ -113,6 +113,7 @@ def components(pairs: DataFrame) -> DataFrame:
     if not steps:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = steps[0].select("node", F.col("to").alias("root"))
+    discard(links)
     for step in steps[1:]:
         found = found.join(sized(step).select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     return found
@@ -139,6 +140,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, s
     named = written(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root")), "simhash-named")
     names = written(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members")), "simhash-names")
     class_of = written(counted_join(named, names, ["root"], "members").select("fp", "n", "component_id"), "simhash-classes")
+    discard(points, named, names)
     return counted_join(fps, class_of, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import counted_join, new_path, small_batches, table, written
+from .common import counted_join, delete, new_path, small_batches, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -284,6 +284,7 @@ def write_store(docs: DataFrame, place: str, path: str | None = None, end_id: in
 
     ordered = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
     ordered.mapInArrow(numbered, RECIPE).write.parquet(f"{place}/recipes")
+    delete(spark, f"{place}/staged/kind=recipe")
     part_roots(recipes_of(spark, place)).write.parquet(f"{place}/manifest")
     # how many documents there have to be
     docs.agg(F.count("*").alias("n_docs")).coalesce(1).write.parquet(f"{place}/count")
