@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, new_path, small_batches, table, written
+from .common import BROADCAST_ROWS, counted_join, discard, lookup, new_path, small_batches, table, written
 
 #: Fixed by the two versions of the format.
 FIELDS = {
@@ -169,8 +169,9 @@ def revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """record_id, refers_record of the records that revisit another: of those with equal payloads (digest and length) of at least least_bytes bytes, all but that with the largest page_id (of equal ones, the largest identifier)."""
     small = records.where(F.col("payload_bytes") >= least_bytes).select("page_id", "record_id", "payload_digest", "payload_bytes")
     small = written(small, "warc-index")
-    chosen = small.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id")).alias("last"), F.count("*").alias("n")).where("n > 1")
-    pairs = small.join(chosen, ["payload_digest", "payload_bytes"]).where(F.col("record_id") != F.col("last.record_id"))
+    chosen = written(small.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id")).alias("last"), F.count("*").alias("n")).where("n > 1"), "warc-chosen")
+    # empty pages may be many
+    pairs = counted_join(small, chosen, ["payload_digest", "payload_bytes"], "n").where(F.col("record_id") != F.col("last.record_id"))
     return written(pairs.select("record_id", F.col("last.record_id").alias("refers_record")).distinct(), "warc-revisits")
 
 
@@ -180,7 +181,8 @@ def warc_head(kind: str, rid: str, date: str, fields: list[tuple[str, str]], len
 
 
 def write_warcs(records: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes the records as gzip-compressed WARC files under path, each beginning with a warcinfo record; a file for each partition of the input."""
+    """Writes the records as gzip-compressed WARC files under path, each beginning with a warcinfo record; a file for each partition of the records, which are written down first, so that archives are converted once."""
+    records = written(records, "warc-records")
     refs = revisits(records, least_bytes)
     if refs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         refs = F.broadcast(refs)
@@ -207,6 +209,7 @@ def write_warcs(records: DataFrame, path: str, least_bytes: int = 0) -> None:
     rows = typed.mapInPandas(block, "record binary")
     # the end of a record, two line ends, is the writer's separator of rows
     rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    discard(records)
 
 
 def warc_records(chunks):
@@ -294,7 +297,10 @@ def archived(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     write_warcs(convert(pages_to_arcs(pages)), path, least_bytes)
     found = written(read_warcs(pages.sparkSession, path), "warc-read")
     heads = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_record"), F.col("page_id").alias("refers_to")).distinct()
-    back = found.where("record_type = 'revisit'").join(heads, "refers_record", "left")
+    again = found.where("record_type = 'revisit'")
+    # of the responses those that are referred to
+    heads = written(heads.join(again.select("refers_record").distinct(), "refers_record", "left_semi"), "warc-heads")
+    back = lookup(again, heads, "refers_record", "left")
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact"]
     return found.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(cols).unionByName(back.select(cols))
 
