@@ -18,6 +18,8 @@ from .common import WORD, lookup, table, written
 WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size.
 MOST_REPEATS = 3
+#: Sources at most; the directory of all of them is one task's work.
+MOST_SOURCES = 1_000_000
 HASH_BITS = 48
 LEVEL_BITS = 12
 
@@ -35,9 +37,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS)
     """From one row a source (source, source_key, source_size): target, repeats (whole copies of each document) and rest (words beyond them).
 
     The cap binds for the sources with the least size for their weight; taken in that order, source k is capped
-    while its size is below its share of what the sources before it leave. One row a source, so windows over all
-    of them hold what a driver's directory of sources would.
+    while its size is below its share of what the sources before it leave. The windows over all sources are one task,
+    of a row a source; more than MOST_SOURCES are an error.
     """
+    if sizes.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     every = F.array(*[F.lit(w) for w in weights])
     s = sizes.withColumn("weight", F.element_at(every, (F.row_number().over(by_name) - 1) % len(weights) + 1).cast("long"))
@@ -88,20 +92,21 @@ def thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return found
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """For each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
+def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, carry: tuple = ()) -> DataFrame:
+    """For each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken, and the columns of docs named in carry.
 
     size is the number of words (null text: 0); a null source is a source of its own, the last. Documents without
     words are taken 0 times. Rows with one doc_id share a hash, hence their fate. An empty table gives an empty
-    result. Other columns are ignored. Reruns agree, as nothing depends on the order of rows.
+    result. Other columns are ignored. Reruns agree, as nothing depends on the order of rows; rows without an id share
+    the hash of an empty one.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    d = written(docs.select("doc_id", "source", key.alias("source_key"), n_words(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("h")), "mix-docs")
-    sizes = d.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    d = written(docs.select("doc_id", "source", key.alias("source_key"), n_words(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("h"), F.struct(F.lit(0), *carry).alias("carried")), "mix-docs")
+    sizes = written(d.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), "mix-sizes")
     targets = written(source_targets(sizes, weights, most), "mix-targets")
     rule = written(targets.join(thresholds(d, targets), "source_key", "left"), "mix-rule")
     copies = F.when(F.col("size") > 0, F.col("repeats") + (F.col("h") < F.coalesce("threshold", F.lit(0).cast("long"))).cast("long")).otherwise(F.lit(0).cast("long"))
-    return lookup(d, rule, "source_key").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return lookup(d, rule, "source_key").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"carried.{c}") for c in carry])
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -80,6 +80,20 @@ def test_mixing(spark, texts, sources):
         assert abs(t - target[s]) <= max(1, largest / 2 + 1e-6) or t == 3 * total[s]
 
 
+def test_mixing_of_repeated_rows_and_carried_columns(spark, monkeypatch):
+    rows = [(i % 40, prose(5 + i % 7), "ab"[i % 2]) for i in range(80)] + [(None, "x y", "a"), (None, "x y", "a"), (None, "z", None)]
+    df = spark.createDataFrame([(i, t, "en", s, 7) for i, t, s in rows], DOCS)
+    got = mixing.mix_sources(df, carry=("text", "n_chars")).collect()
+    assert sorted(((r["doc_id"], r["text"], r["source"]) for r in got), key=str) == sorted(rows, key=str) and {r["n_chars"] for r in got} == {7}
+    fate = {}
+    for r in got:
+        fate.setdefault((r["source"], r["doc_id"]), set()).add(r["copies"])
+    assert all(len(v) == 1 for v in fate.values())
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mix_sources(df)
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix_sources(table(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix_sources(table(spark, ["", None])).collect()] == [0, 0]
@@ -368,6 +382,15 @@ def test_warc(spark):
     assert warc.archived(page_table(spark, ["x"]).limit(0), new_path(spark, "test-warc")).count() == 0
 
 
+def test_warc_of_hot_payloads_and_repeated_rows(spark, monkeypatch):
+    """Most pages are empty; equal rows have one identifier; a null page_id ranks last."""
+    monkeypatch.setattr("spanloom.llm.common.HOT_ROWS", 20)
+    rows = [(i, "u", "" if i % 10 else f"<p>{i}</p>") for i in range(200)] + [(5, "u", ""), (None, "u", ""), (None, "v", "<p>0</p>"), (300, None, None), (300, None, None)]
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), new_path(spark, "test-warc")).collect()]
+    want = [(i, "revisit", 300) if not h else (i, "revisit", 0) if i is None else (i, "response", None) for i, _, h in rows[:-2]] + [(300, "response", None)] * 2
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_arc_versions():
     for version in (1, 2):
         data = warc.arc_archive(version, "t.arc", [("http://a/", "text/html", b"HTTP/1.1 200 OK\r\n\r\nhi\n\nx"), ("http://b/", "text/plain", b"")])
@@ -579,7 +602,99 @@ def test_close_pairs_and_components(spark, monkeypatch, crowded):
     assert simhash.components(chain.limit(0)).count() == 0
 
 
-# --- near copies of the pipeline
+# --- the pipeline and its near copies
+
+
+def near_by_hand(rows):
+    """rows (doc_id, text) that near_dedup keeps, where no row is repeated."""
+    sets = [set(minhash.shingles(t).tolist()) for _, t in rows]
+    group, moved = list(range(len(rows))), True
+    while moved:
+        new = [min(group[j] for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)) for a in sets]
+        moved, group = new != group, new
+    # rows are in order of their ids, so that the least place is the least id
+    return [r for i, r in enumerate(rows) if r[0] is None or group[i] == i]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    made = random.Random(21)
+    word = lambda: made.choice(["the", "of", "and", "stone", "river", "carried", "slowly", "in", "to"]) + made.choice(["", "s", "ed"]) + str(made.randrange(50)).translate(str.maketrans("0123456789", "abcdefghij"))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    licence = sentence(60)
+    texts = []
+    for i in range(400):
+        lines = [sentence(made.randint(8, 40)) for _ in range(made.randint(2, 8))]
+        if i % 7 == 0:
+            lines.insert(made.randrange(len(lines)), licence)
+        texts.append("\n".join(lines) if i % 4 else "WIN!! $$$ FREE### " * made.randint(20, 60))
+    for i in range(40):
+        words = texts[4 * i + 1].split(" ")
+        words[made.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    texts += [texts[1], texts[2], None, "", sentence(5000)]
+    place = str(tmp_path_factory.mktemp("corpus"))
+    rows = [(i, t, "en", f"src{i % 5}" if i % 11 else None, len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).withColumn("_key", F.lit("clash")).withColumn("copies", F.lit(9)).repartition(3).write.parquet(f"file://{place}/documents.parquet")
+    labels = [(i, int(i % 4 > 0), 0) for i in range(0, 400) if i % 3]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{place}/labels.parquet")
+    return f"file://{place}", rows
+
+
+def test_pipeline_stages_against_brute_force(spark, corpus):
+    place, rows = corpus
+    docs, columns = spark.read.parquet(f"{place}/documents.parquet"), list(corpus_pipeline.COLUMNS)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "mixing", "encoding"]
+    held = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, place)
+        assert name == "encoding" or out.columns == columns
+        path = new_path(spark, f"test-{name}")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        held.append(sorted(map(tuple, docs.collect()), key=str))
+    kept, lined, apart, mixed, encoded = held
+    assert {r[0] for r in kept if r[0] < 400} == {i for i in range(400) if i % 4}
+    own = {r[0]: r for r in rows}
+    assert all(own[r[0]] == r for r in kept)
+    texts = dedup_by_hand([(r[0], r[1]) for r in sorted(kept)])
+    assert lined == sorted([(r[0], texts[r[0]][0], r[2], r[3], len(texts[r[0]][0] or "")) for r in kept], key=str)
+    near = {i for i, _ in near_by_hand([(r[0], r[1]) for r in sorted(lined)])}
+    assert apart == [r for r in lined if r[0] in near] and len(apart) < len(lined)
+    total, target, size = mix_by_hand([(r[0], r[1], r[3]) for r in apart])
+    got = {}
+    for r in mixed:
+        got[r] = got.get(r, 0) + 1
+    assert set(got) <= {r for r in apart if size(r[1])} and max(got.values()) <= 3
+    for s in target:
+        taken = sum(n * size(r[1]) for r, n in got.items() if r[3] == s)
+        largest = max(size(r[1]) for r in apart if r[3] == s)
+        assert abs(taken - target[s]) <= largest / 2 + 1 or taken == 3 * total[s]
+    enc = byte_bpe.encoding(byte_bpe.ranks_path())
+    want = [(r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(r[1].encode()).hexdigest()) for r in mixed for ids in [enc.encode_ordinary(r[1])]]
+    assert encoded == sorted(want, key=str)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, place).collect()), key=str) == encoded
+
+
+def test_pipeline_stages_of_odd_rows(spark, corpus):
+    place, _rows = corpus
+    text = prose(80)
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (None, text, None, None, None), (None, text, None, None, None), (2, None, "en", None, None), (3, "", None, "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("clash")).withColumn("row_key", F.lit(1)).withColumn("node", F.lit("n"))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), place).count() == 0, name
+    lined = [(r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, place).collect()]
+    # rows without an id come first, so that theirs is the first occurrence
+    assert sorted(lined, key=str) == sorted([(1, "", 0), (1, "", 0), (None, text, len(text)), (None, text, len(text)), (2, None, 0), (3, "", 0)], key=str)
+    near = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, place).collect()), key=str)
+    assert near == sorted([(1, text), (None, text), (None, text), (2, None)], key=str)
+    mixed = [r["doc_id"] for r in corpus_pipeline.mixing(spark, docs, place).collect()]
+    assert set(mixed) <= {1, None} and all(mixed.count(i) in (0, 2, 4, 6) for i in (1, None))
+    assert len(corpus_pipeline.encoding(spark, docs, place).collect()) == 6
+    assert corpus_pipeline.quality(spark, docs.limit(0), place).count() == 0
+
+
+# --- near copies
 
 
 @pytest.mark.parametrize("crowded, block", [(32, 256), (4, 8)])
@@ -695,6 +810,76 @@ def test_random_strings_pass_and_words_fail(spark):
     assert {r["good"]: r["kept"] > 0.5 for r in p} == {True: True, False: False}
 
 
+def log_p_by_hand(s, alphabet):
+    """The battery in plain Python."""
+    import math
+
+    k, x = len(alphabet), [alphabet.index(c) for c in s]
+    n, mid = len(x), (k - 1) / 2
+    chi = sum(x.count(j) ** 2 for j in range(k)) * k / n - n
+    f = k - 1
+    z_chi = ((max(chi, 0) / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f))
+    high = [i >= k // 2 for i in x]
+    n1 = sum(high)
+    n2 = n - n1
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    mean = 1 + 2 * n1 * n2 / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = abs(runs - mean) / math.sqrt(var) if var > 0 else math.sqrt(n)
+    serial = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:], strict=False)) / ((k * k - 1) / 12)
+    z_serial = abs(serial) / math.sqrt(n - 1)
+    tail = lambda z: math.log(math.erfc(max(z, 0) / math.sqrt(2)) / 2)
+    return min(0.0, math.log(3) + min(tail(z_chi), tail(z_runs) + math.log(2), tail(z_serial) + math.log(2)))
+
+
+def test_p_values_against_plain_python(spark):
+    made = random.Random(1)
+    for _kind, _pattern, alphabet, _least in secrets.ENCODINGS:
+        texts = ["".join(made.choice(alphabet[: made.choice([4, 12, len(alphabet)])]) for _ in range(made.randint(20, 90))) for _ in range(60)] + [alphabet * 2, alphabet[0] * 30, (alphabet[0] + alphabet[-1]) * 20]
+        got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", secrets.log_p_random(F.col("t"), alphabet).alias("p")).collect()
+        for r in got:
+            want = log_p_by_hand(texts[r["i"]], alphabet)
+            # the tail's closed form is within 1% of the chance nearby, a little more far out
+            assert r["p"] == pytest.approx(want, abs=0.03) or (want < -20 and r["p"] == pytest.approx(want, rel=0.02))
+
+
+def test_dismissals_are_the_step_up_rule(spark):
+    """Against Benjamini-Hochberg on the upper ends of the bins, for each encoding and band apart."""
+    made, rows, want = random.Random(4), [], {}
+    width = -secrets.LEAST_LOG / secrets.BINS
+    for kind, band, share in ((3, 0, 0.5), (3, 1, 0.05), (6, 0, 0.0), (5, 2, 1.0)):
+        bins = [min(secrets.BINS - 1, int((made.expovariate(0.1) if made.random() < share else made.expovariate(1)) / width)) for _ in range(300)]
+        rows += [(0, kind, 1, band, b) for b in bins]
+        ps = sorted(np.exp(-b * width) for b in bins)
+        passed = [p for i, p in enumerate(ps, 1) if p <= i * secrets.RATE / len(ps)]
+        if passed:
+            want[(kind, band)] = min(b for b in bins if np.exp(-b * width) <= max(passed))
+    scan = spark.createDataFrame([(i, [r]) for i, r in enumerate(rows)], "doc_id long, tried array<struct<start:int,kind:int,end:int,band:int,bin:int>>")
+    assert {(r["kind"], r["band"]): r["from_bin"] for r in secrets.dismissals(scan).collect()} == want and want
+
+
+def test_recall_and_wrong_flags_on_a_mixture(spark):
+    """200 random keys of 40 characters among 2,000 long names and paths: most keys are reported, few of the others."""
+    made = random.Random(15)
+    parts = ["get", "User", "Account", "Balance", "by", "Identifier", "from", "Cache", "Handler", "Service", "Internal", "update", "Record", "stream", "Window"]
+    names = ["".join(made.choice(parts).capitalize() for _ in range(made.randint(5, 8))) + str(made.randrange(100)) for _ in range(1000)]
+    names += ["/".join(made.choice(parts).lower() for _ in range(6)) for _ in range(1000)]
+    keys = ["".join(made.choice(secrets.ENCODINGS[3][2][:62]) for _ in range(40)) for _ in range(200)]
+    texts = [f"see {t} here" for t in [*keys, *names]]
+    got = {r["doc_id"]: r["added"] for r in secrets.find_secrets(table(spark, texts)).collect()}
+    assert sum(got[i] > 0 for i in range(200)) >= 0.9 * 200
+    assert sum(got[i] > 0 for i in range(200, 2200)) <= 0.1 * 2000
+
+
+def test_places_in_texts_of_many_matches(spark):
+    text = " ".join(f"token={'ab1' * 3}{i} é" for i in range(2000))
+    df = spark.createDataFrame([(1, text), (1, text), (2, "x")], "doc_id long, text string")
+    got = secrets.find_secrets(df).collect()
+    want = sorted(spans_by_hand(text))
+    assert sorted(len(r["spans"]) for r in got) == [0, 2000, 2000]
+    assert all([(s["start"], s["kind"], s["end"]) for s in r["spans"]] == want for r in got if r["doc_id"] == 1)
+
+
 # --- quality
 
 
