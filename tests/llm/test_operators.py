@@ -697,10 +697,9 @@ def test_pipeline_stages_of_odd_rows(spark, corpus):
 # --- near copies
 
 
-@pytest.mark.parametrize("crowded, block", [(32, 256), (4, 8)])
-def test_near_copies(spark, monkeypatch, crowded, block):
-    monkeypatch.setattr(minhash, "CROWDED", crowded)
-    monkeypatch.setattr(minhash, "BLOCK_NODES", block)
+@pytest.mark.parametrize("crowd", [256, 7])
+def test_near_copies(spark, monkeypatch, crowd):
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     made, texts, want = random.Random(6), [], []
     word = lambda: f"w{made.randrange(10**5)}"
     for share in (0.005, 0.01, 0.015, 0.02, 0.03, 0.05):
@@ -723,8 +722,25 @@ def test_near_copies(spark, monkeypatch, crowded, block):
     assert kept == set(want)
 
 
-def test_near_copies_in_chains_and_crowds(spark):
+def test_alike_and_tops():
+    made = np.random.default_rng(4)
+    sets = [np.unique(made.integers(0, 60, made.integers(1, 50)).astype(np.int32)) for _ in range(40)]
+    sets += [sets[0], sets[1][:-1]]
+    want = np.array([[len(set(a.tolist()) & set(b.tolist())) >= 0.6 * len(set(a.tolist()) | set(b.tolist())) for b in sets] for a in sets])
+    for columns in (1 << 15, 7):
+        minhash.COLUMNS, old = columns, minhash.COLUMNS
+        assert (minhash.alike(sets, sets, 0.6) == want).all() and (minhash.alike(sets[:2], sets[:2], 0.6) == want[:2, :2]).all()
+        minhash.COLUMNS = old
+    links = np.eye(6, dtype=bool)
+    for a, b in ((0, 4), (4, 2), (1, 5)):
+        links[a, b] = links[b, a] = True
+    assert minhash.tops(links).tolist() == [0, 1, 0, 3, 0, 1]
+
+
+@pytest.mark.parametrize("crowd", [256, 16])
+def test_near_copies_in_chains_and_crowds(spark, monkeypatch, crowd):
     """Many versions of one text, each a few words from the next: chains of links have to be found though their ends are far apart, and all of them share values with an unlike text that has most of their shingles."""
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     made = random.Random(12)
     words, texts = [f"w{made.randrange(10**5)}" for _ in range(250)], []
     for i in range(60):
