@@ -47,9 +47,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    scratch_paths(spark).append(path)
     return out
 
 
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """Paths of the tables that written() has made in this application, in order; discard() takes them out."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_spanloom_scratch"):
+        sc._spanloom_scratch = []
+    return sc._spanloom_scratch
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables made by written() that nothing reads any more."""
     for df in tables:
@@ -59,6 +68,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    if path in scratch_paths(spark):
+        scratch_paths(spark).remove(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
