@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import let
+from .text import ascii_bounds, let
 
 #: Class, pattern, replacement, whether it is on unless asked for. They apply in this order.
 PATTERNS = (
@@ -22,9 +22,12 @@ PATTERNS = (
     ("phone", r"\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{3,4}\b", "[REDACTED:phone]", True),
     ("ipv4", r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", "[REDACTED:ipv4]", False),
 )
+#: The same with bounds of ASCII words spelt out.
+_RULES = tuple((name, ascii_bounds(pattern), replacement, on) for name, pattern, replacement, on in PATTERNS)
 DEFAULT = tuple(name for name, _p, _r, on in PATTERNS if on)
 #: Characters of a text that the reference searches, keeping the rest as it is. It holds only where it is given as `limit`; else texts are searched whole.
 SCAN_LIMIT = 200_000
+#: Levels down to which the reference redacts nested values. It holds only where it is given as `depth`.
 DEPTH = 8
 
 
@@ -51,7 +54,7 @@ def _searched(text: Column, limit: int | None) -> Column:
 def redact(text: Column, classes=DEFAULT, limit: int | None = None) -> Column:
     """text with each class's matches replaced, one class after the other, in its first `limit` characters or all of it."""
     out = _searched(text, limit)
-    for name, pattern, replacement, _on in PATTERNS:
+    for name, pattern, replacement, _on in _RULES:
         if name in classes:
             out = _applied(out, name, pattern, replacement)
     if limit is None:
@@ -63,7 +66,7 @@ def with_secret_counts(df: DataFrame, text: str, out: str = "secrets", classes=D
     """df with out: array of (class, count) found as the replacement proceeds; never a value."""
     step, found = _searched(F.coalesce(F.col(text), F.lit("")), limit), []
     df = df.withColumn("_redact", step)
-    for name, pattern, replacement, _on in PATTERNS:
+    for name, pattern, replacement, _on in _RULES:
         if name not in classes:
             continue
         now = F.col("_redact")
@@ -77,7 +80,7 @@ def with_secret_counts(df: DataFrame, text: str, out: str = "secrets", classes=D
 def scan_secrets(text: Column, classes=DEFAULT, limit: int | None = None) -> Column:
     """array of (class, count) as one expression, for texts inside arrays."""
     start = F.struct(_searched(text, limit).alias("t"), F.array().cast("array<struct<class:string,count:int>>").alias("f"))
-    for name, pattern, replacement, _on in PATTERNS:
+    for name, pattern, replacement, _on in _RULES:
         if name not in classes:
             continue
 
@@ -95,11 +98,11 @@ def _counted(name: str, pattern: str, replacement: str):
     return step
 
 
-def redact_frame(df: DataFrame, classes=DEFAULT, depth: int = DEPTH, limit: int | None = None) -> DataFrame:
-    """df with every string in it redacted, in structs, arrays and map values down to `depth`; map keys stay."""
+def redact_frame(df: DataFrame, classes=DEFAULT, depth: int | None = None, limit: int | None = None) -> DataFrame:
+    """df with every string in it redacted, in structs, arrays and map values, down to `depth` or at all levels; map keys stay."""
 
     def walk(c: Column, kind: T.DataType, level: int) -> Column:
-        if level > depth:
+        if depth is not None and level > depth:
             return c
         if isinstance(kind, T.StringType):
             return redact(c, classes, limit)

@@ -22,6 +22,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def ascii_bounds(pattern: str) -> str:
+    r"""A pattern in which \b is a bound of ASCII words, as the reference's patterns mean it; Java's also takes other letters for parts of words."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of letters, digits, apostrophes and hyphens."""
     kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s'-]", " ")
@@ -37,7 +43,7 @@ def content_tokens(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Pieces that end after . ! or ? where an upper-case letter, a quote or a bracket follows."""
     pieces = F.split(text, r"""(?<=[.!?])\s+(?=[\p{Lu}"'(\[])""")
-    return F.filter(F.transform(pieces, F.trim), lambda s: s != "")
+    return F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -78,29 +84,48 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
 
-def shares_run(a: Column, b: Column, n: int) -> Column:
-    """Whether two texts share a run of n characters; both are cut at 4000 characters."""
+def shares_run(a: Column, b: Column, n: int, most: int | None = None) -> Column:
+    """Whether two texts share a run of n characters, of their first `most` or all (but for 64-bit hashes that are equal by chance; longest_common_run() is exact)."""
 
     def grams(t: Column) -> Column:
-        return F.when(F.length(t) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))
+        return F.when(F.length(t) < n, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.xxhash64(F.substring(t, i, F.lit(n)))))
 
-    return F.arrays_overlap(let(F.left(a, F.lit(4000)), grams), let(F.left(b, F.lit(4000)), grams))
+    part = lambda t: t if most is None else F.left(t, F.lit(most))
+    return F.arrays_overlap(let(part(a), grams), let(part(b), grams))
 
 
-def longest_common_run(a: Column, b: Column) -> Column:
-    """Length of the longest common substring, of at most 4000 characters each; use it behind shares_run()."""
+def longest_common_run(a: Column, b: Column, most: int | None = None) -> Column:
+    """Length of the longest common substring of two texts, of their first `most` characters or all; use it behind shares_run()."""
 
     def lengths(x: pd.Series, y: pd.Series) -> pd.Series:
         import numpy as np
         import pandas as pd
 
+        base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+        def prefixes(codes):
+            """Sums of code times a power of the base, and the powers of its inverse, modulo 2^64."""
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, len(codes) - 1), base)]), dtype=np.uint64)
+            back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), inverse)]), dtype=np.uint64)
+            return np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[: len(codes)], dtype=np.uint64)]), back
+
+        def windows(sums, back, n):
+            return (sums[n:] - sums[:-n]) * back[: len(sums) - n]
+
         def of(s, t):
-            s, t = (np.frombuffer((v or "")[:4000].encode("utf-32-le"), "<u4") for v in (s, t))
-            row, best = np.zeros(len(t) + 1, np.int32), 0
-            for c in s:
-                row[1:] = np.where(t == c, row[:-1] + 1, 0)
-                best = max(best, int(row.max(initial=0)))
-            return best
+            s, t = (v or "" if most is None else (v or "")[:most] for v in (s, t))
+            hashed = [prefixes(np.frombuffer(v.encode("utf-32-le"), "<u4")) for v in (s, t)]
+
+            def shared(n):
+                one, two = (windows(*h, n) for h in hashed)
+                _same, i, j = np.intersect1d(one, two, return_indices=True)
+                return any(s[p : p + n] == t[q : q + n] for p, q in zip(i, j, strict=True))
+
+            low, high = 0, min(len(s), len(t))
+            while low < high:
+                n = (low + high + 1) // 2
+                low, high = (n, high) if shared(n) else (low, n - 1)
+            return low
 
         return pd.Series([of(s, t) for s, t in zip(x, y, strict=True)], dtype="int32")
 

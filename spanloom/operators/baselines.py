@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import EPSILON, RECENT, finite, merged_moments, zscore
-from ..functions.text import bucket_start
+from ..functions.text import bucket_start, let
 from ..schema import THRESHOLDS
 from .detectors import Detector, evidence, finished, tagged
-from .traces import span_cost
+from .traces import money, span_cost
 
 #: Metrics whose drift is watched.
 DRIFT_METRICS = ("trace.duration_ms", "trace.cost_usd", "trace.output_tokens", "trace.span_count")
@@ -36,7 +36,7 @@ def baseline_samples(spans: DataFrame) -> DataFrame:
     )
     by_span = s.select("trace_id", "trace_start_ms", "span_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
     t = spans.groupBy("trace_id").agg(
-        F.min("start_ms").alias("trace_start_ms"), (F.max("end_ms") - F.min("start_ms")).alias("d"), F.coalesce(F.sum(F.when(F.col("llm").isNotNull(), span_cost())), F.lit(0.0)).alias("c"),
+        F.min("start_ms").alias("trace_start_ms"), (F.max("end_ms") - F.min("start_ms")).alias("d"), money(F.when(F.col("llm").isNotNull(), span_cost())).alias("c"),
         F.coalesce(F.sum("llm.output_tokens"), F.lit(0)).alias("o"), F.count("*").alias("n"),
     )
     whole = F.array(*[sample(m, F.lit("global"), F.col(c)) for m, c in zip(("trace.duration_ms", "trace.cost_usd", "trace.output_tokens", "trace.span_count"), "dcon", strict=True)])
@@ -76,10 +76,29 @@ def asof_baselines(samples: DataFrame, bucket_ms: int | None = 3_600_000) -> Dat
     return _moments(both.select("metric", "scope", "trace_id", "trace_start_ms", add("n", "bn").alias("n"), add("s", "bs").alias("s"), add("q", "bq").alias("q"), F.least("low", "bl").alias("low"), F.greatest("high", "bh").alias("high")))
 
 
-def recent_samples(samples: DataFrame, size: int = RECENT) -> DataFrame:
-    """metric, scope, trace_id, trace_start_ms, recent: the last `size` values of strictly earlier traces; for series with one value a trace."""
-    w = Window.partitionBy("metric", "scope").orderBy("trace_start_ms", "trace_id").rowsBetween(-size, -1)
-    return samples.select("metric", "scope", "trace_id", "trace_start_ms", F.collect_list("value").over(w).alias("recent"))
+def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: str, name: str) -> DataFrame:
+    """df with name: each row's number (from 0) in its series (keys) by order. Rows are numbered within buckets, a column that the order begins with, and the buckets' totals are added up, so that no series is one task."""
+    totals = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
+    return df.withColumn("_nth", F.row_number().over(inside)).join(carried, [*keys, bucket]).withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_nth", "_before")
+
+
+def recent_samples(samples: DataFrame, size: int = RECENT, bucket_ms: int = 86_400_000, block: int = 4096) -> DataFrame:
+    """metric, scope, trace_id, trace_start_ms, recent: the last `size` values of strictly earlier traces; for series with one value a trace.
+
+    The series are cut into blocks of so many rows, and the last rows of each block also go to the next one, so that
+    a window over a block sees all that it needs.
+    """
+    keys, block = ["metric", "scope"], max(block, size)
+    s = samples.select(*keys, "trace_id", "trace_start_ms", "value", bucket_start(F.col("trace_start_ms"), bucket_ms).alias("_bucket"))
+    s = numbered(s, keys, ["trace_start_ms", "trace_id"], "_bucket", "_at").drop("_bucket")
+    home = F.floor(F.col("_at") / block)
+    last = F.col("_at") % block >= block - size
+    s = s.select("*", F.explode(F.when(last, F.array(home, home + 1)).otherwise(F.array(home))).alias("_block"))
+    w = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(-size, -1)
+    return s.withColumn("recent", F.collect_list("value").over(w)).where(home == F.col("_block")).select(*keys, "trace_id", "trace_start_ms", "recent")
 
 
 def baselines(samples: DataFrame) -> DataFrame:
@@ -134,24 +153,31 @@ def cost_spikes(spans: DataFrame, samples: DataFrame, asof: DataFrame, th: dict)
 
 
 def stability(recent, bins: int = BINS):
-    """The stability index of an array of samples: its newest quarter against its oldest half, in bins over the range of both."""
+    """The stability index of an array of samples: its newest quarter against its oldest half, in bins over the range of both; null where either is too small."""
     n = F.size(recent)
-    old, new = F.slice(recent, F.lit(1), F.floor(n / 2).cast("int")), F.slice(recent, n - F.floor(n / 4).cast("int") + 1, F.floor(n / 4).cast("int"))
-    both = F.concat(old, new)
-    low, high = F.array_min(both), F.array_max(both)
+    half, quarter = F.floor(n / 2).cast("int"), F.floor(n / 4).cast("int")
+
+    def ranged(v):
+        both = F.concat(v["old"], v["new"])
+        return let(F.struct(v["old"].alias("old"), v["new"].alias("new"), F.array_min(both).alias("low"), F.array_max(both).alias("high")), binned)
+
+    def binned(v):
+        at = lambda x: F.when(v["high"] > v["low"], F.least(F.lit(bins - 1), F.floor((x - v["low"]) / ((v["high"] - v["low"]) / bins)))).otherwise(F.lit(0)).cast("int")
+        return let(F.struct(F.transform(v["old"], at).alias("old"), F.transform(v["new"], at).alias("new")), index)
 
-    def share(side, i):
-        at = lambda x: F.when(high > low, F.least(F.lit(bins - 1), F.floor((x - low) / ((high - low) / bins)))).otherwise(F.lit(0))
-        return F.greatest(F.lit(EPSILON), F.size(F.filter(side, lambda x: at(x) == i)) / F.size(side))
+    def index(v):
+        share = lambda side, i: F.greatest(F.lit(EPSILON), F.size(F.filter(v[side], lambda x: x == i)) / F.size(v[side]))
+        each = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(share("new", i).alias("q"), share("old", i).alias("p")))
+        return F.abs(F.aggregate(each, F.lit(0.0), lambda a, s: a + (s["q"] - s["p"]) * F.log(s["q"] / s["p"])))
 
-    term = lambda i: (share(new, i) - share(old, i)) * F.log(share(new, i) / share(old, i))
-    index = F.abs(F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0.0), lambda a, i: a + term(i)))
-    return F.when((F.size(old) >= LEAST_SIDE) & (F.size(new) >= LEAST_SIDE), index)
+    halves = F.struct(F.slice(recent, F.lit(1), half).alias("old"), F.slice(recent, n - quarter + 1, quarter).alias("new"))
+    return F.when((half >= LEAST_SIDE) & (quarter >= LEAST_SIDE), let(halves, ranged))
 
 
 def feature_drift(samples: DataFrame, th: dict) -> DataFrame:
     """At most one finding a metric and bucket of event time: the first trace whose recent samples drift."""
-    r = recent_samples(samples.where(F.col("metric").isin(*DRIFT_METRICS))).withColumn("psi", stability(F.col("recent"))).where(F.col("psi") > th["psi_significant"])
+    # with fewer there is no index, and none is worked out
+    r = recent_samples(samples.where(F.col("metric").isin(*DRIFT_METRICS))).where(F.size("recent") >= 4 * LEAST_SIDE).withColumn("psi", stability(F.col("recent"))).where(F.col("psi") > th["psi_significant"])
     r = r.withColumn("bucket", bucket_start(F.col("trace_start_ms"), th["drift_bucket_ms"]))
     first = Window.partitionBy("metric", "bucket").orderBy("trace_start_ms", "trace_id")
     r = r.withColumn("nth", F.row_number().over(first)).where("nth = 1")

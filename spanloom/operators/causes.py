@@ -29,8 +29,10 @@ def link_causes(ordered: DataFrame, spark) -> DataFrame:
     """ordered with role and caused_by: of the earlier findings of the trace whose code reaches this one's, the nearest in the taxonomy, then the earliest."""
     closure = F.broadcast(causal_closure(edges(spark)))  # fixed by the taxonomy: a few hundred rows
     up = ordered.select("trace_id", F.col("finding_id").alias("cause_id"), F.col("code").alias("cause"), F.col("position").alias("p"), F.col("at_ms").alias("c_ms"), F.col("span_id").alias("c_span"), F.col("ordinal").alias("c_ordinal"))
+    # each finding is told to the codes that it can cause, so that no pair is made that the taxonomy rules out
+    told = up.join(closure, "cause").drop("cause")
     down = ordered.select("trace_id", "finding_id", F.col("code").alias("effect"), "position", "at_ms", "span_id", "ancestors", "ordinal")
-    pairs = down.join(up, "trace_id").where(F.col("p") < F.col("position")).join(closure, ["cause", "effect"])
+    pairs = down.join(told, ["trace_id", "effect"]).where(F.col("p") < F.col("position"))
     timed = F.col("span_id").isNotNull() & F.col("c_span").isNotNull()
     precedes = F.when(timed, (F.col("c_ms") <= F.col("at_ms")) | F.coalesce(F.array_contains("ancestors", F.col("c_span")), F.lit(False))).otherwise(F.col("c_ordinal") <= F.col("ordinal"))
     best = pairs.where(precedes).groupBy("finding_id").agg(F.min_by("cause_id", F.struct("distance", "p")).alias("caused_by"))
@@ -77,18 +79,35 @@ def incident_anchor(roles: DataFrame, traces: DataFrame) -> DataFrame:
     return a.join(traces.select("trace_id", F.col("name").alias("trace_name"), F.col("start_ms").alias("ts_ms")), "trace_id").withColumn("operation", F.coalesce("span_name", "trace_name"))
 
 
-def cluster_incidents(anchors: DataFrame, gap_ms: int = THRESHOLDS["incident_window_ms"]) -> DataFrame:
-    """anchors (trace_id, code, operation, severity, ts_ms) grouped by code and operation wherever no gap is longer than gap_ms."""
-    w = Window.partitionBy("code", "operation").orderBy("ts_ms", "trace_id")
-    a = anchors.withColumn("_new", F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w) > gap_ms).cast("int"), F.lit(1))).withColumn("_n", F.sum("_new").over(w))
-    g = a.groupBy("code", "operation", "_n").agg(
-        F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.count("*").alias("count"), F.min("ts_ms").alias("first_seen_ms"), F.max("ts_ms").alias("last_seen_ms"),
-        F.transform(F.sort_array(F.collect_list(F.struct("ts_ms", "trace_id"))), lambda x: x["trace_id"]).alias("all"),
-    )
+def gap_sessions(df: DataFrame, keys: list[str], ts: str, tie: str, gap_ms: int, name: str) -> DataFrame:
+    """df with name: the number of the session of each row in its series (keys); a session ends where the next row comes later than gap_ms.
+
+    Gaps are found within buckets of time and then between them, from the buckets' first and last rows, so that a
+    series of all rows is no single task.
+    """
+    bucket = F.floor(F.col(ts) / gap_ms)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie)
+    rows = df.withColumn("_bucket", bucket).withColumn("_gap", F.coalesce((F.col(ts) - F.lag(ts).over(inside) > gap_ms).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_inner", F.sum("_gap").over(inside))
+    ends = rows.groupBy(*keys, "_bucket").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_gap").alias("_gaps"))
+    series = Window.partitionBy(*keys).orderBy("_bucket")
+    begins = F.coalesce((F.col("_first") - F.lag("_last").over(series) > gap_ms).cast("int"), F.lit(1))
+    ends = ends.withColumn("_begins", begins)
+    ends = ends.select(*keys, "_bucket", (F.sum(F.col("_begins") + F.col("_gaps")).over(series) - F.col("_gaps")).alias("_base"))
+    return rows.join(ends, [*keys, "_bucket"]).withColumn(name, F.col("_base") + F.col("_inner")).drop("_bucket", "_gap", "_inner", "_base")
+
+
+def cluster_incidents(anchors: DataFrame, gap_ms: int = THRESHOLDS["incident_window_ms"], kept: int = KEPT_TRACES) -> DataFrame:
+    """anchors (trace_id, code, operation, severity, ts_ms) grouped by code and operation wherever no gap is longer than gap_ms; trace_ids are the last `kept` of an incident, by time."""
+    a = gap_sessions(anchors, ["code", "operation"], "ts_ms", "trace_id", gap_ms, "_n")
+    g = a.groupBy("code", "operation", "_n").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.count("*").alias("count"), F.min("ts_ms").alias("first_seen_ms"), F.max("ts_ms").alias("last_seen_ms"))
+    newest = Window.partitionBy("code", "operation", "_n").orderBy(F.desc("ts_ms"), F.desc("trace_id"))
+    last = a.select("code", "operation", "_n", "ts_ms", "trace_id").withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= kept)
+    last = last.groupBy("code", "operation", "_n").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts_ms", "trace_id"))), lambda x: x["trace_id"]).alias("trace_ids"))
     names = F.create_map(*[F.lit(x) for c, n, *_ in MODES for x in (c, n)])
-    return g.select(
+    return g.join(last, ["code", "operation", "_n"]).select(
         F.sha2(F.concat_ws("|", "code", "operation", F.col("first_seen_ms").cast("string")), 256).alias("incident_id"), "code", "operation", "severity", "count", "first_seen_ms", "last_seen_ms",
-        F.slice("all", F.greatest(F.lit(1), F.size("all") - KEPT_TRACES + 1), F.lit(KEPT_TRACES)).alias("trace_ids"), F.lit("open").alias("status"), F.concat_ws(" in ", F.try_element_at(names, F.col("code")), "operation").alias("title"),
+        "trace_ids", F.lit("open").alias("status"), F.concat_ws(" in ", F.try_element_at(names, F.col("code")), "operation").alias("title"),
     )
 
 

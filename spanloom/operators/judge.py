@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.text import estimate_tokens
 from ..schema import THRESHOLDS
 from .baselines import BASELINE_DETECTORS
-from .detectors import BY_START, DETECTORS, Detector, assistant_text, evidence, final_answer, finished, first_question, kind, tagged
+from .detectors import BY_START, DETECTORS, Detector, assistant_text, detect, evidence, final_answer, finished, first_question, kind, tagged
 
 #: Detector, code, what the judge is asked.
 RUBRICS = (
@@ -20,13 +20,14 @@ RUBRICS = (
     ("judge.derailment", "AGT-004", "Does the course of steps leave the objective?"),
     ("judge.safety", "SEC-005", "Is the output unsafe under the policy?"),
 )
-QUESTION_CHARS, CONTEXT_CHARS, OUTPUT_CHARS = 4000, 8000, 6000
+#: Characters of question, context and output that the reference puts into a request; judge_requests() takes them as limits.
+REQUEST_CHARS = (4000, 8000, 6000)
 SAMPLE_RATE, DAILY_TOKENS, REQUEST_TOKENS = 0.1, 500_000, 4000
 POLICY_KEY = "policy.description"
 
 
-def judge_requests(spans: DataFrame) -> DataFrame:
-    """trace_id, span_id, detector_id, code, rubric, question, context, output: up to six requests a trace that has a final answer."""
+def judge_requests(spans: DataFrame, limits: tuple = (None, None, None)) -> DataFrame:
+    """trace_id, span_id, detector_id, code, rubric, question, context, output: up to six requests a trace that has a final answer. limits are how many characters of question, context and output a request takes; None is all of them."""
     answer = final_answer(spans)
     objective = spans.where(kind("agent")).groupBy("trace_id").agg(F.min_by("agent.objective", F.when(F.col("agent.objective").isNotNull(), F.struct(*BY_START))).alias("objective"))
     texts = spans.where(F.col("retrieval.documents").isNotNull()).select("trace_id", "start_ms", "span_id", F.posexplode("retrieval.documents.content").alias("at", "text")).where("text is not null")
@@ -37,7 +38,7 @@ def judge_requests(spans: DataFrame) -> DataFrame:
     contexts = {"judge.faithfulness": F.col("docs"), "judge.extraction": F.col("docs"), "judge.specificity": F.lit(""), "judge.specification": F.lit(""), "judge.derailment": F.col("steps"), "judge.safety": F.coalesce("policy", F.lit(""))}
     each = F.array(*[F.struct(F.lit(d).alias("detector_id"), F.lit(c).alias("code"), F.lit(r).alias("rubric"), contexts[d].alias("context")) for d, c, r in RUBRICS])
     out = t.select("trace_id", "span_id", goal.alias("question"), F.col("answer").alias("output"), F.explode(each).alias("r")).where("r.context is not null")
-    return out.select("trace_id", "span_id", "r.detector_id", "r.code", "r.rubric", F.left("question", F.lit(QUESTION_CHARS)).alias("question"), F.left("r.context", F.lit(CONTEXT_CHARS)).alias("context"), F.left("output", F.lit(OUTPUT_CHARS)).alias("output"))
+    return out.select("trace_id", "span_id", "r.detector_id", "r.code", "r.rubric", *[(F.col(c) if n is None else F.left(c, F.lit(n))).alias(c.split(".")[-1]) for c, n in zip(("question", "r.context", "output"), limits, strict=True)])
 
 
 def gated(requests: DataFrame, findings: DataFrame, rate: float = SAMPLE_RATE, sure: float = THRESHOLDS["short_circuit_confidence"]) -> DataFrame:
@@ -48,10 +49,18 @@ def gated(requests: DataFrame, findings: DataFrame, rate: float = SAMPLE_RATE, s
 
 
 def within_budget(requests: DataFrame, day: str = "day", daily: int = DAILY_TOKENS) -> DataFrame:
-    """Requests (with a day column) in order of trace and detector while the day's estimated tokens leave room for one more; a day is one window, bounded by its budget's worth of requests kept, so rows are cut to ids and sizes first."""
-    size = requests.select(day, "trace_id", "detector_id", (estimate_tokens(F.concat("question", "context", "output")) + 200).alias("estimate"))
-    w = Window.partitionBy(day).orderBy("trace_id", "detector_id").rowsBetween(Window.unboundedPreceding, -1)
-    ok = size.withColumn("spent", F.coalesce(F.sum("estimate").over(w), F.lit(0))).where(F.lit(daily) - F.col("spent") >= REQUEST_TOKENS)
+    """Requests (with a day column) while the day's estimated tokens leave room for one more, in order of a hash of the trace (so that no trace is favoured), then trace and detector.
+
+    Sums are taken within buckets of the hash and over the buckets' totals, so that no day is a single task.
+    """
+    h = F.md5(F.col("trace_id").cast("binary"))
+    size = requests.select(day, "trace_id", "detector_id", h.alias("_h"), F.substring(h, 1, 3).alias("_bucket"), (estimate_tokens(F.concat("question", "context", "output")) + 200).alias("estimate"))
+    totals = size.groupBy(day, "_bucket").agg(F.sum("estimate").alias("_total"))
+    earlier = Window.partitionBy(day).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(day, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(day, "_bucket").orderBy("_h", "trace_id", "detector_id").rowsBetween(Window.unboundedPreceding, -1)
+    spent = size.withColumn("_own", F.coalesce(F.sum("estimate").over(inside), F.lit(0))).join(carried, [day, "_bucket"])
+    ok = spent.where(F.lit(daily) - F.col("_before") - F.col("_own") >= REQUEST_TOKENS)
     return requests.join(ok.select(day, "trace_id", "detector_id"), [day, "trace_id", "detector_id"], "left_semi")
 
 
@@ -100,6 +109,62 @@ class Registry:
     def all(self) -> tuple[Detector, ...]:
         return tuple(self._by_id.values())
 
+    def detect(self, spans: DataFrame, th: dict | None = None, disabled=(), tiers=("L0", "L1", "L2")) -> DataFrame:
+        """The findings of all detectors that are on. One whose rule can't even be built, or whose function fails on a trace, gives a finding INF-006 there and keeps the others from nothing; codes that a detector doesn't declare are dropped."""
+        good, bad = [], []
+        for d in self.all():
+            if d.id in disabled or d.tier not in tiers:
+                continue
+            try:
+                d.rule(th or THRESHOLDS) if d.by_row else d.rule(spans, th or THRESHOLDS)
+                good.append(d)
+            except Exception as e:  # noqa: BLE001 a user's rule may raise anything
+                bad.append((d.id, str(e)))
+        out = detect(spans, th, tuple(good)) if good else None
+        failed = self_failures(out) if out is not None else None
+        out = None if out is None else out.where(F.col("code") != FAILED_CODE)
+        if bad:
+            names = spans.sparkSession.createDataFrame(bad, "detector_id string, error string")
+            everywhere = spans.select("trace_id").distinct().crossJoin(F.broadcast(names))  # a row a broken detector
+            failed = self_observed(everywhere) if failed is None else failed.unionByName(self_observed(everywhere))
+        return failed if out is None else out if failed is None else out.unionByName(failed)
+
+
+#: Code of the rows in which a function's failure travels; no mode has it.
+FAILED_CODE = "FAILED"
+
+
+def function_detector(id_: str, tier: str, emits: tuple[str, ...], function, columns: tuple[str, ...] = ("trace_id", "span_id", "kind", "name", "status"), where=None) -> Detector:
+    """A detector from a Python function of one span (a dict of the columns), which gives None or (code, confidence). Rows go to it in Arrow batches; what it raises becomes a finding of the engine in that trace, and the other rows go on."""
+
+    def rule(spans: DataFrame, th: dict) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
+
+            names = ("trace_id", "span_id", "k", "code", "severity", "confidence", "error")
+            for b in batches:
+                out = []
+                for r in b.to_pylist():
+                    try:
+                        found = function(r)
+                        if found is not None:
+                            out.append((r["trace_id"], r["span_id"], "", found[0], None, float(found[1]), None))
+                    except Exception as e:  # noqa: BLE001 a user's function may raise anything
+                        out.append((r["trace_id"], None, str(e)[:200], FAILED_CODE, "low", 1.0, str(e)[:200]))
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], pa.schema([(n, pa.float64() if n == "confidence" else pa.string()) for n in names]))
+
+        rows = spans if where is None else spans.where(where)
+        found = rows.select(*columns).mapInArrow(run, "trace_id string, span_id string, k string, code string, severity string, confidence double, error string")
+        return found.withColumn("evidence", F.when(F.col("error").isNull(), evidence()).otherwise(evidence(("error", F.col("error"))))).drop("error")
+
+    return Detector(id_, tier, (*emits, FAILED_CODE), rule)
+
+
+def self_failures(findings: DataFrame) -> DataFrame:
+    """The failures among findings, each trace and detector once."""
+    bad = findings.where(F.col("code") == FAILED_CODE).groupBy("trace_id", "detector_id").agg(F.min(F.get("evidence", F.lit(0))["value"]).alias("error"))
+    return self_observed(bad)
+
 
 def detector_runs(spans: DataFrame, findings: DataFrame, baseline_counts: DataFrame | None = None, detectors=DETECTORS, th: dict | None = None) -> DataFrame:
     """trace_id, detector_id, outcome, findings: one row for each trace and detector; what a detector supports is told by the kinds of spans that the trace has."""

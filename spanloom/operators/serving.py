@@ -10,6 +10,7 @@ from ..functions.text import severities_from, severity_rank
 from ..schema import SEVERITIES_ORDER
 from ..taxonomy import taxonomy
 from .causes import in_range
+from .traces import money
 
 DEFAULT_LIMIT, MOST_LIMIT, MOST_BUCKETS = 50, 500, 500
 DAY_MS = 86_400_000
@@ -71,7 +72,7 @@ def trace_detail(traces: DataFrame, spans: DataFrame, findings: DataFrame, trace
     own = lambda df: df.where(F.col("trace_id") == trace_id)
     rank = F.when(F.col("role") == "origin", 0).when(F.col("role") == "symptom", 1).otherwise(2)
     s = own(spans).groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("start_ms", "span_id", "name", "kind", "status"))).alias("spans"))
-    f = own(findings).groupBy("trace_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(rank.alias("r"), (-F.col("confidence")).alias("c"), "finding_id", "code", "severity", "role"))), lambda x: x.dropFields("r", "c")).alias("findings"))
+    f = own(findings).groupBy("trace_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(rank.alias("r"), (-F.col("confidence")).alias("c"), "finding_id", "code", "severity", "role", "confidence"))), lambda x: x.dropFields("r", "c")).alias("findings"))
     return own(traces).join(s, "trace_id", "left").join(f, "trace_id", "left")
 
 
@@ -79,7 +80,7 @@ def overview(traces: DataFrame, findings: DataFrame, incidents: DataFrame, from_
     """One row of totals in the range; findings by severity are zero-filled."""
     t = in_range(traces, from_ms, to_ms)
     a = t.agg(
-        F.count("*").alias("traces"), F.count_if(F.col("status") == "error").alias("errors"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),
+        F.count("*").alias("traces"), F.count_if(F.col("status") == "error").alias("errors"), money(F.col("cost_usd")).alias("cost_usd"),
         F.coalesce(percentile_nr("duration_ms", 50), F.lit(0)).alias("p50_ms"), F.coalesce(percentile_nr("duration_ms", 95), F.lit(0)).alias("p95_ms"),
     )
     f = findings.join(t.select("trace_id"), "trace_id", "left_semi").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}_findings") for s in SEVERITIES_ORDER])
@@ -93,7 +94,7 @@ def timeseries(traces: DataFrame, findings: DataFrame, from_ms: int, to_ms: int,
     at = (F.col("start_ms") - F.pmod(F.col("start_ms"), F.lit(bucket))).alias("bucket_ms")
     t = in_range(traces, from_ms, to_ms)
     per = findings.groupBy("trace_id").agg(F.count("*").alias("n"))
-    g = t.join(per, "trace_id", "left").groupBy(at).agg(F.count("*").alias("traces"), F.count_if(F.col("status") == "error").alias("errors"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), F.sum("cost_usd").alias("cost_usd"), percentile_nr("duration_ms", 95).alias("p95_ms"))
+    g = t.join(per, "trace_id", "left").groupBy(at).agg(F.count("*").alias("traces"), F.count_if(F.col("status") == "error").alias("errors"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), money(F.col("cost_usd")).alias("cost_usd"), percentile_nr("duration_ms", 95).alias("p95_ms"))
     first = from_ms - from_ms % bucket
     slots = traces.sparkSession.range(first, to_ms + 1, bucket).select(F.col("id").alias("bucket_ms"))  # at most 501 rows
     return slots.join(g, "bucket_ms", "left").select("bucket_ms", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("traces", "errors", "findings", "cost_usd", "p95_ms")])
@@ -109,9 +110,9 @@ def code_frequency(findings: DataFrame, top: int = 20, traces: DataFrame | None
 def cost_by_cohort(traces: DataFrame, key: str, top: int = 10, from_ms=None, to_ms=None) -> DataFrame:
     """value, traces, cost_usd, share: the costliest values of a column or attribute; the share is of what is returned."""
     value = F.col(key) if key in traces.columns else F.try_element_at("attributes", F.lit(key))
-    g = in_range(traces, from_ms, to_ms).groupBy(value.cast("string").alias("value")).agg(F.count("*").alias("traces"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
+    g = in_range(traces, from_ms, to_ms).groupBy(value.cast("string").alias("value")).agg(F.count("*").alias("traces"), money(F.col("cost_usd")).alias("cost_usd"))
     g = g.orderBy(F.desc("cost_usd"), F.col("value").asc_nulls_last()).limit(top).where("value is not null")
-    total = g.agg(F.sum("cost_usd").alias("total"))
+    total = g.agg(money(F.col("cost_usd")).alias("total"))
     return g.crossJoin(F.broadcast(total)).select("value", "traces", "cost_usd", F.when(F.col("total") > 0, F.col("cost_usd") / F.col("total")).otherwise(F.lit(0.0)).alias("share"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.text import severity_rank, stable_hash
 from ..schema import THRESHOLDS
 from .detectors import Detector, evidence, finished, tagged
-from .traces import span_cost
+from .traces import money, span_cost
 
 
 def session_turns(spans: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def session_turns(spans: DataFrame) -> DataFrame:
     t = spans.groupBy("trace_id").agg(
         F.min("session_id").alias("session_id"), F.min("start_ms").alias("start_ms"), F.max_by(F.struct(n.alias("n"), prints.alias("p"), F.col("span_id").alias("span_id")), first).alias("m"),
         F.coalesce(F.sum(F.coalesce("llm.input_tokens", F.lit(0)) + F.coalesce("llm.output_tokens", F.lit(0))), F.lit(0)).alias("tokens"),
-        F.coalesce(F.sum(F.when(F.col("llm").isNotNull(), span_cost())), F.lit(0.0)).alias("cost_usd"), F.when(F.bool_or(F.col("status") == "error"), "error").otherwise("ok").alias("status"),
+        money(F.when(F.col("llm").isNotNull(), span_cost())).alias("cost_usd"), F.when(F.bool_or(F.col("status") == "error"), "error").otherwise("ok").alias("status"),
     )
     return t.where("session_id is not null").select("trace_id", "session_id", "start_ms", F.col("m.n").alias("message_count"), F.col("m.p").alias("fingerprints"), F.col("m.span_id").alias("span_id"), "tokens", "cost_usd", "status")
 
@@ -65,7 +65,7 @@ def list_sessions(traces: DataFrame, findings: DataFrame, least_traces: int = 1,
     per = findings.groupBy("trace_id").agg(F.count("*").alias("n"), F.max(severity_rank(F.col("severity"))).alias("rank"), F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"))
     s = t.join(per, "trace_id", "left").groupBy("session_id").agg(
         F.min("service").alias("service"), F.min("environment").alias("environment"), F.count("*").alias("traces"), F.min("start_ms").alias("first_seen_ms"), F.max("end_ms").alias("last_seen_ms"),
-        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), F.count_if(F.col("status") == "error").alias("errors"), F.max_by("severity", "rank").alias("worst_severity"),
+        money(F.col("cost_usd")).alias("cost_usd"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), F.count_if(F.col("status") == "error").alias("errors"), F.max_by("severity", "rank").alias("worst_severity"),
     )
     return s.where(F.col("traces") >= least_traces).orderBy(F.desc("last_seen_ms"), "session_id").limit(min(limit, 500))
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import severity_rank
 from ..schema import SESSION_KEY
+from ..shared import shared_dir
 
 #: Model prefix, dollars for a million input, output and cached input tokens (None: as input).
 PRICES = (
@@ -24,6 +23,7 @@ PRICES = (
     ("text-embedding-3-small", 0.02, 0.0, None),
     ("text-embedding-3-large", 0.13, 0.0, None),
 )
+#: Depth at which the reference stops to follow raw parents; max_depth() takes it as its cap.
 MAX_DEPTH = 64
 
 
@@ -56,37 +56,43 @@ def assemble_traces(spans: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in spark.checkpoint.dir (a temporary folder where that is unset)."""
+    """df as a checkpoint in spark.checkpoint.dir; where that is unset, in a temporary folder if all runs in one process, and else an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
-def span_tree(spans: DataFrame, cap: int = MAX_DEPTH) -> DataFrame:
-    """span_id, trace_id, depth, ancestors (nearest first) and root_id; a span whose parent is missing is a root, one inside a cycle of parents has depth null and no ancestors.
+def span_tree(spans: DataFrame) -> DataFrame:
+    """span_id, trace_id, depth, ancestors (nearest first) and root_id; a span whose parent is missing is a root, one in or below a cycle of parents has depth null and no ancestors.
 
-    Pointer doubling: each round joins every span with its farthest known ancestor, so that six rounds reach depth 64;
-    rounds end once all spans know their root. A round's result is a checkpoint, as the plan would double with it.
+    Pointer doubling: each round joins every span with its farthest known ancestor, so that six rounds reach depth 64
+    and seven 128; a path that comes upon a span twice is a cycle. Rounds end once all spans know their root. A round's
+    result is a checkpoint, as the plan would double with it.
     """
     own = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("parent"))
     present = spans.select("trace_id", F.col("span_id").alias("parent"), F.lit(True).alias("there"))
     linked = own.join(present, ["trace_id", "parent"], "left").select("trace_id", "span_id", F.when(F.col("there"), F.col("parent")).alias("up"))
-    state = linked.select("trace_id", "span_id", F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array("up")).alias("path"), "up")
-    hops, state = 1, settled(state)
-    while hops < cap and not state.where("up is not null").isEmpty():
-        far = state.select("trace_id", F.col("span_id").alias("up"), F.col("path").alias("more"), F.col("up").alias("next"))
-        state = state.join(far, ["trace_id", "up"], "left").select("trace_id", "span_id", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.col("next").alias("up"))
-        hops, state = hops * 2, settled(state)
-    rooted = F.col("up").isNull()
-    return state.select("trace_id", "span_id", F.when(rooted, F.size("path")).alias("depth"), F.when(rooted, F.col("path")).otherwise(F.array().cast("array<string>")).alias("ancestors"), F.when(rooted, F.coalesce(F.try_element_at("path", F.lit(-1)), "span_id")).alias("root_id"))
-
-
-def max_depth(spans: DataFrame) -> DataFrame:
-    """trace_id, max_depth: the longest raw chain of parents, a hop to an absent parent counted."""
+    none = F.array().cast("array<string>")
+    state = linked.select("trace_id", "span_id", F.when(F.col("up").isNull(), none).otherwise(F.array("up")).alias("path"), "up", (F.col("up") == F.col("span_id")).alias("cyclic"))
+    state = settled(state.withColumn("cyclic", F.coalesce("cyclic", F.lit(False))))
+    while not state.where("up is not null and not cyclic").isEmpty():
+        far = state.select("trace_id", F.col("span_id").alias("up"), F.col("path").alias("more"), F.col("up").alias("next"), F.col("cyclic").alias("above"))
+        joined = state.join(far, ["trace_id", "up"], "left").select("trace_id", "span_id", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), "next", (F.col("cyclic") | F.coalesce("above", F.lit(False))).alias("cyclic"))
+        cyclic = F.col("cyclic") | (F.size(F.array_distinct(F.concat("path", F.array("span_id")))) <= F.size("path"))
+        # what is known to be cyclic stays as it is, so that its path grows no further
+        state = settled(joined.withColumn("cyclic", cyclic).select("trace_id", "span_id", F.when(F.col("cyclic"), none).otherwise(F.col("path")).alias("path"), F.when(F.col("cyclic"), F.col("span_id")).otherwise(F.col("next")).alias("up"), "cyclic"))
+    rooted = ~F.col("cyclic")
+    return state.select("trace_id", "span_id", F.when(rooted, F.size("path")).alias("depth"), F.when(rooted, F.col("path")).otherwise(none).alias("ancestors"), F.when(rooted, F.coalesce(F.try_element_at("path", F.lit(-1)), "span_id")).alias("root_id"))
+
+
+def max_depth(spans: DataFrame, cap: int | None = None) -> DataFrame:
+    """trace_id, max_depth: the longest raw chain of parents, a hop to an absent parent counted, up to the cap if there is one. Chains in a cycle have no end: they count as the cap, and without one not at all (null if a trace has no others)."""
     tree = span_tree(spans)
     roots = spans.select("trace_id", F.col("span_id").alias("root_id"), F.col("parent_span_id").isNotNull().cast("int").alias("hop"))
-    depth = tree.join(roots, ["trace_id", "root_id"], "left").select("trace_id", F.least(F.lit(MAX_DEPTH), F.coalesce(F.col("depth") + F.col("hop"), F.lit(MAX_DEPTH))).alias("d"))
+    depth = tree.join(roots, ["trace_id", "root_id"], "left").select("trace_id", (F.col("depth") + F.col("hop")).alias("d"))
+    if cap is not None:
+        depth = depth.withColumn("d", F.least(F.lit(cap), F.coalesce("d", F.lit(cap))))
     return depth.groupBy("trace_id").agg(F.max("d").alias("max_depth"))
 
 
@@ -115,13 +121,18 @@ def price_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("cost_usd", F.when(F.col("llm").isNotNull(), span_cost()))
 
 
+def money(cost: Column) -> Column:
+    """Aggregate: a sum of costs in decimals, so that it doesn't depend on the order of rows; 0 without any."""
+    return F.coalesce(F.sum(cost.cast("decimal(30,12)")).cast("double"), F.lit(0.0))
+
+
 def trace_metrics(spans: DataFrame) -> DataFrame:
     """One row a trace: tokens, cost, errors, calls by kind, iterations, tools, window use."""
     zero = lambda c: F.coalesce(c, F.lit(0))
     m = spans.groupBy("trace_id").agg(
         zero(F.sum("llm.input_tokens")).alias("input_tokens"),
         zero(F.sum("llm.output_tokens")).alias("output_tokens"),
-        F.coalesce(F.sum(F.when(F.col("llm").isNotNull(), span_cost())), F.lit(0.0)).alias("cost_usd"),
+        money(F.when(F.col("llm").isNotNull(), span_cost())).alias("cost_usd"),
         F.count_if(F.col("status") == "error").alias("error_count"),
         F.count_if(F.col("kind") == "llm").alias("llm_calls"),
         F.count_if(F.col("kind") == "tool").alias("tool_calls"),
@@ -176,6 +187,15 @@ def unanalysed_traces(traces: DataFrame, analysed: DataFrame, cutoff_ms: int, li
     return traces.where(F.col("start_ms") < cutoff_ms).join(analysed.select("trace_id"), "trace_id", "left_anti").orderBy("start_ms", "trace_id").limit(limit)
 
 
+def sweep_stale(spans: DataFrame, analysed: DataFrame, cutoff_ms: int, limit: int, th: dict | None = None, detectors=None) -> tuple[DataFrame, DataFrame]:
+    """Traces and findings (of all detectors, unless some are given) of the oldest traces that began before the cutoff and have not been analysed, as those whose root never came."""
+    from .detectors import DETECTORS, detect
+
+    due = unanalysed_traces(assemble_traces(spans), analysed, cutoff_ms, limit)
+    own = spans.join(due.select("trace_id"), "trace_id", "left_semi")
+    return due, detect(own, th, detectors or DETECTORS)
+
+
 def sample_traces(spans: DataFrame, rate: float) -> DataFrame:
     """The spans of a share of all traces, decided by a hash of the id, and every span that failed."""
     cut = int(rate * 0x10000000)

@@ -23,12 +23,19 @@ MAPPED_KEYS = (
 
 
 def read_spans(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Native spans with a fixed schema; a record that can't be read is a row with nothing but _corrupt."""
+    """Native spans with a fixed schema, and of JSON lines _file and _at: the file and the row's place in the part of it that a task reads (in files of one part the line, from 0). A record that can't be read is a row with nothing else but _corrupt."""
     if fmt == "json":
-        return spark.read.schema(SPAN + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        raw = spark.read.schema(SPAN + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        # the lower 33 bits number the rows of a task
+        return raw.withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     return spark.read.schema(SPAN).format(fmt).load(path)
 
 
+def reject_report(rejects: DataFrame, most: int = 20) -> DataFrame:
+    """file, index, message of the first `most` rejects of validate_spans(), by file and place."""
+    return rejects.orderBy("_file", "_at").limit(most).select(F.col("_file").alias("file"), F.col("_at").alias("index"), F.col("reason").alias("message"))
+
+
 def read_span_stream(spark: SparkSession, path: str, fmt: str = "json", files: int = 100) -> DataFrame:
     return spark.readStream.schema(SPAN).option("maxFilesPerTrigger", files).format(fmt).load(path)
 
@@ -55,7 +62,7 @@ def validate_spans(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The spans that keep all rules, and the others with reason (the first five violations)."""
     v = df.withColumn("_v", violations(df))
     corrupt = F.col("_corrupt").isNotNull() if "_corrupt" in df.columns else F.lit(False)
-    good = v.where((F.size("_v") == 0) & ~corrupt).drop("_v", "_corrupt")
+    good = v.where((F.size("_v") == 0) & ~corrupt).drop("_v", "_corrupt", "_file", "_at")
     bad = v.where((F.size("_v") > 0) | corrupt).withColumn("reason", F.when(corrupt, F.lit("not readable")).otherwise(F.array_join("_v", "; "))).drop("_v")
     return good, bad
 
@@ -202,9 +209,9 @@ def write_bundle(place: str, traces: DataFrame, spans: DataFrame, findings: Data
 def read_bundle(spark: SparkSession, place: str, name: str) -> DataFrame:
     """A table as of all committed versions: of each trace the rows of its latest one; of spans the first by span_id."""
     commits = spark.read.parquet(f"{place}/commits")
-    rows = spark.read.parquet(f"{place}/{name}").join(F.broadcast(commits), "version")
+    rows = spark.read.parquet(f"{place}/{name}").join(commits, "version")
     if name == "spans":
         first = Window.partitionBy("span_id").orderBy("at", "version")
         return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "at", "version")
-    latest = spark.read.parquet(f"{place}/traces").join(F.broadcast(commits), "version").groupBy("trace_id").agg(F.max_by("version", F.struct("at", "version")).alias("version"))
+    latest = spark.read.parquet(f"{place}/traces").join(commits, "version").groupBy("trace_id").agg(F.max_by("version", F.struct("at", "version")).alias("version"))
     return rows.join(latest, ["trace_id", "version"], "left_semi").drop("at", "version")

@@ -107,8 +107,14 @@ def test_tree_with_orphans_and_cycles(spark):
     rows = [span(0), span(1), span(2, parent_span_id="s1"), span(3, parent_span_id="gone"), span(4, parent_span_id="s5"), span(5, parent_span_id="s4")]
     got = {r["span_id"]: (r["depth"], r["ancestors"]) for r in traces.span_tree(frame(spark, rows)).collect()}
     assert got == {"s0": (0, []), "s1": (1, ["s0"]), "s2": (2, ["s1", "s0"]), "s3": (0, []), "s4": (None, []), "s5": (None, [])}
-    chain = [span(i, parent_span_id=f"s{i - 1}" if i else None) for i in range(50)]
-    assert traces.max_depth(frame(spark, chain)).first()["max_depth"] == 49
+    for n in (50, 80):
+        chain = [span(i, parent_span_id=f"s{i - 1}" if i else None) for i in range(n)]
+        assert traces.max_depth(frame(spark, chain)).first()["max_depth"] == n - 1
+    deepest = traces.span_tree(frame(spark, chain)).orderBy(F.desc("depth")).first()
+    assert deepest["depth"] == 79 and deepest["ancestors"] == [f"s{i}" for i in range(78, -1, -1)]
+    assert traces.max_depth(frame(spark, chain), traces.MAX_DEPTH).first()["max_depth"] == 64
+    ring = [span(i, parent_span_id=f"s{(i + 1) % 5}") for i in range(5)] + [span(9, parent_span_id="s2"), span(10, parent_span_id="s10")]
+    assert {r["depth"] for r in traces.span_tree(frame(spark, ring)).collect()} == {None}
 
 
 def test_prices(spark):
@@ -168,6 +174,8 @@ def test_statistics(spark):
     df = spark.createDataFrame([(i % 2 == 0, float(i % 10)) for i in range(200)], "side boolean, v double").withColumn("k", F.lit(1))
     same = df.withColumn("side", F.floor(F.rand(1) * 2) == 1)
     assert stats.psi(stats.shares(same, ["k"], "v", "side"), ["k"]).first()["psi"] < 0.5
+    equal = df.unionByName(df.withColumn("side", ~F.col("side")))
+    assert stats.psi(stats.shares(equal, ["k"], "v", "side"), ["k"]).first()["psi"] < 0.01
     a = stats.js_divergence(stats.shares(df, ["k"], "v", "side"), ["k"]).first()["js"]
     b = stats.js_divergence(stats.shares(df.withColumn("side", ~F.col("side")), ["k"], "v", "side"), ["k"]).first()["js"]
     assert a == pytest.approx(b) and 0 <= a <= 1
@@ -211,13 +219,144 @@ def test_bundles_replace(spark, tmp_path):
     assert src.read_bundle(spark, f"file://{tmp_path}/b", "spans").count() == 1
 
 
+def test_common_runs_of_whole_texts(spark):
+    same = "x" + "needle in a haystack of words" * 3
+    df = spark.createDataFrame([("a" * 9000 + same, "b" * 9000 + same), ("", "a"), (None, "a"), ("é😀ab", "zé😀az")], "a string, b string")
+    assert [r["n"] for r in df.select(text.longest_common_run(F.col("a"), F.col("b")).alias("n")).collect()] == [len(same), 0, 0, 3]
+    assert [r["n"] for r in df.select(text.longest_common_run(F.col("a"), F.col("b"), 4000).alias("n")).limit(1).collect()] == [0]
+    assert [r["n"] for r in df.select(text.shares_run(F.col("a"), F.col("b"), 60).alias("n")).limit(1).collect()] == [True]
+    leak = [span(0, llm=llm("q", "y" * 5000 + "You are the helper of a bank and must never reveal the vault code. " * 2, system_instructions="z" * 5000 + "You are the helper of a bank and must never reveal the vault code. " * 2))]
+    assert "SEC-004" in {c for c, _ in codes(spark, leak)}
+
+
+def test_redaction_at_all_depths(spark):
+    deep = spark.createDataFrame([("me@example.org",)], "t string").select(F.struct("t").alias("s"))
+    for _ in range(10):
+        deep = deep.select(F.struct("s").alias("s"))
+    assert "REDACTED" in red.redact_frame(deep).select(F.to_json("s").alias("j")).first()["j"]
+    assert "REDACTED" not in red.redact_frame(deep, depth=red.DEPTH).select(F.to_json("s").alias("j")).first()["j"]
+    bounds = spark.createDataFrame([("éà 4111111111111111 élan",)], "t string")
+    assert bounds.select(red.redact(F.col("t")).alias("x")).first()["x"] == "éà [REDACTED:credit_card] élan"
+
+
+def test_gap_sessions_and_kept_traces(spark):
+    import random
+
+    made = random.Random(3)
+    rows = [(f"t{i:04d}", "C", made.choice("ab"), "high", made.randrange(0, 40_000_000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "trace_id string, code string, operation string, severity string, ts_ms long")
+    got = {(r["operation"], r["first_seen_ms"]): (r["count"], r["last_seen_ms"], r["trace_ids"]) for r in causes.cluster_incidents(df, 300_000, 5).collect()}
+    want = {}
+    for o in "ab":
+        own, group = sorted((r[4], r[0]) for r in rows if r[2] == o), []
+        for x in [*own, None]:
+            if group and (x is None or x[0] - group[-1][0] > 300_000):
+                want[o, group[0][0]] = (len(group), group[-1][0], [t for _, t in group[-5:]])
+                group = []
+            group += [x]
+    assert got == want and max(n for n, *_ in got.values()) > 5
+
+
+def test_recent_samples_over_blocks(spark):
+    from spanloom.operators import baselines as bl
+
+    rows = [("m", "g", f"t{i:03d}", i // 2 * 1000, None, float(i)) for i in range(300)]
+    s = spark.createDataFrame(rows, "metric string, scope string, trace_id string, trace_start_ms long, span_id string, value double")
+    got = {r["trace_id"]: r["recent"] for r in bl.recent_samples(s, 7, 10_000, 16).collect()}
+    assert got == {f"t{i:03d}": [float(x) for x in range(max(0, i - 7), i)] for i in range(300)}
+
+
+def test_own_detectors_that_fail(spark):
+    r = judge.Registry(())
+    r.add(judge.function_detector("own", "L1", ("GEN-002",), lambda s: ("GEN-002", 2.0) if s["kind"] == "llm" else 1 // 0 if s["kind"] == "tool" else ("GEN-001", 0.5)))
+    r.add(detectors.Detector("broken", "L1", ("GEN-003",), lambda spans, th: th["no such"]))
+    got = sorted((x["trace_id"], x["code"], x["confidence"]) for x in r.detect(frame(spark, [span(0), span(1, "tool"), span(2, "tool"), span(3, "agent"), span(4, trace="u")])).collect())
+    assert got == [("t", "GEN-002", 1.0), ("t", "INF-006", 1.0), ("t", "INF-006", 1.0), ("u", "GEN-002", 1.0), ("u", "INF-006", 1.0)]
+
+
+def test_reject_report(spark, tmp_path):
+    place = str(tmp_path / "spans.json")
+    with open(place, "w") as f:
+        f.write("\n".join([json.dumps(span(0)), "{broken", json.dumps(span(1, kind="odd")), json.dumps(span(2))]))
+    good, bad = src.validate_spans(src.read_spans(spark, f"file://{place}"))
+    assert good.count() == 2 and [(r["index"], r["message"]) for r in src.reject_report(bad).collect()] == [(1, "not readable"), (2, "kind: unknown")]
+
+
+def drained(df, tmp_path, name, **sink):
+    w = df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{tmp_path}/{name}").trigger(availableNow=True)
+    w.start().awaitTermination(120)
+    return df.sparkSession.table(name)
+
+
+def in_files(spark, tmp_path, *batches):
+    """A stream that gives each batch of spans in turn."""
+    for b in batches:
+        frame(spark, b).coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+    return src.read_span_stream(spark, f"file://{tmp_path}/in", files=1)
+
+
 def test_streams(spark, tmp_path):
     from spanloom.streaming import streams
 
-    rows = [span(1), span(0), span(1), span(2, trace="u", parent_span_id="x"), span(3, trace="v", start=10_000_000)]
-    frame(spark, rows).coalesce(1).write.json(f"file://{tmp_path}/in")
-    live = src.read_span_stream(spark, f"file://{tmp_path}/in")
-    q = streams.assemble_stream(streams.dedup_stream(streams.with_idle_watermark(live))).writeStream.format("memory").queryName("assembled").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r["trace_id"]: (r["span_count"], r["reason"]) for r in streams.latest(spark.table("assembled")).collect()}
-    assert got["t"] == (2, "root") and got.get("u", (1, "idle")) == (1, "idle")
+    late, far = 10_000_000, 40_000_000
+    live = in_files(
+        spark, tmp_path,
+        [span(1), span(0), span(1), span(2, trace="u", parent_span_id="x")],
+        [span(5, name="later"), span(3, trace="v", start=late, parent_span_id="x")],
+        [span(9, trace="w", start=far, parent_span_id=None)],
+        [span(7, trace="u", start=3000, parent_span_id="x")],
+    )
+    got = drained(streams.assemble_stream(streams.dedup_stream(streams.with_idle_watermark(live))), tmp_path, "assembled")
+    rows = {(r["trace_id"], r["version"]): (r["span_count"], r["reason"]) for r in got.collect()}
+    assert rows["t", 1] == (2, "root") and rows["t", 2] == (3, "late")
+    assert rows["u", 1] == (1, "idle") and rows["v", 1] == (1, "idle") and rows["w", 1] == (1, "root")
+    # by then u is forgotten: what comes is no newer state
+    assert rows.get(("u", 0), (1, "beyond")) == (1, "beyond") and ("u", 2) not in rows
+    newest = {r["trace_id"]: r["span_count"] for r in streams.latest(got).collect()}
+    assert newest == {"t": 3, "u": 1, "v": 1, "w": 1}
+
+
+def test_late_spans_are_analysed_with_their_trace(spark, tmp_path):
+    from spanloom.streaming import streams
+
+    whole = [span(0), span(1, "tool", tool=tool(error="no")), span(2, status="error", status_message="Request timed out")]
+    live = in_files(spark, tmp_path, whole[:2], whole[2:])
+    chosen = tuple(d for d in detectors.DETECTORS if d.by_row)
+    place = f"file://{tmp_path}/bundle"
+
+    def analyse(spans):
+        t = traces.assemble_traces(spans).drop("attributes")
+        return t, detectors.detect(spans, None, chosen), t.select("trace_id", F.lit("d").alias("detector_id"))
+
+    complete = streams.assemble_stream(streams.with_idle_watermark(live))
+    seen = streams.analysis_to(place, lambda spark: frame(spark, whole), analyse)
+    complete.writeStream.foreachBatch(seen).option("checkpointLocation", f"file://{tmp_path}/log").trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.read.parquet(f"{place}/commits").count() == 2
+    found = [r["code"] for r in src.read_bundle(spark, place, "findings").collect()]
+    assert sorted(found) == sorted(r["code"] for r in detectors.detect(frame(spark, whole), None, chosen).collect()) and {"TOL-002", "INF-002"} <= set(found)
+
+
+def test_state_of_streams(spark, tmp_path):
+    from spanloom.streaming import streams
+
+    def live(name, schema, *batches):
+        for b in batches:
+            spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/{name}")
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/{name}")
+
+    # a watermark is never before 1970
+    hour, day = 3_600_000, 11_574 * 86_400_000
+    a = live("a", "incident_id string, severity string, last_seen_ms long", [("x", "high", day), ("x", "high", day + 1), ("y", "low", day)], [("x", "critical", day + hour), ("z", "high", day + hour)])
+    assert sorted(r["incident_id"] for r in drained(streams.alerts_stream(a), tmp_path, "alerts").collect()) == ["x", "z"]
+    d = live("d", "metric string, trace_start_ms long", [("m", day + 1), ("m", day + 2), ("n", day + 3)], [("m", day + 7 * hour), ("m", day + 4)])
+    assert sorted((r["metric"], r["bucket"]) for r in drained(streams.drift_stream(d), tmp_path, "drifts").collect()) == [("m", day), ("m", day + 6 * hour), ("n", day)]
+    t = live("t", "trace_id string, session_id string, start_ms long, message_count long", [("a", "s", 0, 4), ("b", "s", 10, 1), ("c", "s", 10, 2)], [("d", "s", 20, 3), ("e", "r", 5, 1)])
+    got = {r["trace_id"]: (r["previous_trace_id"], r["previous_count"]) for r in drained(streams.session_pairs_stream(t), tmp_path, "pairs").collect()}
+    assert got == {"a": (None, None), "b": ("a", 4), "c": ("a", 4), "d": ("c", 2), "e": (None, None)}
+    s = spark.createDataFrame([("m", "g", "t", 0, None, 1.0)], "metric string, scope string, trace_id string, trace_start_ms long, span_id string, value double")
+    merge = streams.baselines_to(f"file://{tmp_path}/base")
+    merge(s, 0)
+    merge(s, 1)
+    assert spark.read.parquet(f"file://{tmp_path}/base/1").first()["count"] == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        merge(s, 5)
