@@ -16,7 +16,6 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import WORD, counted_join, discard, small_batches, written
 from .line_dedup import row_key
@@ -194,7 +193,8 @@ def large_crowds(sets: DataFrame, least: float) -> DataFrame:
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("members") / CROWD)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     dealt = sets.withColumn("part", part).withColumn("top", F.col("node"))
-    few = sets.withColumn("_nth", F.row_number().over(Window.partitionBy("crowd").orderBy(F.xxhash64("node"), "node"))).where(F.col("_nth") <= CROWD)
+    # about CROWD nodes of each crowd, by a hash, so that none is ranked
+    few = sets.where(F.pmod(F.xxhash64("node", F.lit(3)), F.col("members")) < CROWD)
     few = few.withColumn("part", every(F.ceil(F.col("members") / CROWD).cast("int"))).withColumn("top", F.col("node"))
     links = written(crossed(dealt.select("crowd", "part", "node", "set", "top"), few.select("crowd", "part", "node", "set", "top"), ["crowd", "part"], least).distinct(), "minhash-links")
     root = written(components(links), "minhash-roots")
