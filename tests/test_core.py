@@ -1,6 +1,7 @@
 """Operators of trace analytics on small hand-made rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -311,11 +312,63 @@ def test_streams(spark, tmp_path):
     assert rows["t", 1] == (2, "root") and rows["t", 2] == (3, "late")
     assert rows["u", 1] == (1, "idle") and rows["v", 1] == (1, "idle") and rows["w", 1] == (1, "root")
     # by then u is forgotten: what comes is no newer state
-    assert rows.get(("u", 0), (1, "beyond")) == (1, "beyond") and ("u", 2) not in rows
+    assert ("u", 2) not in rows
     newest = {r["trace_id"]: r["span_count"] for r in streams.latest(got).collect()}
     assert newest == {"t": 3, "u": 1, "v": 1, "w": 1}
 
 
+def test_rows_behind_the_watermark_are_assembled(spark, tmp_path):
+    from spanloom.streaming import streams
+
+    far = 40_000_000
+    live = in_files(
+        spark, tmp_path,
+        [span(1, trace="u", parent_span_id="x"), span(2, trace="k", parent_span_id="x")],
+        [span(3, trace="w", start=far, parent_span_id=None)],
+        [span(3, trace="k", start=far - 100_000, parent_span_id="x"), span(4, trace="w", start=far, parent_span_id=None)],
+        [span(5, trace="w", start=50_000_000, parent_span_id=None)],
+        [span(6, trace="w", start=50_000_000, parent_span_id=None)],
+        [span(7, trace="u", start=3000, parent_span_id="x"), span(8, trace="new", start=49_000_000, parent_span_id=None)],
+    )
+    got = drained(streams.assemble_stream(streams.with_idle_watermark(live)), tmp_path, "behind")
+    rows = {(r["trace_id"], r["version"]): (r["span_count"], r["reason"]) for r in got.collect()}
+    # k comes again while it is remembered, u after it is forgotten; new is behind the watermark, but not by so much
+    assert rows["k", 1] == (2, "idle") and rows["w", 2] == (2, "late") and rows["new", 1] == (1, "root")
+    assert rows["u", 1] == (1, "idle") and rows["u", 0] == (1, "beyond") and ("u", 2) not in rows
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_assembly_by_shards_is_that_of_whole_traces(spark, tmp_path, shards):
+    from spanloom.streaming import streams
+
+    rng = random.Random(7)
+    every = [span(i, trace=f"t{rng.randrange(12)}", parent_span_id=rng.choice([None, "x", "x"]), start=rng.randrange(60_000), status=rng.choice(["ok", "ok", "error"]), name=f"n{i}", session_id=rng.choice([None, "s"])) for i in range(90)]
+    live = in_files(spark, tmp_path, every[:30], every[30:31], every[31:80], every[80:], [span(0, trace="flush", start=90_000_000)])
+    got = drained(streams.assemble_stream(streams.with_idle_watermark(live), shards=shards), tmp_path, f"shards{shards}").where("trace_id <> 'flush'")
+    want = {}
+    for s in every:
+        want.setdefault(s["trace_id"], []).append(s)
+    newest = {r["trace_id"]: r for r in streams.latest(got).collect()}
+    assert set(newest) == set(want)
+    for t, own in want.items():
+        first = min([s for s in own if s["parent_span_id"] is None] or own, key=lambda s: (s["start_ms"], s["span_id"]))
+        r = newest[t]
+        assert (r["start_ms"], r["end_ms"], r["status"], r["name"], r["session_id"], r["span_count"]) == (min(s["start_ms"] for s in own), max(s["end_ms"] for s in own), "error" if any(s["status"] == "error" for s in own) else "ok", first["name"], first["session_id"], len(own))
+
+
+def test_open_traces_of_a_shard_are_bounded(spark, tmp_path):
+    from spanloom.streaming import streams
+
+    batches = [[span(i, trace=f"t{i}", start=1000, parent_span_id="x") for i in range(b * 5, b * 5 + 5)] for b in range(3)] + [[span(0, trace="t0", start=1000, parent_span_id="x"), span(99, trace="t99", start=1000, parent_span_id="x")]]
+    live = in_files(spark, tmp_path, *batches, [span(100, trace="flush", start=90_000_000, parent_span_id=None)])
+    got = drained(streams.assemble_stream(streams.with_idle_watermark(live, "1 hour"), most_open=4, shards=1), tmp_path, "bounded").where("trace_id <> 'flush'")
+    rows = [(r["trace_id"], r["version"], r["span_count"], r["reason"]) for r in got.collect()]
+    forced = {t for t, _, _, reason in rows if reason == "forced"}
+    # 16 traces, of which 4 stay open till the end; t0 comes again after it was forced
+    assert len(forced) == 12 and {f"t{i}" for i in range(10)} <= forced and ("t0", 2, 2, "late") in rows
+    assert {t for t, _, _, reason in rows if reason == "idle"} == {f"t{i}" for i in range(15)} - forced | {"t99"} - forced
+
+
 def test_late_spans_are_analysed_with_their_trace(spark, tmp_path):
     from spanloom.streaming import streams
 
