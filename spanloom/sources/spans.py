@@ -1,14 +1,12 @@
-"""Reading spans in several shapes, checking them, and writing what an analysis gives."""
+"""Reading spans in several shapes and checking them."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schema import KINDS, LLM, RETRIEVAL, SESSION_KEY, SPAN, STATUSES, TOOL
+from .bundle import read_bundle, write_bundle  # noqa: F401 - part of this module's API
 
 MOST_DOCUMENTS, MOST_MESSAGES, MOST_EVENTS, MOST_TOOLS = 1000, 2000, 1000, 500
 MESSAGES = "array<struct<role:string,content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>>"
@@ -194,24 +192,3 @@ def normalise_responses(df: DataFrame, provider: str, body: str = "response") ->
         null("double").alias("temperature"), null("bigint").alias("max_tokens"), null("bigint").alias("context_limit"), null("string").alias("system_instructions"), null("bigint").alias("input_message_count"), null(MESSAGES).alias("input_messages"), said.cast(MESSAGES).alias("output_messages"), thoughts.alias("reasoning_text"), null("double").alias("cost_usd"),
     )
     return df.withColumn("llm", F.when(r.isNotNull() & model.isNotNull(), llm.cast(LLM)))
-
-
-def write_bundle(place: str, traces: DataFrame, spans: DataFrame, findings: DataFrame, runs: DataFrame) -> str:
-    """Appends one analysis as a version: its tables are written first and the commit row last, so that readers see all of it or nothing. Returns the version."""
-    spark = traces.sparkSession
-    version = uuid.uuid4().hex
-    for name, df in (("traces", traces), ("spans", spans), ("findings", findings), ("runs", runs)):
-        df.write.mode("append").parquet(f"{place}/{name}/version={version}")
-    spark.range(1).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("at")).coalesce(1).write.mode("append").parquet(f"{place}/commits")
-    return version
-
-
-def read_bundle(spark: SparkSession, place: str, name: str) -> DataFrame:
-    """A table as of all committed versions: of each trace the rows of its latest one; of spans the first by span_id."""
-    commits = spark.read.parquet(f"{place}/commits")
-    rows = spark.read.parquet(f"{place}/{name}").join(commits, "version")
-    if name == "spans":
-        first = Window.partitionBy("span_id").orderBy("at", "version")
-        return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "at", "version")
-    latest = spark.read.parquet(f"{place}/traces").join(commits, "version").groupBy("trace_id").agg(F.max_by("version", F.struct("at", "version")).alias("version"))
-    return rows.join(latest, ["trace_id", "version"], "left_semi").drop("at", "version")

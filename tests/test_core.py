@@ -413,3 +413,119 @@ def test_state_of_streams(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/base/1").first()["count"] == 2
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         merge(s, 5)
+
+
+def test_stores_are_pruned_and_compacted(spark, tmp_path):
+    from spanloom.sources import bundle
+
+    place, day = f"file://{tmp_path}/b", 86_400_000
+    every = [span(i, trace=f"t{i % 30}", start=day * (i % 3) + i) for i in range(90)]
+    for n, own in enumerate((every, every[:20], every[:5])):
+        s = frame(spark, own)
+        t = s.select("trace_id", "start_ms").dropDuplicates(["trace_id"])
+        src.write_bundle(place, t, s, s.limit(0).select("trace_id", "name") if n == 2 else s.select("trace_id", F.lit(str(n)).alias("name")), t.select("trace_id"), parts=8 if n else 16)
+    few = spark.createDataFrame([("t1",), ("t7",)], "trace_id string")
+
+    def state(ids=None):
+        return [sorted(map(tuple, src.read_bundle(spark, place, n, ids).select(*c).collect())) for n, c in (("traces", ["trace_id"]), ("spans", ["span_id", "trace_id"]), ("findings", ["trace_id", "name"]))]
+
+    before = state()
+    assert len(before[0]) == 30 and len(before[1]) == 90
+    # a trace's findings are those of its last version: none, for t0 to t4
+    assert {n for t, n in before[2] if t in {f"t{i}" for i in range(5)}} == set() and {n for t, n in before[2] if t == "t7"} == {"1"}
+    assert state(few) == [[r for r in rows if {"t1", "t7"} & set(r)] for rows in before]
+    plan = src.read_bundle(spark, place, "findings", few)._jdf.queryExecution().executedPlan().toString()
+    assert "part#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    version = bundle.compact_bundle(spark, place)
+    assert state() == before and [v for v, *_ in bundle.live_versions(spark, place)] == [version]
+    assert all(len(list((tmp_path / "b" / name).glob("version=*"))) == 1 for name in ("commits", *bundle.TABLES))
+    assert bundle.compact_bundle(spark, place) == version and state() == before
+    src.write_bundle(place, *(frame(spark, [span(0, trace="t7")]).select(*c) for c in (["trace_id", "start_ms"], ["span_id", "trace_id"], ["trace_id", "name"], ["trace_id"])))
+    assert [n for t, n in state()[2] if t == "t7"] == ["n0"]
+
+
+def test_span_store(spark, tmp_path):
+    from spanloom.sources import bundle
+
+    place, day = f"file://{tmp_path}/s", 86_400_000
+    every = [span(i, trace=f"t{i % 9}", start=day * (i % 9) + i) for i in range(45)]
+    for own in (every[:30], every[20:], every[:10]):
+        bundle.store_spans(place, frame(spark, own))
+    assert bundle.stored_spans(spark, place).count() == 45
+    ids = spark.createDataFrame([("t2", day * 2, day * 2 + 50), ("t5", day * 5, day * 5 + 99)], "trace_id string, start_ms long, end_ms long")
+    some = bundle.stored_spans(spark, place, ids)
+    assert sorted(r["span_id"] for r in some.collect()) == sorted(s["span_id"] for s in every if s["trace_id"] in ("t2", "t5"))
+    assert "period#" in some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+    bundle.compact_spans(spark, place)
+    assert spark.read.parquet(place).count() == 45 and len(spark.read.parquet(place).inputFiles()) <= 9
+
+
+def live_rows(spark, tmp_path, name, schema, *batches):
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/{name}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/{name}")
+
+
+def test_an_incident_that_goes_on_is_alerted_once(spark, tmp_path):
+    from spanloom.streaming import streams
+
+    hour, day = 3_600_000, 11_574 * 86_400_000
+    schema = "incident_id string, severity string, last_seen_ms long"
+    batches = [[("x", "high", day + 48 * hour * b + 12 * hour * i) for i in range(4)] for b in range(5)]
+    batches[1].append(("y", "low", day))
+    batches[3] += [("y", "critical", day + 150 * hour), ("y", "critical", day + 151 * hour)]
+    # late behind the watermark, and z again long after it was forgotten
+    batches[2] += [("z", "high", day + 100 * hour)]
+    batches[4] += [("x", "high", day + hour), ("z", "high", day + 190 * hour)]
+    a = live_rows(spark, tmp_path, "a", schema, *batches)
+    got = sorted((r["incident_id"], r["severity"], (r["last_seen_ms"] - day) // hour) for r in drained(streams.alerts_stream(a), tmp_path, "once").collect())
+    assert got == [("x", "high", 0), ("y", "critical", 150), ("z", "high", 100), ("z", "high", 190)]
+    for_ever = drained(streams.alerts_stream(a, None), tmp_path, "ever").collect()
+    assert sorted(r["incident_id"] for r in for_ever) == ["x", "y", "z"]
+
+
+def test_ledger_of_alerts(spark, tmp_path):
+    from spanloom.streaming import streams
+
+    def incidents(*rows):
+        return spark.createDataFrame([(i, "c", "o", s, 1, 0, at) for i, s, at in rows], "incident_id string, code string, operation string, severity string, count long, first_seen_ms long, last_seen_ms long")
+
+    sent, broken = [], [True]
+
+    def send(alerts):
+        if broken.pop() if broken else False:
+            raise OSError("no connection")
+        sent.append(sorted(r["incident_id"] for r in alerts.collect()))
+
+    sink = streams.alerts_to(f"file://{tmp_path}/ledger", send)
+    first = incidents(("a", "high", 1), ("a", "critical", 2), ("b", "low", 1))
+    with pytest.raises(OSError):
+        sink(first, 0)
+    for epoch, rows in ((0, first), (0, first), (1, incidents(("b", "low", 3))), (2, incidents(("a", "high", 9), ("b", "high", 9), ("c", "high", 9))), (2, incidents(("a", "high", 9), ("b", "high", 9), ("c", "high", 9))), (3, first)):
+        sink(rows, epoch)
+    assert sent == [["a"], ["b", "c"]]
+    assert sorted(x.name for x in (tmp_path / "ledger" / "alerts").glob("epoch=*")) == ["epoch=0", "epoch=2"]
+
+
+def test_session_pairs_out_of_order(spark, tmp_path):
+    from spanloom.streaming import streams
+
+    schema = "trace_id string, session_id string, start_ms long, message_count long"
+    late = live_rows(spark, tmp_path, "late", schema, [("a", "s", 10, 1), ("b", "s", 50, 2)], [("c", "s", 30, 3)], [("d", "s", 60, 4)], [("e", "s", 5, 5), ("f", "s", 60, 6)], [("g", "s", 70, 7)])
+    got = {r["trace_id"]: r["previous_trace_id"] for r in drained(streams.session_pairs_stream(late), tmp_path, "at_once").collect()}
+    assert got == {"a": None, "b": "a", "c": "a", "d": "b", "e": None, "f": "b", "g": "f"}
+    rng = random.Random(2)
+    turns = [(f"t{i:02d}", f"s{i % 5}", 1000 * rng.randrange(40), i) for i in range(80)]
+    rng.shuffle(turns)
+    flush, behind = [("z", "z", 10_000_000, 0)], [("late", "s0", 3, 0), ("next", "s0", 10_000_001, 0), ("flush", "z", 90_000_000, 0)]
+    live = live_rows(spark, tmp_path, "turns", schema, turns[:30], turns[30:50], turns[50:], flush, [("z2", "z", 10_000_000, 0)], behind, [("end", "z", 90_000_001, 0)])
+    pairs = drained(streams.session_pairs_stream(live, delay="1 minute"), tmp_path, "ordered").collect()
+    got = {r["trace_id"]: (r["previous_trace_id"], r["previous_count"]) for r in pairs}
+    want = {}
+    for t, s, at, _ in turns:
+        before = [x for x in turns if x[1] == s and x[2] < at]
+        best = max(before, key=lambda x: (x[2], x[0]), default=(None, None, None, None))
+        want[t] = (best[0], best[3])
+    last = max((x for x in turns if x[1] == "s0"), key=lambda x: (x[2], x[0]))
+    want |= {"late": (None, None), "next": (last[0], last[3])}
+    assert {t: p for t, p in got.items() if t in want} == want and len(pairs) == len(got)
