@@ -42,9 +42,15 @@ def _cards(text: Column, pattern: str) -> Column:
 
 
 def _applied(text: Column, name: str, pattern: str, replacement: str) -> Column:
-    if name == "credit_card":
-        return F.when(text.rlike(pattern), F.aggregate(_cards(text, pattern), text, lambda a, card: F.replace(a, card, F.lit(replacement)))).otherwise(text)
-    return F.regexp_replace(text, pattern, replacement)
+    if name != "credit_card":
+        return F.regexp_replace(text, pattern, replacement)
+
+    def by_match(t: Column) -> Column:
+        """What is between matches as it is, and each match either so or replaced."""
+        kept = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.when(luhn_valid(m), F.lit(replacement)).otherwise(m))
+        return F.when(t.rlike(pattern), F.array_join(F.zip_with(F.split(t, pattern, -1), kept, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")).otherwise(t)
+
+    return let(text, by_match)
 
 
 def _searched(text: Column, limit: int | None) -> Column:
