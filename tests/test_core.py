@@ -529,3 +529,43 @@ def test_session_pairs_out_of_order(spark, tmp_path):
     last = max((x for x in turns if x[1] == "s0"), key=lambda x: (x[2], x[0]))
     want |= {"late": (None, None), "next": (last[0], last[3])}
     assert {t: p for t, p in got.items() if t in want} == want and len(pairs) == len(got)
+
+
+def test_incidents_kept_in_any_order(spark, tmp_path):
+    from itertools import permutations
+
+    from spanloom.operators import incidents
+
+    rng = random.Random(9)
+    rows = [(f"t{i:02d}", "GEN-008", f"o{rng.randrange(3)}", rng.choice(["low", "high", "medium"]), rng.randrange(40) * 100, rng.choice([None, f"s{i}"]), rng.choice([None, [], [f"c{i}"]])) for i in range(60)]
+    schema = "trace_id string, code string, operation string, severity string, ts_ms long, summary string, cohorts array<string>"
+    columns = ["incident_id", "operation", "severity", "count", "first_seen_ms", "last_seen_ms", "trace_ids", "hypothesis", "cohorts"]
+
+    def listed(df):
+        return sorted([tuple(r) for r in df.select(*columns).collect()])
+
+    whole = listed(incidents.incidents_of(incidents.incident_intervals(spark.createDataFrame(rows, schema), 150, 5)))
+    want = []
+    for o in ("o0", "o1", "o2"):
+        group = []
+        for r in [*sorted((r for r in rows if r[2] == o), key=lambda r: (r[4], r[0])), None]:
+            if group and (r is None or r[4] - group[-1][4] > 150):
+                said, shown = [x[5] for x in group if x[5]], [x[6] for x in group if x[6]]
+                severity = max((x[3] for x in group), key=["low", "medium", "high"].index)
+                want.append((o, severity, len(group), group[0][4], group[-1][4], [x[0] for x in group[-5:]], said[-1] if said else None, shown[-1] if shown else []))
+                group = []
+            group.append(r)
+    assert sorted(w[1:] for w in whole) == sorted(want)
+    parts = [[r for i, r in enumerate(rows) if i % 3 == k] for k in range(3)]
+    for n, order in enumerate([*permutations(range(3))][::2]):
+        place = f"file://{tmp_path}/i{n}"
+        update = incidents.incidents_to(place, 150, 5, parts=2)
+        for epoch, k in enumerate(order):
+            update(spark.createDataFrame(parts[k], schema), epoch)
+            update(spark.createDataFrame(parts[k], schema), epoch)
+        assert listed(incidents.read_incidents(spark, place)) == whole
+    one = incidents.incidents_to(f"file://{tmp_path}/bridge", 150)
+    for epoch, ts in enumerate((100, 400, 250)):
+        one(spark.createDataFrame([(f"t{ts}", "GEN-008", "o", "low", ts, None, None)], schema), epoch)
+    r = incidents.read_incidents(spark, f"file://{tmp_path}/bridge").collect()
+    assert [(x["count"], x["first_seen_ms"], x["last_seen_ms"], len(x["earlier_ids"])) for x in r] == [(3, 100, 400, 1)]
