@@ -25,8 +25,10 @@ SHINGLE, SIMILARITY = 2, 0.8
 BANDS, ROWS = 32, 5
 #: One turn of the ring: odd, so that turns come to every place, and far from small multiples of it.
 TURN = np.uint64(0x9E3779B97F4A7C15)
-#: Shingles whose ranks are taken at a time.
-BLOCK = 1 << 13
+#: Shingles that are turned at a time, so that their ranks stay in a core's cache.
+BLOCK = 256
+#: Nodes whose keys are broadcast, to leave sets that no other shares a band with out of a shuffle: 8 MB of keys.
+BROADCAST_KEYS = 1_000_000
 
 _WORD = re.compile(WORD)
 
@@ -39,10 +41,14 @@ def scattered(x: np.ndarray) -> np.ndarray:
 
 
 def rank_at(x: np.ndarray) -> np.ndarray:
-    """The second permutation: the rank of each place of the ring."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """The second permutation: the rank of each place of the ring. x is overwritten."""
+    shifted = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        np.right_shift(x, np.uint64(shift), out=shifted)
+        np.bitwise_xor(x, shifted, out=x)
+        if factor != 1:
+            np.multiply(x, np.uint64(factor), out=x)
+    return x
 
 
 def signature(hashes: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
@@ -50,9 +56,7 @@ def signature(hashes: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray
     places, turns = scattered(hashes), np.arange(coordinates, dtype=np.uint64) * TURN
     least = np.full(coordinates, np.iinfo(np.uint64).max)
     for at in range(0, len(places), BLOCK):
-        part = places[at : at + BLOCK]
-        for k in range(coordinates):
-            least[k] = min(least[k], rank_at(part + turns[k]).min())
+        np.minimum(least, rank_at(places[at : at + BLOCK, None] + turns[None, :]).min(axis=0), out=least)
     return least
 
 
@@ -84,15 +88,25 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        seen = set()
+        seen, copies = set(), {}
         for b in batches:
             nodes, sizes, values, sets = [], [], [], []
             for t in b.column("text").to_pylist():
+                text = xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass"))
+                if text in copies:
+                    node, n = copies[text]
+                    nodes.append(node)
+                    sizes.append(n)
+                    values.append(None)
+                    sets.append(None)
+                    continue
                 hashes = shingle_set(t, size)
                 node = xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None
                 known = node is None or node in seen
                 if not known and len(seen) < MEMO:
                     seen.add(node)
+                if len(copies) < MEMO:
+                    copies[text] = node, len(hashes)
                 nodes.append(node)
                 sizes.append(len(hashes))
                 values.append(None if known else band_values(signature(hashes)))
@@ -112,7 +126,10 @@ def near_sets(rows: DataFrame, similarity: float) -> DataFrame:
     crowd = written(components(chained).withColumnRenamed("root", "crowd"), "circulant-crowds")
     sizes = written(crowd.groupBy("crowd").agg(F.count("*").alias("members")), "circulant-sizes")
     member = counted_join(crowd, sizes, ["crowd"], "members")
-    sets = rows.where("set is not null").select("node", "set").join(member, "node").groupBy("node")
+    sets = rows.where("set is not null").select("node", "set")
+    if crowd.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        sets = sets.join(F.broadcast(crowd.select("node")), "node", "left_semi")
+    sets = sets.join(member, "node").groupBy("node")
     sets = written(sets.agg(F.first("set").alias("set"), F.first("crowd").alias("crowd"), F.first("members").alias("members")), "circulant-sets")
     root = small_crowds(sets.where(F.col("members") <= CROWD), similarity)
     large = sets.where(F.col("members") > CROWD)
