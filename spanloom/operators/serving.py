@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import percentile_nr
 from ..functions.text import severities_from, severity_rank
 from ..schema import SEVERITIES_ORDER
 from ..taxonomy import taxonomy
 from .causes import in_range
+from .percentiles import percentiles
 from .traces import money
 
 DEFAULT_LIMIT, MOST_LIMIT, MOST_BUCKETS = 50, 500, 500
@@ -32,7 +32,7 @@ def page(df: DataFrame, ts: str, key: str, limit: int = DEFAULT_LIMIT, after: tu
     return df.orderBy(F.desc(ts), F.desc(key)).limit(min(limit, MOST_LIMIT))
 
 
-def list_traces(traces: DataFrame, findings: DataFrame, *, from_ms=None, to_ms=None, service=None, environment=None, session=None, status=None, has_findings=None, least_severity=None, code=None, limit=DEFAULT_LIMIT, after=None) -> DataFrame:
+def chosen_traces(traces: DataFrame, findings: DataFrame, *, from_ms=None, to_ms=None, service=None, environment=None, session=None, status=None, has_findings=None, least_severity=None, code=None) -> DataFrame:
     t = in_range(traces, from_ms, to_ms)
     for column, value in (("service", service), ("environment", environment), ("session_id", session), ("status", status)):
         t = t if value is None else t.where(F.col(column) == value)
@@ -42,7 +42,17 @@ def list_traces(traces: DataFrame, findings: DataFrame, *, from_ms=None, to_ms=N
         t = t.join(findings.where(F.col("severity").isin(severities_from(least_severity))).select("trace_id"), "trace_id", "left_semi")
     if code is not None:
         t = t.join(findings.where(F.col("code") == code).select("trace_id"), "trace_id", "left_semi")
-    return page(t, "start_ms", "trace_id", limit, after)
+    return t
+
+
+def list_traces(traces: DataFrame, findings: DataFrame, *, limit=DEFAULT_LIMIT, after=None, **chosen) -> DataFrame:
+    """A page of the traces that chosen_traces() gives for the other arguments."""
+    return page(chosen_traces(traces, findings, **chosen), "start_ms", "trace_id", limit, after)
+
+
+def count_traces(traces: DataFrame, findings: DataFrame, **chosen) -> DataFrame:
+    """One row, total: how many traces all pages of list_traces() have."""
+    return chosen_traces(traces, findings, **chosen).agg(F.count("*").alias("total"))
 
 
 def list_findings(findings: DataFrame, *, from_ms=None, to_ms=None, code=None, family=None, severity=None, tier=None, role=None, trace=None, limit=DEFAULT_LIMIT, after=None) -> DataFrame:
@@ -77,15 +87,16 @@ def trace_detail(traces: DataFrame, spans: DataFrame, findings: DataFrame, trace
 
 
 def overview(traces: DataFrame, findings: DataFrame, incidents: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
-    """One row of totals in the range; findings by severity are zero-filled."""
+    """One row of totals in the range; findings by severity are zero-filled. Tokens are summed where traces have input_tokens and output_tokens."""
     t = in_range(traces, from_ms, to_ms)
+    tokens = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens") if c in t.columns]
+    p = percentiles(t, [], "duration_ms", [50, 95]).agg(*[F.coalesce(F.max(f"p{x}"), F.lit(0)).alias(f"p{x}_ms") for x in (50, 95)])
     a = t.agg(
-        F.count("*").alias("traces"), F.count_if(F.col("status") == "error").alias("errors"), money(F.col("cost_usd")).alias("cost_usd"),
-        F.coalesce(percentile_nr("duration_ms", 50), F.lit(0)).alias("p50_ms"), F.coalesce(percentile_nr("duration_ms", 95), F.lit(0)).alias("p95_ms"),
+        F.count("*").alias("traces"), F.count_if(F.col("status") == "error").alias("errors"), money(F.col("cost_usd")).alias("cost_usd"), *tokens,
     )
     f = findings.join(t.select("trace_id"), "trace_id", "left_semi").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}_findings") for s in SEVERITIES_ORDER])
     i = in_range(incidents, from_ms, to_ms, "last_seen_ms").agg(F.count("*").alias("incidents"), F.count_if(F.col("status") == "open").alias("open_incidents"))
-    return a.crossJoin(f).crossJoin(i).withColumn("failure_rate", F.when(F.col("traces") > 0, F.col("errors") / F.col("traces")).otherwise(F.lit(0.0)))
+    return a.crossJoin(p).crossJoin(f).crossJoin(i).withColumn("failure_rate", F.when(F.col("traces") > 0, F.col("errors") / F.col("traces")).otherwise(F.lit(0.0)))
 
 
 def timeseries(traces: DataFrame, findings: DataFrame, from_ms: int, to_ms: int, bucket_ms: int) -> DataFrame:
@@ -94,10 +105,11 @@ def timeseries(traces: DataFrame, findings: DataFrame, from_ms: int, to_ms: int,
     at = (F.col("start_ms") - F.pmod(F.col("start_ms"), F.lit(bucket))).alias("bucket_ms")
     t = in_range(traces, from_ms, to_ms)
     per = findings.groupBy("trace_id").agg(F.count("*").alias("n"))
-    g = t.join(per, "trace_id", "left").groupBy(at).agg(F.count("*").alias("traces"), F.count_if(F.col("status") == "error").alias("errors"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), money(F.col("cost_usd")).alias("cost_usd"), percentile_nr("duration_ms", 95).alias("p95_ms"))
+    g = t.join(per, "trace_id", "left").groupBy(at).agg(F.count("*").alias("traces"), F.count_if(F.col("status") == "error").alias("errors"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), money(F.col("cost_usd")).alias("cost_usd"))
+    p95 = percentiles(t.select(at, "duration_ms"), ["bucket_ms"], "duration_ms", [95]).withColumnRenamed("p95", "p95_ms")
     first = from_ms - from_ms % bucket
     slots = traces.sparkSession.range(first, to_ms + 1, bucket).select(F.col("id").alias("bucket_ms"))  # at most 501 rows
-    return slots.join(g, "bucket_ms", "left").select("bucket_ms", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("traces", "errors", "findings", "cost_usd", "p95_ms")])
+    return slots.join(g, "bucket_ms", "left").join(p95, "bucket_ms", "left").select("bucket_ms", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("traces", "errors", "findings", "cost_usd", "p95_ms")])
 
 
 def code_frequency(findings: DataFrame, top: int = 20, traces: DataFrame | None = None, from_ms=None, to_ms=None) -> DataFrame:

@@ -9,7 +9,7 @@ from .. import taxonomy as tax
 from ..functions import redact as red
 from ..functions import stats, text
 from ..operators import baselines as bl
-from ..operators import causes, detectors, judge, serving, sessions, traces
+from ..operators import causes, detectors, judge, percentiles, serving, sessions, traces
 from ..schema import thresholds
 from ..sources import spans as src
 from . import views
@@ -190,7 +190,20 @@ def events(spark, d):
 query("st1_baseline_stats", "SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(coalesce(var_samp(value), 0), 6) AS variance, min(value) AS min, max(value) AS max FROM events GROUP BY 1")(lambda spark, d: rounded(events(spark, d).groupBy("event_type").agg(*stats.baseline_aggregates("value")), "mean", "variance"))
 query("st4_summary", "SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS min, max(value) AS max FROM events GROUP BY 1")(lambda spark, d: rounded(stats.summary(events(spark, d), ["event_type"], "value"), "mean", "median"))
 query("st5_mad", "WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1) SELECT event_type, round(any_value(med), 6) AS med, round(median(abs(value - med)), 6) AS mad FROM events JOIN m USING (event_type) GROUP BY 1")(lambda spark, d: rounded(stats.mad(events(spark, d), ["event_type"], "value"), "med", "mad"))
-query("st6_percentile", "SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY 1")(lambda spark, d: events(spark, d).groupBy("event_type").agg(stats.percentile_nr("value", 95).alias("p95"), stats.percentile_nr("value", 50).alias("p50")))
+query("st6_percentile", "SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY 1")(lambda spark, d: percentiles.percentiles(events(spark, d), ["event_type"], "value", [95, 50]))
+#: Sketches of an hour, merged: how far the rank of what they give is from the one asked for, in hundredths.
+query("st6_percentile_sketches", "SELECT event_type, true AS p50_near, true AS p95_near FROM events GROUP BY 1")(lambda spark, d: sketched(spark, d))
+
+
+def sketched(spark, d):
+    e = events(spark, d)
+    rollup = percentiles.sketches(e, ["event_type", F.date_trunc("hour", "ts").alias("hour")], "value")
+    p = percentiles.merged_percentiles(rollup, ["event_type"], [50, 95], "double")
+    ranks = e.join(p, "event_type").groupBy("event_type").agg(*[(F.count_if(F.col("value") <= F.col(x)) / F.count("value")).alias(x) for x in ("p50", "p95")])
+    return ranks.select("event_type", (F.abs(F.col("p50") - 0.5) < 0.01).alias("p50_near"), (F.abs(F.col("p95") - 0.95) < 0.01).alias("p95_near"))
+
+
+
 BIN = "CASE WHEN hi > lo THEN least(9, greatest(0, floor((value - lo) / ((hi - lo) / 10)))) ELSE 0 END::INTEGER"
 query("st7_histogram", f"WITH r AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1) SELECT event_type, {BIN} AS bin, count(*) AS n FROM events JOIN r USING (event_type) GROUP BY 1, 2")(lambda spark, d: stats.histogram(events(spark, d), ["event_type"], "value"))
 SHARES = f"""r AS (SELECT event_type, min(value) AS lo, max(value) AS hi, count(*) FILTER (user_id % 2 = 0) AS n0, count(*) FILTER (user_id % 2 = 1) AS n1 FROM events GROUP BY 1),
@@ -455,11 +468,11 @@ def both(spark, d) -> tuple[DataFrame, DataFrame]:
 
 def trace_set(spark, d, spans=None) -> DataFrame:
     s = views.spans(spark, d) if spans is None else spans
-    m = traces.trace_metrics(s).select("trace_id", "cost_usd", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+    m = traces.trace_metrics(s).select("trace_id", "cost_usd", "input_tokens", "output_tokens", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
     return traces.assemble_traces(s).join(m, "trace_id")
 
 
-TM = TRACES + ", " + METRICS + ", tm AS (SELECT t.*, cost_usd, input_tokens + output_tokens AS tokens FROM t JOIN m USING (trace_id))"
+TM = TRACES + ", " + METRICS + ", tm AS (SELECT t.*, cost_usd, input_tokens, output_tokens, input_tokens + output_tokens AS tokens FROM t JOIN m USING (trace_id))"
 ALL = TM + ", " + FOUND
 query("se3_list_sessions", on_spans("""SELECT session_id, min(service) AS service, min(environment) AS environment, count(*) AS traces, min(start_ms) AS first_seen_ms, max(end_ms) AS last_seen_ms, round(sum(CAST(cost_usd AS DECIMAL(30,12)))::DOUBLE, 8) AS cost_usd, sum(tokens)::BIGINT AS tokens,
  coalesce(sum(n), 0)::BIGINT AS findings, count(*) FILTER (status = 'error') AS errors, CASE max(r) WHEN 3 THEN 'high' WHEN 4 THEN 'critical' END AS worst_severity
@@ -545,6 +558,7 @@ query("x1_failure_bursts")(lambda spark, d: causes.failure_bursts(finding_set(sp
 
 # --- serving
 
+query("q1_total", on_spans("SELECT count(*) AS total FROM t WHERE status = 'error' AND trace_id IN (SELECT trace_id FROM fr WHERE rank >= 4)", ALL))(lambda spark, d: serving.count_traces(*both(spark, d), status="error", least_severity="critical"))
 query("q1_list_traces", on_spans("SELECT trace_id, start_ms, status FROM t WHERE status = 'error' AND trace_id IN (SELECT trace_id FROM fr WHERE rank >= 4) ORDER BY start_ms DESC, trace_id DESC LIMIT 50", ALL))(lambda spark, d: serving.list_traces(*both(spark, d), status="error", least_severity="critical").select("trace_id", "start_ms", "status"))
 
 
@@ -575,11 +589,11 @@ def rank(f):
 _FROM, _TO = 694_224_000_000, 915_148_800_000
 
 
-@query("q6_overview", on_spans(f"""SELECT (SELECT count(*) FROM r) AS traces, (SELECT count(*) FROM r WHERE status = 'error') AS errors, (SELECT round(sum(CAST(cost_usd AS DECIMAL(30,12)))::DOUBLE, 8) FROM r) AS cost_usd, (SELECT quantile_disc(duration_ms, 0.5) FROM r) AS p50_ms, (SELECT quantile_disc(duration_ms, 0.95) FROM r) AS p95_ms,
+@query("q6_overview", on_spans(f"""SELECT (SELECT count(*) FROM r) AS traces, (SELECT count(*) FROM r WHERE status = 'error') AS errors, (SELECT round(sum(CAST(cost_usd AS DECIMAL(30,12)))::DOUBLE, 8) FROM r) AS cost_usd, (SELECT sum(input_tokens)::BIGINT FROM r) AS input_tokens, (SELECT sum(output_tokens)::BIGINT FROM r) AS output_tokens, (SELECT quantile_disc(duration_ms, 0.5) FROM r) AS p50_ms, (SELECT quantile_disc(duration_ms, 0.95) FROM r) AS p95_ms,
  count(*) FILTER (severity = 'high') AS high_findings, count(*) FILTER (severity = 'critical') AS critical_findings FROM f WHERE trace_id IN (SELECT trace_id FROM r)""", ALL + f", r AS (SELECT * FROM tm WHERE start_ms BETWEEN {_FROM} AND {_TO})"))
 def overview(spark, d):
     i = causes.cluster_incidents(anchors(spark, d), DAY)
-    return rounded(serving.overview(*both(spark, d), i, _FROM, _TO).select("traces", "errors", "cost_usd", "p50_ms", "p95_ms", "high_findings", "critical_findings"), "cost_usd", places=8)
+    return rounded(serving.overview(*both(spark, d), i, _FROM, _TO).select("traces", "errors", "cost_usd", "input_tokens", "output_tokens", "p50_ms", "p95_ms", "high_findings", "critical_findings"), "cost_usd", places=8)
 
 
 _BUCKET = -(-(_TO - _FROM) // 500)

@@ -569,3 +569,25 @@ def test_incidents_kept_in_any_order(spark, tmp_path):
         one(spark.createDataFrame([(f"t{ts}", "GEN-008", "o", "low", ts, None, None)], schema), epoch)
     r = incidents.read_incidents(spark, f"file://{tmp_path}/bridge").collect()
     assert [(x["count"], x["first_seen_ms"], x["last_seen_ms"], len(x["earlier_ids"])) for x in r] == [(3, 100, 400, 1)]
+
+
+@pytest.mark.parametrize(("most", "accuracy"), [(200_000, 10_000), (5, 4), (1, 100)])
+def test_percentiles_without_a_buffer(spark, most, accuracy):
+    import math
+
+    from spanloom.operators import percentiles
+
+    rng = random.Random(1)
+    groups = {"a": [rng.randrange(1000) for _ in range(700)], "b": [5] * 300 + [6], None: [rng.choice([1, 2, 3]) for _ in range(50)], "c": [7], "d": [int(rng.paretovariate(0.3)) % 10**12 for _ in range(400)], "e": [None]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, value long").repartition(5)
+    ps = [0, 50, 95, 100]
+    at = lambda vs, p: sorted(vs)[max(1, math.ceil(len(vs) * p / 100)) - 1]
+    got = {r["k"]: [r[f"p{p}"] for p in ps] for r in percentiles.percentiles(df, ["k"], "value", ps, most, accuracy).collect()}
+    assert got == {k: [at(vs, p) for p in ps] for k, vs in groups.items() if k != "e"}
+    every = [v for _, v in rows if v is not None]
+    assert [tuple(r) for r in percentiles.percentiles(df, [], "value", ps, most, accuracy).collect()] == [tuple(at(every, p) for p in ps)]
+    assert percentiles.percentiles(df.where("false"), [], "value", ps).count() == 0
+    sketch = percentiles.merged_percentiles(percentiles.sketches(df.where("k = 'a'"), ["k", F.pmod("value", F.lit(7)).alias("part")], "value"), ["k"], [50]).first()["p50"]
+    assert abs(sum(v <= sketch for v in groups["a"]) / 700 - 0.5) < 0.01
