@@ -69,12 +69,12 @@ BY_WORD = {
 
 
 def by_word(path: str) -> bool:
-    """Whether the tokenizer file at path is one whose texts can be encoded word by word: BY_WORD holds, and no added token has white space in it or is a plain word."""
+    """Whether the tokenizer file at path is one whose texts can be encoded word by word: BY_WORD holds, and each added token has a `<`, by which texts that may hold one are told, and no white space, and is no plain word."""
     with open(path, encoding="utf-8") as f:
         d = json.load(f)
     model = d["model"]
     plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("byte_fallback")
-    own = all(not a["normalized"] and not a["single_word"] and not a["lstrip"] and not a["rstrip"] and not re.search(r"\s", a["content"]) and not PLAIN.fullmatch(a["content"]) for a in d["added_tokens"])
+    own = all("<" in a["content"] and not a["normalized"] and not a["single_word"] and not a["lstrip"] and not a["rstrip"] and not re.search(r"\s", a["content"]) and not PLAIN.fullmatch(a["content"]) for a in d["added_tokens"])
     return plain and own and all(d.get(k) == v for k, v in BY_WORD.items())
 
 

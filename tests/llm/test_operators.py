@@ -177,6 +177,21 @@ def test_word_by_word_only_where_the_tokenizer_allows(tmp_path):
     assert np.frombuffer(enc.ids(text.encode()), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids != token_store.word_encoder(path).tok.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_that_lower_case_would_hide(tmp_path):
+    import json
+
+    with open(token_store.tokenizer_path(), encoding="utf-8") as f:
+        d = json.load(f)
+    assert token_store.by_word(token_store.tokenizer_path())
+    d["added_tokens"].append(d["added_tokens"][-1] | {"id": max(a["id"] for a in d["added_tokens"]) + 1, "content": "[SEP]"})
+    path = tmp_path / "more.json"
+    path.write_text(json.dumps(d), encoding="utf-8")
+    assert not token_store.by_word(str(path))
+    encoder = token_store.WordEncoder(str(path))
+    text = "a [SEP] b"
+    assert np.frombuffer(encoder.ids(text.encode()), "<u4").tolist() == encoder.tok.encode(text, add_special_tokens=False).ids
+
+
 def test_token_store_finds_damage(spark):
     place = new_path(spark, "test-store")
     token_store.write_store(table(spark, [prose(50), prose(60)]), place)
@@ -676,6 +691,15 @@ def test_pipeline_stages_against_brute_force(spark, corpus):
     assert sorted(map(tuple, corpus_pipeline.run(spark, place).collect()), key=str) == encoded
 
 
+def test_results_of_stages_side_by_side(spark, corpus):
+    place, _rows = corpus
+    docs = spark.read.parquet(f"{place}/documents.parquet").where("doc_id < 80")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+        halves = [stage(spark, docs.where(f"doc_id % 2 = {i}"), place) for i in range(2)]
+        assert sum(h.count() for h in halves) > 0
+        assert sorted(r["doc_id"] % 2 for h in halves for r in h.select("doc_id").distinct().collect()) == sorted(r["doc_id"] % 2 for i in range(2) for r in stage(spark, docs.where(f"doc_id % 2 = {i}"), place).select("doc_id").distinct().collect())
+
+
 def test_pipeline_stages_of_odd_rows(spark, corpus):
     place, _rows = corpus
     text = prose(80)
