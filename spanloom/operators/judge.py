@@ -166,8 +166,27 @@ def self_failures(findings: DataFrame) -> DataFrame:
     return self_observed(bad)
 
 
-def detector_runs(spans: DataFrame, findings: DataFrame, baseline_counts: DataFrame | None = None, detectors=DETECTORS, th: dict | None = None) -> DataFrame:
-    """trace_id, detector_id, outcome, findings: one row for each trace and detector; what a detector supports is told by the kinds of spans that the trace has."""
+def judge_runs(spans: DataFrame, findings: DataFrame, requests: DataFrame, th: dict) -> DataFrame:
+    """trace_id, detector_id, supported, covered of each trace and judge: whether it has a request, and whether a cheaper tier asserts its code already."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("detector_id"), F.lit(c).alias("code")) for d, c, _ in RUBRICS])).alias("j")
+    rows = spans.select("trace_id").distinct().select("trace_id", each).select("trace_id", "j.*")
+    known = findings.where((F.col("confidence") >= th["short_circuit_confidence"]) & (F.col("tier") != "L3")).select("trace_id", "code").distinct().withColumn("covered", F.lit(True))
+    asked = requests.select("trace_id", "detector_id").distinct().withColumn("supported", F.lit(True))
+    rows = rows.join(asked, ["trace_id", "detector_id"], "left").join(known, ["trace_id", "code"], "left")
+    return rows.select("trace_id", "detector_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("supported", "covered")])
+
+
+def detector_runs(
+    spans: DataFrame, findings: DataFrame, baseline_counts: DataFrame | None = None, detectors=DETECTORS, th: dict | None = None, requests: DataFrame | None = None, configured: bool = True, failures: DataFrame | None = None
+) -> DataFrame:
+    """trace_id, detector_id, outcome, findings: one row for each trace and detector; what a detector supports is told by the kinds of spans that the trace has.
+
+    The outcome is the first that holds of skipped:unsupported, skipped:insufficient-baseline, skipped:covered,
+    skipped:unconfigured, timeout, failed and ok. With requests (trace_id, detector_id, as of judge_requests()) there are
+    rows for the judges, which have no model where `configured` is false. failures are trace_id, detector_id and error of
+    runs that broke off, by themselves or (error begins with "exceeded") for taking too long; what function detectors
+    report among the findings counts too, and such rows aren't counted as findings.
+    """
     th = th or THRESHOLDS
     k = lambda *names: F.bool_or(kind(*names))
     support = {
@@ -178,14 +197,27 @@ def detector_runs(spans: DataFrame, findings: DataFrame, baseline_counts: DataFr
     flags = spans.groupBy("trace_id").agg(*[c.alias(f"has_{n}") for n, c in support.items()])
     each = F.array(*[F.struct(F.lit(d.id).alias("detector_id"), F.col(f"has_{needs.get(d.id, 'any')}").alias("supported"), F.lit(d.needs_baseline).alias("needs")) for d in detectors])
     runs = flags.select("trace_id", F.explode(each).alias("d")).select("trace_id", "d.*")
-    found = findings.groupBy("trace_id", "detector_id").agg(F.count("*").alias("findings"))
+    runs = runs.withColumn("covered", F.lit(False)).withColumn("judge", F.lit(False))
+    if requests is not None:
+        runs = runs.unionByName(judge_runs(spans, findings, requests, th).withColumn("needs", F.lit(False)).withColumn("judge", F.lit(True)))
+    found = findings.where(F.col("code") != FAILED_CODE).groupBy("trace_id", "detector_id").agg(F.count("*").alias("findings"))
+    broken = findings.where(F.col("code") == FAILED_CODE).select("trace_id", "detector_id", F.get("evidence", F.lit(0))["value"].alias("error")) if "evidence" in findings.columns else None
+    if failures is not None:
+        own = failures.select("trace_id", "detector_id", "error")
+        broken = own if broken is None else broken.unionByName(own)
+    if broken is not None:
+        broken = broken.groupBy("trace_id", "detector_id").agg(F.min(F.coalesce("error", F.lit(""))).alias("error"))
+        runs = runs.join(broken, ["trace_id", "detector_id"], "left")
+    else:
+        runs = runs.withColumn("error", F.lit(None).cast("string"))
     runs = runs.join(found, ["trace_id", "detector_id"], "left")
     if baseline_counts is not None:
         runs = runs.join(baseline_counts, "trace_id", "left")
         thin = F.col("needs") & (F.coalesce("count", F.lit(0)) < th["min_baseline_samples"])
     else:
         thin = F.lit(False)
-    outcome = F.when(~F.col("supported"), "skipped:unsupported").when(thin, "skipped:insufficient-baseline").otherwise("ok")
+    outcome = F.when(~F.col("supported"), "skipped:unsupported").when(thin, "skipped:insufficient-baseline").when(F.col("covered"), "skipped:covered")
+    outcome = outcome.when(F.col("judge") & F.lit(not configured), "skipped:unconfigured").when(F.col("error").startswith("exceeded"), "timeout").when(F.col("error").isNotNull(), "failed").otherwise("ok")
     return runs.select("trace_id", "detector_id", outcome.alias("outcome"), F.coalesce("findings", F.lit(0)).alias("findings"))
 
 

@@ -633,6 +633,38 @@ query("k1_detector_runs", on_spans("""SELECT d.id AS detector_id, CASE WHEN has
 )
 
 
+@query("k1_all_outcomes", on_spans("""SELECT id AS detector_id, outcome, count(*) AS n FROM (
+ SELECT 'tol.tool-error' AS id, CASE WHEN NOT tool THEN 'skipped:unsupported' WHEN t % 7 = 0 THEN 'timeout' WHEN t % 11 = 0 THEN 'failed' ELSE 'ok' END AS outcome FROM x
+ UNION ALL SELECT 'inf.latency', CASE WHEN n < 4 THEN 'skipped:insufficient-baseline' ELSE 'ok' END FROM x
+ UNION ALL SELECT 'judge.safety', CASE WHEN NOT tool THEN 'skipped:unsupported' WHEN t % 5 = 0 THEN 'skipped:covered' ELSE 'skipped:unconfigured' END FROM x) GROUP BY 1, 2""",
+ "x AS (SELECT trace_id, trace_id::BIGINT AS t, bool_or(kind = 'tool') AS tool, count(*) AS n FROM spans GROUP BY 1)"))
+def outcomes(spark, d):
+    """Traces of few spans count as thin baselines; runs that break off, and what a cheaper tier asserts, are told from the trace's number."""
+    s = views.shared_spans(spark, d)
+    n = F.col("trace_id").cast("long")
+    tools = s.where("kind = 'tool'").select("trace_id").distinct()
+    own = [x for x in detectors.DETECTORS if x.id == "tol.tool-error"] + [detectors.Detector("inf.latency", "L1", ("INF-005",), None, needs_baseline=True)]
+    error = F.when(n % 7 == 0, "exceeded 2000 ms").when(n % 11 == 0, "division by zero")
+    broken = tools.select("trace_id", F.lit("tol.tool-error").alias("detector_id"), error.alias("error")).where("error is not null")
+    asserted = tools.where(n % 5 == 0).select("trace_id", F.lit("other").alias("detector_id"), F.lit(SAFETY).alias("code"), F.lit(0.9).alias("confidence"), F.lit("L1").alias("tier"))
+    runs = judge.detector_runs(s, asserted, s.groupBy("trace_id").agg(F.count("*").alias("count")), own, thresholds(min_baseline_samples=4), tools.withColumn("detector_id", F.lit("judge.safety")), False, broken)
+    return runs.where("detector_id not like 'judge.%' or detector_id = 'judge.safety'").groupBy("detector_id", "outcome").agg(F.count("*").alias("n"))
+
+
+SAFETY = next(c for d, c, _ in judge.RUBRICS if d == "judge.safety")
+
+
+#: Each trace as one repeated call, so that it has as many tries as spans.
+_SAME = "same AS (SELECT * REPLACE ('tool' AS kind, 't' AS tool_name, 'q' AS tool_arguments) FROM spans)"
+query("det_tol_retry_storm_repeated", on_spans("""SELECT trace_id, first(span_id ORDER BY start_ms, span_id) AS span_id, 'TOL-004' AS code, CASE WHEN count(gap) >= 2 AND coalesce(bool_and(grows), true) THEN 'high' ELSE 'critical' END AS severity,
+CASE WHEN count(gap) >= 2 AND coalesce(bool_and(grows), true) THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence
+FROM (SELECT *, gap >= 1.5 * lag(gap) OVER (PARTITION BY trace_id ORDER BY start_ms, span_id) AS grows FROM
+ (SELECT *, count(*) OVER (PARTITION BY trace_id) AS calls, start_ms - lag(end_ms) OVER (PARTITION BY trace_id ORDER BY start_ms, span_id) AS gap FROM same))
+WHERE calls >= 2 GROUP BY trace_id HAVING greatest(max(attempt), count(*)) >= 3""", _SAME))(
+    lambda spark, d: shown(detectors.detect(views.dressed(views.flat(spark, d).withColumns({"kind": F.lit("tool"), "tool_name": F.lit("t"), "tool_arguments": F.lit("q")})), None, tuple(x for x in detectors.DETECTORS if x.id == "tol.retry-storm")))
+)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Which failures, how severe, how often."""
     return serving.code_frequency(finding_set(spark, d))
