@@ -35,11 +35,11 @@ GRAMS4 = "list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i +
 RUN = lambda a, b: f"coalesce(list_max(list_transform(range(1, len({a}) + 1), lambda n: CASE WHEN len(list_filter(range(1, len({a}) - n + 2), lambda i: contains({b}, substr({a}, i, n)))) > 0 THEN n ELSE 0 END)), 0)"
 
 SOURCES = f"""src AS (SELECT DISTINCT trace_id, unnest(flatten(list_transform(list_concat(docs, CASE WHEN result IS NULL THEN [] ELSE [result] END), lambda d: {sql_content('d')}))) AS token FROM v),
-se AS (SELECT trace_id, {sql_sentences('answer')} AS ss FROM v WHERE answer <> ''), st AS (SELECT trace_id, ss, unnest(range(1, len(ss) + 1)) AS nr FROM se),
-sw AS (SELECT trace_id, nr, {sql_content('ss[nr]')} AS words FROM st), w AS (SELECT trace_id, nr, unnest(words) AS token FROM sw WHERE len(words) >= 6),
+se AS (SELECT trace_id, {sql_sentences('answer')} AS ss FROM v WHERE answer <> ''), st AS (SELECT trace_id, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS nr FROM se),
+sw AS (SELECT trace_id, nr, {sql_content('s')} AS words FROM st), w AS (SELECT trace_id, nr, unnest(words) AS token FROM sw WHERE len(words) >= 6),
 ov AS (SELECT w.trace_id, nr, count(src.token) / count(*) AS overlap FROM w LEFT JOIN src USING (trace_id, token) GROUP BY 1, 2),
 un AS (SELECT trace_id, count(*) FILTER (overlap < 0.15) / count(*) AS ratio FROM ov GROUP BY 1)"""
-KEPT = f"""d AS (SELECT trace_id, docs, unnest(range(1, len(docs) + 1)) AS nr FROM v), dw AS (SELECT trace_id, nr, unnest(list_distinct({sql_content('docs[nr]')})) AS token FROM d WHERE len(docs[nr]) > 20),
+KEPT = f"""d AS (SELECT trace_id, unnest(docs) AS doc, unnest(range(1, len(docs) + 1)) AS nr FROM v), dw AS (SELECT trace_id, nr, unnest(list_distinct({sql_content('doc')})) AS token FROM d WHERE len(doc) > 20),
 pr AS (SELECT trace_id, 'a' AS p, concat_ws(chr(10), system, array_to_string({BEFORE}, chr(10))) AS prompt FROM v UNION ALL SELECT trace_id, 'b', concat_ws(chr(10), system, array_to_string({NOW}, chr(10))) FROM v),
 pt AS (SELECT DISTINCT trace_id, p, unnest({sql_content('prompt')}) AS token FROM pr), sz AS (SELECT trace_id, nr, count(*) AS n FROM dw GROUP BY 1, 2),
 kp AS (SELECT trace_id, nr, max(k) AS k FROM (SELECT trace_id, nr, p, count(*) AS k FROM dw JOIN pt USING (trace_id, token) GROUP BY 1, 2, 3) GROUP BY 1, 2),
