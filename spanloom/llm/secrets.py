@@ -44,31 +44,42 @@ BINS = 400
 #: Characters of a candidate that the tests look at are all; the p-value's bin is its logarithm, down to exp(-40).
 LEAST_LOG = -40.0
 
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Steps of running sums and bisections: a text of at most 2^31 characters has fewer matches than twice the last.
+DOUBLINGS = tuple(2**i for i in range(28))
+
+
+def running(sizes: Column) -> Column:
+    """Running sums of an array of int, by doubling: after the step d each element holds the sum of the last 2 d elements up to it. n log n work, and no array that grows an element at a time."""
+    steps = F.filter(F.array(*map(F.lit, DOUBLINGS)), lambda d: d < F.size(sizes))
+    return F.aggregate(steps, sizes, lambda acc, d: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - d), F.lit(0))))
 
 
 def located(text: Column, pattern: str, group: int, least: int, hint: str) -> Column:
-    """array of (start, end, match) of the matches, leftmost and without overlap, whose group has `least` characters. The places are sums over the lengths of matches and of what lies between them."""
+    """array of (start, end, match) of the matches, leftmost and without overlap, whose group has `least` characters. The places are running sums over the lengths of matches and of what lies between them."""
     empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
     def places(v: Column) -> Column:
-        found, kept, gaps = v["found"], v["kept"], v["gaps"]
-        start_state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        sizes = F.transform(v["found"], lambda m, i: F.length(F.get(v["gaps"], i)) + F.length(m))
 
-        def step(acc, i):
-            start = acc["at"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(found, i))
-            row = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match"))
-            return F.struct(end.alias("at"), F.when(F.length(F.get(kept, i)) >= least, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+        def rows(ends: Column) -> Column:
+            all_rows = F.transform(v["found"], lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("match")))
+            return F.filter(all_rows, lambda _r, i: F.length(F.get(v["kept"], i)) >= least)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start_state, step, lambda a: a["out"])
+        return let(sizes, lambda x: let(running(x), rows))
 
     gaps = F.split(text, pattern, -1)
     some = let(F.struct(whole.alias("found"), part.alias("kept"), gaps.alias("gaps")), lambda v: F.when(F.size(v["found"]) > 0, places(v)).otherwise(empty))
     return F.when(text.rlike(hint), some).otherwise(empty)
 
 
+def touches(span: Column, others: Column) -> Column:
+    """Whether span overlaps one of others, which are sorted and apart from each other: bisection finds the last that starts before span's end."""
+    steps = F.filter(F.array(*map(F.lit, reversed(DOUBLINGS))), lambda d: d <= F.size(others))
+    before = F.aggregate(steps, F.lit(0), lambda at, d: F.when(F.get(others, at + d - 1)["start"] < span["end"], at + d).otherwise(at))
+    return F.coalesce(F.get(others, before - 1)["end"] > span["start"], F.lit(False))
+
+
 def upper_normal(z: Column) -> Column:
     """Natural logarithm of the chance that a standard normal is above z (for z >= 0, within 1% of the chance; below 0: of a half)."""
     x = F.greatest(z, F.lit(0.0))
@@ -120,7 +131,8 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     spans = [of_kind(i, kind) for i, (kind, *_rest) in enumerate(BASE)]
     found = found.withColumn("base", F.array_sort(F.concat(*spans)))
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    # each base kind's spans are sorted and apart, all of them together needn't be
+    free = F.filter("candidates", lambda c: ~(touches(c, F.col("assign")) | touches(c, F.col("access")) | touches(c, F.col("hex"))))
 
     def tried(c: Column) -> Column:
         out = F.lit(None).cast("struct<start:int,kind:int,end:int,band:int,bin:int>")

@@ -920,6 +920,37 @@ def test_places_in_texts_of_many_matches(spark):
     assert all([(s["start"], s["kind"], s["end"]) for s in r["spans"]] == want for r in got if r["doc_id"] == 1)
 
 
+def test_secrets_in_time_linear_in_matches(spark):
+    """One text of 20,000 keys of all kinds, some within values of the first kind: right places, candidates that touch no base span, and about five times the time of 4,000 keys."""
+    import time
+
+    made = random.Random(33)
+
+    def key(i):
+        chars = secrets.ENCODINGS[3][2][:62]
+        return [f"AKIA{i:016d}", hashlib.sha256(str(i).encode()).hexdigest(), f"token=x.{''.join(made.choice(chars) for _ in range(30))}", "".join(made.choice(chars) for _ in range(32))][i % 4]
+
+    def seconds(n):
+        text = " é ".join(key(i) for i in range(n))
+        df = table(spark, [text])
+        began = time.perf_counter()
+        got = secrets.scanned(df).collect()[0]
+        return text, got, time.perf_counter() - began
+
+    seconds(400)
+    _text, _got, few = seconds(4000)
+    text, got, many = seconds(20_000)
+    base = sorted(spans_by_hand(text))
+    assert [(s["start"], s["kind"], s["end"]) for s in got["base"]] == base
+    free = [m.span() for m in re.finditer(secrets.CANDIDATE, text)]
+    taken = np.zeros(len(text), bool)
+    for a, _kind, b in base:
+        taken[a:b] = True
+    assert [(t["start"], t["end"]) for t in got["tried"]] == [(a, b) for a, b in free if not taken[a:b].any()]
+    assert many < 12 * few + 5, (few, many)
+    print(f"4,000 keys {few:.1f} s, 20,000 keys {many:.1f} s")
+
+
 # --- quality
 
 
