@@ -85,7 +85,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: str, name
     return df.withColumn("_nth", F.row_number().over(inside)).join(carried, [*keys, bucket]).withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_nth", "_before")
 
 
-def recent_samples(samples: DataFrame, size: int = RECENT, bucket_ms: int = 86_400_000, block: int = 4096) -> DataFrame:
+def recent_samples(samples: DataFrame, size: int = RECENT, bucket_ms: int = 3_600_000, block: int = 4096) -> DataFrame:
     """metric, scope, trace_id, trace_start_ms, recent: the last `size` values of strictly earlier traces; for series with one value a trace.
 
     The series are cut into blocks of so many rows, and the last rows of each block also go to the next one, so that

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from itertools import combinations
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,6 +71,12 @@ def attribute(findings: DataFrame, spans: DataFrame, tree: DataFrame) -> DataFra
     return pick_origin(link_causes(order_findings(findings, spans, tree), findings.sparkSession))
 
 
+def to_order(spans: DataFrame, findings: DataFrame) -> DataFrame:
+    """The spans of traces with two findings or more: only there do depth and ancestors matter to order and links, so that the span tree needs no others."""
+    many = findings.groupBy("trace_id").agg(F.count("*").alias("n")).where("n >= 2").select("trace_id")
+    return spans.join(many, "trace_id", "left_semi")
+
+
 def trace_rollup(traces: DataFrame, findings: DataFrame) -> DataFrame:
     f = findings.groupBy("trace_id").agg(F.count("*").alias("finding_count"), F.max_by("severity", severity_rank(F.col("severity"))).alias("worst_severity"))
     return traces.join(f, "trace_id", "left").withColumn("finding_count", F.coalesce("finding_count", F.lit(0)))
@@ -127,11 +137,15 @@ def code_rate(traces: DataFrame, findings: DataFrame, code: str, from_ms=None, t
     return in_range(traces, from_ms, to_ms).join(hit, "trace_id", "left").agg(F.count("hit").alias("with_code"), F.count("*").alias("total"))
 
 
+def cohort_value(traces: DataFrame, key: str) -> Column:
+    """A trace's value of a cohort key: a column, or looked up in attributes."""
+    return (F.col(key) if key in traces.columns else F.try_element_at("attributes", F.lit(key))).cast("string")
+
+
 def cohort_counts(traces: DataFrame, findings: DataFrame, code: str | None = None, keys=COHORT_KEYS, from_ms=None, to_ms=None) -> DataFrame:
     """code, key, value, with_code, total for every code (or one) and every key at once; traces without a value are left out. Keys that are no columns are looked up in attributes."""
     t = in_range(traces, from_ms, to_ms)
-    value = lambda k: F.col(k) if k in traces.columns else F.try_element_at("attributes", F.lit(k))
-    v = t.select("trace_id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), value(k).cast("string").alias("value")) for k in keys])).alias("c")).select("trace_id", "c.*").where("value is not null")
+    v = t.select("trace_id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), cohort_value(t, k).alias("value")) for k in keys])).alias("c")).select("trace_id", "c.*").where("value is not null")
     total = v.groupBy("key", "value").agg(F.count("*").alias("total"))
     f = findings if code is None else findings.where(F.col("code") == code)
     hits = v.join(f.select("trace_id", "code").distinct(), "trace_id").groupBy("code", "key", "value").agg(F.count("*").alias("with_code"))
@@ -154,6 +168,71 @@ def cohort_lift(traces: DataFrame, findings: DataFrame, code: str | None = None,
     return c.select("code", "key", "value", F.round("rate", 4).alias("rate"), F.round("base_rate", 4).alias("base_rate"), F.round("lift", 2).alias("lift"), F.col("total").alias("samples"), said.alias("hypothesis"))
 
 
+def cube(df: DataFrame, keys, most: int, more: list[str], n: str) -> DataFrame:
+    """cohort_keys (names with commas), keys, more, n: sums of n over each combination of up to `most` keys, by grouping sets; rows without a value of a key in a set are left out of it, and keys not in a set are null."""
+    sets = [c for size in range(1, most + 1) for c in combinations(keys, size)]
+    apart = [F.grouping(k).alias(f"_{k}") for k in keys]
+    g = df.groupingSets([[*(F.col(k) for k in c), *(F.col(m) for m in more)] for c in sets], *keys, *more).agg(F.sum(n).alias(n), *apart)
+    g = g.where(" and ".join(f"(`_{k}` = 1 or `{k}` is not null)" for k in keys))
+    return g.select(F.concat_ws(",", *[F.when(F.col(f"_{k}") == 0, k) for k in keys]).alias("cohort_keys"), *keys, *more, n)
+
+
+def cohort_cube(traces: DataFrame, findings: DataFrame, keys=COHORT_KEYS, most: int = 2, from_ms=None, to_ms=None) -> DataFrame:
+    """cohort_keys, keys, code, with_code, total: traces with a code, and all, in each cohort of up to `most` keys at once.
+
+    Traces are counted by all keys together before the grouping sets copy rows, so that what is copied is groups. A
+    trace that has a code several times counts once; traces without a value of a key are in no cohort of that key.
+    """
+    # names that neither clash with other columns nor need quotes within the sets
+    named = {k: f"key{i}" for i, k in enumerate(keys)}
+    t = in_range(traces, from_ms, to_ms)
+    t = t.select("trace_id", *[cohort_value(t, k).alias(c) for k, c in named.items()])
+    cols = list(named.values())
+    totals = cube(t.groupBy(*cols).agg(F.count("*").alias("total")), cols, most, [], "total")
+    hits = t.join(findings.select("trace_id", "code").distinct(), "trace_id").groupBy(*cols, "code").agg(F.count("*").alias("with_code"))
+    hits = cube(hits, cols, most, ["code"], "with_code")
+    same = [hits["cohort_keys"] == totals["cohort_keys"], *[hits[c].eqNullSafe(totals[c]) for c in cols]]
+    names = F.concat_ws(",", *[F.when(F.array_contains(F.split(hits["cohort_keys"], ","), c), k) for k, c in named.items()])
+    return hits.join(totals, same).select(names.alias("cohort_keys"), *[hits[c].alias(k) for k, c in named.items()], "code", "with_code", "total")
+
+
+def cohort_divergence(traces: DataFrame, findings: DataFrame, keys=COHORT_KEYS, most: int = 2, th: dict | None = None, from_ms=None, to_ms=None) -> DataFrame:
+    """Cohorts whose mix of codes departs from that of the rest (ECO-006): cohort_keys, keys, samples, findings, js, top_code, lift, code.
+
+    js is the Jensen-Shannon divergence, to base 2, of the cohort's shares of codes from the other cohorts' of the same
+    keys; top_code is the one whose rate is the most over theirs, by lift. Cohorts without findings, those that are all
+    there is of their keys, and those below the least number of samples or the least lift are left out. A code that only
+    the cohort has counts in js, but has no lift.
+    """
+    th = th or THRESHOLDS
+    c = cohort_cube(traces, findings, keys, most, from_ms, to_ms)
+    # a row a cohort and code; what other cohorts of the keys have comes from sums over few codes and sets of keys
+    codes = c.groupBy("cohort_keys", "code").agg(F.sum("with_code").alias("g"))
+    sets = codes.groupBy("cohort_keys").agg(F.sum("g").alias("all_g"))
+    t = in_range(traces, from_ms, to_ms)
+    t = t.select(*[cohort_value(t, k).alias(f"key{i}") for i, k in enumerate(keys)])
+    known = [F.col(f"key{i}").isNotNull() for i in range(len(keys))]
+    chosen = [x for size in range(1, most + 1) for x in combinations(range(len(keys)), size)]
+    have = F.array(*[F.struct(F.lit(",".join(keys[i] for i in x)).alias("cohort_keys"), reduce(and_, [known[i] for i in x]).alias("there")) for x in chosen])
+    # which keys a trace has, counted before it is taken apart
+    have = t.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(known)]).agg(F.count("*").alias("n"), F.first(have).alias("h")).select("n", F.explode("h").alias("h"))
+    totals = have.where("h.there").groupBy("h.cohort_keys").agg(F.sum("n").alias("all_total"))
+    of = ["cohort_keys", *keys]
+    own = c.groupBy(*of).agg(F.sum("with_code").alias("findings"))
+    a, b = c.alias("a"), own.alias("b")
+    r = a.join(b, reduce(and_, [F.col(f"a.`{x}`").eqNullSafe(F.col(f"b.`{x}`")) for x in of])).select("a.*", "b.findings")
+    r = r.join(codes, ["cohort_keys", "code"]).join(sets, "cohort_keys").join(totals, "cohort_keys").where((F.col("all_g") > F.col("findings")) & (F.col("all_total") > F.col("total")))
+    p, q = F.col("with_code") / F.col("findings"), (F.col("g") - F.col("with_code")) / (F.col("all_g") - F.col("findings"))
+    part = p * F.log2(2 * p / (p + q)) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0)
+    lift = F.when(F.col("g") > F.col("with_code"), F.col("with_code") / F.col("total") / ((F.col("g") - F.col("with_code")) / (F.col("all_total") - F.col("total"))))
+    r = r.withColumns({"part": part, "q": q, "lift": lift})
+    # codes that the cohort lacks add all of their share among the others
+    js = F.greatest(F.lit(0.0), (F.sum("part") + 1 - F.sum("q")) / 2)
+    g = r.groupBy(*of).agg(F.first("total").alias("samples"), F.first("findings").alias("findings"), js.alias("js"), F.max_by("code", F.when(F.col("lift").isNotNull(), F.struct("lift", "code"))).alias("top_code"), F.max("lift").alias("lift"))
+    g = g.where((F.col("samples") >= th["cohort_min_samples"]) & (F.col("js") > 0) & (F.col("lift") >= th["cohort_lift"]))
+    return g.select(*of, "samples", "findings", F.round("js", 6).alias("js"), "top_code", F.round("lift", 4).alias("lift"), F.lit("ECO-006").alias("code"))
+
+
 def alerts_to_send(incidents: DataFrame, alerted: DataFrame, severities=("high", "critical")) -> DataFrame:
     """incident_id, payload of incidents severe enough that no alert has been sent for; the payload holds no content."""
     new = incidents.where(F.col("severity").isin(*severities)).join(alerted.select("incident_id"), "incident_id", "left_anti")

@@ -334,6 +334,17 @@ query("det_eco_cache", on_spans("""SELECT trace_id, NULL::VARCHAR AS span_id, 'E
 HAVING count(*) >= 2 AND sum(cache_read_tokens) > 0 AND sum(cache_read_tokens) / sum(input_tokens) < 0.9"""))(one_detector("eco.cache", thresholds(min_cached_prompt_tokens=100, cache_hit_ratio_floor=0.9)))
 query("det_ret_embedding_weakness", on_spans("""SELECT trace_id, span_id, 'RET-007' AS code, 'medium' AS severity, 0.65::DOUBLE AS confidence FROM spans WHERE kind = 'retriever' AND n_docs >= 5"""))(one_detector("ret.embedding-weakness"))
 
+#: Names of the queries whose findings make up those of all detectors on these spans; the others have no text to look at here.
+_PARTS = [f"det_{x.replace('.', '_').replace('-', '_')}" for x in (*DETECTED, "eco.token-budget", "agt.step-repetition", "agt.missing-verification", "sec.guardrail-bypass", "tol.retry-storm", "tol.excessive-agency", "eco.cache", "ret.embedding-weakness")]
+_ALL_TH = thresholds(token_budget_per_trace=90_000, excessive_tool_calls=1, min_cached_prompt_tokens=100, cache_hit_ratio_floor=0.9, step_repetition_count=2)
+
+
+@query("det_all_one_layout", " UNION ALL ".join(f"SELECT trace_id, span_id, code, severity, round(confidence, 4) AS confidence FROM ({SQL[x]})" for x in _PARTS))
+def all_detectors(spark, d):
+    """All detectors on spans in buckets by trace_id: one exchange for all of them."""
+    return shown(detectors.detect(views.laid_out_spans(spark, d), _ALL_TH))
+
+
 # --- baselines
 
 SAMPLES = f"""starts AS (SELECT trace_id, min(start_ms) AS t0 FROM spans GROUP BY 1),
@@ -498,7 +509,8 @@ ROLES = ", ".join([TREE, FOUND, CLOSURE, ORDERED])
 
 def role_set(spark, d, spans=None) -> DataFrame:
     s = views.shared_spans(spark, d) if spans is None else spans
-    return traces.settled(causes.attribute(finding_set(spark, d, s), s, traces.span_tree(s)))
+    f = views.written(finding_set(spark, d, s), "view-findings")
+    return traces.settled(causes.attribute(f, s, traces.span_tree(causes.to_order(s, f))))
 
 
 _NAMES = ", ".join("('{}', '{}')".format(c, n.replace("'", "''")) for c, n, *_ in tax.MODES)
@@ -554,6 +566,23 @@ query("co2_cohort_counts", on_spans("SELECT code, key, value, with_code, total F
 query("co3_cohort_lift", on_spans("""SELECT code, key, value, round(with_code / total, 4) AS rate, round(hits / n, 4) AS base_rate, round(with_code / total / (hits / n), 2) AS lift, total AS samples FROM cc JOIN ct USING (key, value)
  JOIN (SELECT code, count(DISTINCT trace_id) AS hits FROM f GROUP BY 1) USING (code) CROSS JOIN (SELECT count(*) AS n FROM t) WHERE total >= 20 AND hits / n < 0.9 AND with_code / total / (hits / n) >= 1.05
  QUALIFY row_number() OVER (PARTITION BY code ORDER BY with_code / total / (hits / n) DESC, key, value) <= 5""", ALL + ", " + COHORT))(lambda spark, d: causes.cohort_lift(*both(spark, d), th=thresholds(cohort_lift=1.05)).drop("hypothesis"))
+_SETS = ("service", "environment", "route", "service, environment", "service, route", "environment, route")
+CUBE = """rt AS (SELECT trace_id, service, environment, (SELECT first(route ORDER BY parent_span_id IS NOT NULL, start_ms, span_id) FROM spans s WHERE s.trace_id = t.trace_id) AS route FROM t),
+cu AS (SELECT cohort_keys, service, environment, route, code, count(*) AS with_code FROM fx GROUP BY ALL), ct AS (SELECT cohort_keys, service, environment, route, count(*) AS total FROM tx GROUP BY ALL)"""
+_EACH = " UNION ALL ".join("SELECT trace_id, '{}' AS cohort_keys, {} FROM rt WHERE {}".format(x.replace(", ", ","), ", ".join(k if k in x else f"NULL::VARCHAR AS {k}" for k in ("service", "environment", "route")), " AND ".join(f"{k} IS NOT NULL" for k in x.split(", "))) for x in _SETS)
+CUBE = CUBE.replace("cu AS", f"tx AS ({_EACH}), fx AS (SELECT tx.*, code FROM tx JOIN (SELECT DISTINCT trace_id, code FROM f) USING (trace_id)), cu AS", 1)
+_CUBE_KEYS = ("service", "environment", "route")
+query("co2_cohort_cube", on_spans("SELECT cu.cohort_keys, cu.service, cu.environment, cu.route, code, with_code, total FROM cu JOIN ct ON cu.cohort_keys = ct.cohort_keys AND cu.service IS NOT DISTINCT FROM ct.service AND cu.environment IS NOT DISTINCT FROM ct.environment AND cu.route IS NOT DISTINCT FROM ct.route", ALL + ", " + CUBE))(
+    lambda spark, d: causes.cohort_cube(*both(spark, d), keys=_CUBE_KEYS)
+)
+query("x2_cohort_divergence", on_spans("""SELECT cohort_keys, service, environment, route, samples, findings, round(js, 6) AS js, top_code, round(lift, 4) AS lift, 'ECO-006' AS code FROM
+ (SELECT cohort_keys, service, environment, route, any_value(total) AS samples, sum(c)::BIGINT AS findings, greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS js,
+   arg_max(code, struct_pack(l := lift, c := code)) FILTER (c > 0) AS top_code, max(lift) FILTER (c > 0) AS lift FROM
+  (SELECT *, c / sum(c) OVER w AS p, (g - c) / sum(g - c) OVER w AS q, CASE WHEN g > c THEN c / total / ((g - c) / (all_total - total)) END AS lift FROM
+   (SELECT ct.*, gc.code, coalesce(cu.with_code, 0) AS c, g, all_total FROM ct JOIN (SELECT cohort_keys, code, sum(with_code) AS g FROM cu GROUP BY 1, 2) gc USING (cohort_keys) JOIN (SELECT cohort_keys, sum(total) AS all_total FROM ct GROUP BY 1) USING (cohort_keys)
+     LEFT JOIN cu ON cu.cohort_keys = ct.cohort_keys AND cu.code = gc.code AND cu.service IS NOT DISTINCT FROM ct.service AND cu.environment IS NOT DISTINCT FROM ct.environment AND cu.route IS NOT DISTINCT FROM ct.route)
+   WINDOW w AS (PARTITION BY cohort_keys, service, environment, route)) GROUP BY 1, 2, 3, 4)
+ WHERE samples >= 20 AND js > 0 AND lift >= 1.05""", ALL + ", " + CUBE))(lambda spark, d: causes.cohort_divergence(*both(spark, d), keys=_CUBE_KEYS, th=thresholds(cohort_lift=1.05)))
 query("x1_failure_bursts")(lambda spark, d: causes.failure_bursts(finding_set(spark, d), trace_set(spark, d)))
 
 # --- serving

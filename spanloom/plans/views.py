@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import AGENT, LLM
-from ..shared import written
+from ..shared import laid_out, written
 from ..sources.spans import MESSAGES, finish
 
 TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
@@ -129,6 +129,11 @@ def shared_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dressed(written(flat(spark, sf_dir), "view-spans"))
 
 
+def laid_out_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spans() in buckets by trace_id, so that all that works by trace shares one exchange."""
+    return dressed(laid_out(flat(spark, sf_dir), "trace_id", "view-buckets"))
+
+
 #: V2: each event as a finding-like row of a trace of its own, for both engines.
 EVENTS = """
 SELECT CAST(event_id AS STRING) AS trace_id, CAST(user_id AS STRING) AS user_id, event_type AS service, {epoch} AS start_ms, value AS cost_usd,

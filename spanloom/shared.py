@@ -31,6 +31,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def laid_out(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+    """df, written once as a table in buckets by a hash of key and read back: groups, windows and joins by key (alone or with more) read it without an exchange.
+
+    buckets are as many as the session's shuffle partitions if not given. One shuffle comes before the write, so that a
+    bucket is one file.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, name)
+    table = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -601,3 +601,64 @@ def test_percentiles_without_a_buffer(spark, most, accuracy):
     assert percentiles.percentiles(df.where("false"), [], "value", ps).count() == 0
     sketch = percentiles.merged_percentiles(percentiles.sketches(df.where("k = 'a'"), ["k", F.pmod("value", F.lit(7)).alias("part")], "value"), ["k"], [50]).first()["p50"]
     assert abs(sum(v <= sketch for v in groups["a"]) / 700 - 0.5) < 0.01
+
+
+def test_cohorts_of_several_keys(spark):
+    """Against loops over the combinations: traces without a value, codes twice in a trace, keys that are attributes."""
+    from itertools import combinations
+    from math import log2
+
+    made = random.Random(8)
+    ts = [{"trace_id": str(i), "start_ms": i, "service": made.choice(["a", "b", None]), "environment": made.choice(["x", "y"]), "attributes": {"route": made.choice("uvw")} if i % 5 else {}} for i in range(300)]
+    fs = [{"trace_id": str(i), "code": c} for i in range(300) for c in ("A", "B", "C") if made.random() < (0.7 if c == "A" and ts[i]["service"] == "a" else 0.2) for _ in range(made.randint(1, 2))] + [{"trace_id": "none", "code": "A"}]
+    t, f = spark.createDataFrame(ts, "trace_id string, start_ms long, service string, environment string, attributes map<string,string>"), spark.createDataFrame(fs, "trace_id string, code string")
+    keys = ("service", "environment", "route")
+    value = lambda r, k: r["attributes"].get(k) if k == "route" else r[k]
+    have = {(r["trace_id"], r["code"]) for r in fs}
+    total, hit = {}, {}
+    for size in (1, 2):
+        for ks in combinations(keys, size):
+            for r in ts:
+                if all(value(r, k) is not None for k in ks):
+                    c = (",".join(ks), *[value(r, k) if k in ks else None for k in keys])
+                    total[c] = total.get(c, 0) + 1
+                    for code in "ABC":
+                        hit[c, code] = hit.get((c, code), 0) + ((r["trace_id"], code) in have)
+    got = {((r["cohort_keys"], *[r[k] for k in keys]), r["code"]): (r["with_code"], r["total"]) for r in causes.cohort_cube(t, f, keys).collect()}
+    assert got == {(c, code): (n, total[c]) for (c, code), n in hit.items() if n}
+    rows = {(r["cohort_keys"], *[r[k] for k in keys]): r for r in causes.cohort_divergence(t, f, keys, th=thresholds(cohort_lift=0.5, cohort_min_samples=1)).collect()}
+    for c, r in rows.items():
+        rest = [x for x in total if x[0] == c[0] and x != c]
+        p, q = ([sum(hit[x, code] for x in xs) for code in "ABC"] for xs in ([c], rest))
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        assert r["js"] == pytest.approx(sum(x * log2(2 * x / (x + y)) / 2 for a, b in ((p, q), (q, p)) for x, y in zip(a, b, strict=True) if x), abs=2e-6)
+        lifts = {code: hit[c, code] / total[c] / (sum(hit[x, code] for x in rest) / sum(total[x] for x in rest)) for code in "ABC"}
+        assert r["top_code"] == max(lifts, key=lifts.get) and r["lift"] == pytest.approx(max(lifts.values()), abs=1e-4)
+    assert len(rows) == len(total) and rows[("service", "a", None, None)]["top_code"] == "A"
+    assert causes.cohort_cube(t.limit(0), f, keys).count() == 0 and causes.cohort_divergence(t, f.limit(0), keys).count() == 0
+
+
+def test_detectors_share_one_layout(spark):
+    """Spans in buckets by trace_id: the same findings, and no exchange of spans in the plan of all detectors."""
+    from spanloom.shared import laid_out
+
+    rows = [dict(r, trace_id=f"{n}") for n, (_code, fires, clean) in enumerate(CASES) for r in fires] + [span(0, trace=f"c{i}") for i in range(30)]
+    plain = frame(spark, rows)
+    grouped = tuple(d for d in detectors.DETECTORS if d.id in ("agt.step-repetition", "agt.missing-verification", "sec.guardrail-bypass", "tol.retry-storm"))
+    laid = laid_out(plain, "trace_id", "spans-of-test", 4)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(trace_id")
+    assert exchanges(detectors.detect(plain)) >= 17
+    assert exchanges(detectors.detect(laid)) == 0
+    shown = lambda df: sorted((r["finding_id"], r["code"], r["severity"]) for r in detectors.detect(df, detectors=grouped).collect())
+    assert shown(laid) == shown(plain) and shown(laid)
+
+
+def test_tree_of_traces_with_several_findings_is_enough(spark):
+    """Roles are the same as with the tree of all spans."""
+    rows = [span(0, trace="a"), span(1, "tool", trace="a", status="error", tool=tool(error="no")), span(2, trace="a", llm=llm(finish_reason="length")), span(0, "tool", trace="b", tool=tool(error="no")), span(0, trace="c")]
+    s = frame(spark, rows)
+    few = detectors.detect(s, detectors=tuple(d for d in detectors.DETECTORS if d.id in ("tol.tool-error", "gen.output-truncated", "agt.missing-verification", "eco.token-budget")), th=thresholds(token_budget_per_trace=-1))
+    f = spark.createDataFrame(few.collect(), few.schema)
+    assert {r["trace_id"] for r in causes.to_order(s, f).collect()} == {r["trace_id"] for r in f.groupBy("trace_id").count().where("count >= 2").collect()} >= {"a"}
+    roles = lambda tree: sorted((r["finding_id"], r["position"], r["role"], r["caused_by"] or "") for r in causes.attribute(f, s, tree).collect())
+    assert roles(traces.span_tree(causes.to_order(s, f))) == roles(traces.span_tree(s))
