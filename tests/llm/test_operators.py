@@ -1007,3 +1007,83 @@ def test_quality_repeated_rows_and_no_bad_labels(spark):
 def test_held_out(spark):
     got = {r["id"]: r["h"] for r in spark.range(200).select("id", quality.held_out(F.col("id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)}
+
+
+def features_by_hand(text):
+    """The features of a text of fewer words than a stretch, word by word."""
+    def kind(c):
+        return quality.classes()[ord(c)]
+
+    words, word = [], ""
+    for c in text + " ":
+        if kind(c) == quality.SPACE:
+            words, word = (words + [word] if word else words), ""
+        else:
+            word += c
+    n, of = len(words), lambda k: [sum(kind(c) == k for c in w) for w in words]
+    upper, symbol, digit = of(quality.UPPER), of(quality.SYMBOL), of(quality.DIGIT)
+    per_word = [
+        [u >= max(2, len(w) * 0.6) for u, w in zip(upper, words, strict=True)], [x > 0 for x in symbol], [i > 0 and words[i - 1] == w for i, w in enumerate(words)],
+        [len(w) <= 3 for w in words], [min(len(w), 30) / 10 for w in words], [x > 0 for x in digit], [x > 0 for x in upper],
+    ]
+    means = [sum(x) / n for x in per_word]
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    lines = text.count("\n") + 1
+    return (
+        means * 3 + [sum(kind(c) == k for c in text) / len(text) for k in range(7)] + [min(3, text.count(m) / n) for m in quality.MARKS]
+        + [np.log1p(n), np.log1p(len(text)), np.log1p(n / lines), len(set(words)) / n, np.log(len(set(words)) + 1) / np.log(n + 1.5), (sum((x - mean) ** 2 for x in lengths) / n) ** 0.5 / 10]
+    )
+
+
+def test_features_against_plain_loops():
+    made = random.Random(12)
+    texts = ["One two, THREE 4x!", "a", "same same same\nnext LINE $$ 99", "  é Éa\u00a0ß 漢字 ok-ok\t_x_ "]
+    texts += [" ".join("".join(made.choice("abcXYZ019$!|.é") for _ in range(made.randint(1, 12))) for _ in range(made.randint(1, 60))) for _ in range(40)]
+    for t in texts:
+        assert quality.features(t) == pytest.approx(np.array(features_by_hand(t)), abs=1e-12)
+
+
+@pytest.mark.parametrize(("prior", "steps_back"), [(0.3, False), (0.95, True)])
+def test_risk_steps_against_numeric_slopes(prior, steps_back):
+    """Four steps of fit() on one batch: Adam in plain loops on slopes of the non-negative risk that come from differences of the risk itself."""
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(1, 1, (14, 3)), rng.normal(0, 1, (17, 3))
+    epochs = 4
+    model = quality.Model(np.concatenate([p, u]), 5)
+    xp, xu = model.inputs(p), model.inputs(u)
+    params = [model.w1, model.b1, model.w2, model.b2]
+
+    def risks():
+        zp, zu = model.raw(xp)[1], model.raw(xu)[1]
+        good = prior * sum(np.log1p(np.exp(-z)) for z in zp) / len(zp)
+        bad = sum(np.log1p(np.exp(z)) for z in zu) / len(zu) - prior * sum(np.log1p(np.exp(z)) for z in zp) / len(zp)
+        return good, bad
+
+    moments, squares = [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params]
+    back = []
+    for epoch in range(epochs):
+        back.append(risks()[1] < 0)
+        # where the risk on bad ones is negative, its own slope is gone up and the rest left out
+        aim = (lambda: -risks()[1]) if back[-1] else (lambda: sum(risks()))
+        slopes = []
+        for a in params:
+            g = np.zeros_like(a)
+            for i in np.ndindex(a.shape):
+                kept = a[i]
+                a[i] = kept + 1e-5
+                high = aim()
+                a[i] = kept - 1e-5
+                low = aim()
+                a[i] = kept
+                g[i] = (high - low) / 2e-5
+            slopes.append(g + quality.DECAY * a)
+        rate = quality.RATE * (1 - epoch / epochs) + 1e-4
+        for k, (a, g) in enumerate(zip(params, slopes, strict=True)):
+            moments[k] = 0.9 * moments[k] + 0.1 * g
+            squares[k] = 0.999 * squares[k] + 0.001 * g * g
+            a -= rate * (moments[k] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(squares[k] / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+    assert any(back) == steps_back
+    got = quality.fit(p, u, prior, epochs=epochs)
+    for a, b in zip(params, (got.w1, got.b1, got.w2, got.b2), strict=True):
+        assert b == pytest.approx(a, abs=2e-5)
