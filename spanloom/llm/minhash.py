@@ -1,12 +1,14 @@
-"""Near copies by similarity of shingles: MinHash bands find candidates, the shingles themselves decide.
-
-A document's set is the hashes of its shingles (runs of words). Equal sets become one node. A node has BANDS values,
-each made of ROWS minima of its set under other hash functions; nodes that share a value are candidates, and chains
-of candidates are a crowd. A pair of similarity 0.8 shares no value with probability (1 - 0.8^5)^24, 7e-5, and may
-be in one crowd all the same; no other pair is left out. The sets of a small crowd are compared with each other in one
-go. A large crowd is dealt in parts, each of which is compared with the same few of its nodes, which links most copies
-of one text; then what is left outside of the largest component is compared with all, in blocks. Only links between
-what isn't linked yet are given out, so that no crowd's pairs are listed.
+"""Near copies by similarity of shingles: wide SimHash fingerprints find candidates, the shingles themselves decide.
+
+A document's set is the hashes of its shingles (runs of words). Equal sets become one node. close_sets() in simhash
+looks nodes up by segments of their fingerprints and joins those within the radius of the similarity, with a chance of
+5e-5 at most that it misses a pair of just that similarity; chains of candidates are a crowd. A pair that is missed
+may be in one crowd all the same; no other pair is left out. The sets of a small crowd are compared with each other in
+one go. A large crowd is dealt in parts, each of which is compared with the same few of its nodes, which links most
+copies of one text; then what is left outside of the largest component is compared with all, in blocks. Only links
+between what isn't linked yet are given out, so that no crowd's pairs are listed.
+
+The module has its name from the bands of minima that found candidates before; there are none any more.
 """
 
 from __future__ import annotations
@@ -19,23 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import WORD, counted_join, discard, small_batches, written
 from .line_dedup import row_key
-from .simhash import _LOWER, SEED, components, sized
+from .simhash import _LOWER, SEED, close_sets, components, sized, wide_fingerprint
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
 #: Nodes of a crowd that are compared in one go; of a larger one so many are compared with all, and make a block.
 CROWD = 256
 #: Shingles whose columns are multiplied at a time.
 COLUMNS = 1 << 15
-#: Shingles whose minima are taken at a time.
-BLOCK = 1 << 12
 #: Sets that a task remembers to have given already.
 MEMO = 500_000
 
 _WORD = re.compile(WORD)
-_made = np.random.default_rng(SEED)
-_A = (_made.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _made.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -47,21 +43,11 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([h64(" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))], dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """The values of the bands as signed longs; different bands have different values."""
-    import xxhash
-
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), BLOCK):
-        np.minimum(least, (hashes[None, at : at + BLOCK] * _A[:, None] + _B[:, None]).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(least.reshape(BANDS, ROWS))]
-
-
-SKETCH = "row_key binary, doc_id long, node long, bands array<long>, set array<int>"
+SKETCH = "row_key binary, doc_id long, node long, wide array<long>, set array<int>"
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """row_key, doc_id, node (a hash of the set), and bands and set (the shingles' hashes cut to 32 bits) of each row; a task gives the latter two once for each node, about, so that many copies have few sets."""
+    """row_key, doc_id, node (a hash of the set), and wide (the fingerprint's words) and set (the shingles' hashes cut to 32 bits) of each row; a task gives the latter two once for each node, about, so that many copies have few sets."""
     keyed = docs.select(row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     small_batches(docs.sparkSession)
 
@@ -79,7 +65,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 if not again and len(seen) < MEMO:
                     seen.add(node)
                 nodes.append(node)
-                values.append(None if again else bands(hashes))
+                values.append(None if again else wide_fingerprint(hashes).view(np.int64))
                 sets.append(None if again else np.unique(hashes.astype(np.uint32)).view(np.int32))
             columns = [b.column("row_key"), b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(values, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SKETCH.split(", ")])
@@ -224,11 +210,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHI
     """
     rows = written(sketches(docs, size), "minhash-sketches")
     place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))
-    nodes = written(rows.groupBy("node").agg(F.count("*").alias("rows"), F.min(place).alias("least")), "minhash-nodes")
-    entries = rows.where("bands is not null").select("node", F.explode("bands").alias("value"))
-    # a task gives a node's values once, so that a value has few rows of one node
-    groups = written(entries.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("high"), "minhash-values")
-    chained = counted_join(entries, groups, ["value"], "n").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    nodes = written(rows.groupBy("node").agg(F.count("*").alias("rows"), F.min(place).alias("least"), F.max("wide").alias("wide")), "minhash-nodes")
+    chained = close_sets(nodes, similarity)
     crowd = written(components(chained).withColumnRenamed("root", "crowd"), "minhash-crowds")
     sizes = written(crowd.groupBy("crowd").agg(F.count("*").alias("members")), "minhash-sizes")
     member = counted_join(crowd, sizes, ["crowd"], "members")
@@ -241,6 +224,6 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHI
     named = written(nodes.join(sized(root), "node", "left").select("node", "rows", "least", F.coalesce("root", "node").alias("root")), "minhash-named")
     keepers = written(named.groupBy("root").agg(F.min("least").alias("keep"), F.count("*").alias("members")), "minhash-keepers")
     per_node = written(counted_join(named, keepers, ["root"], "members").select("node", "rows", "keep"), "minhash-classes")
-    discard(nodes, groups, crowd, sizes, sets, root, named, keepers)
+    discard(nodes, crowd, sizes, sets, root, named, keepers)
     found = counted_join(rows.select("row_key", "doc_id", "node"), per_node, ["node"], "rows")
     return found.select("row_key", "doc_id", F.col("keep.doc_id").alias("component_id"), F.col("keep.row_key").alias("keep_key"))

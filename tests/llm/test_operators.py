@@ -782,6 +782,55 @@ def test_near_copies_in_chains_and_crowds(spark, monkeypatch, crowd):
     assert got == dict(enumerate(want)) and len(set(want)) == 51
 
 
+@pytest.mark.parametrize("bucket", [1 << 16, 50])
+def test_near_copies_are_looked_up_by_segments_of_fingerprints(spark, monkeypatch, bucket):
+    """Chains of links are those of all pairs that share a segment and are within the radius; with small buckets values are compared in parts. Without a radius no near copy is found."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    made, prints = np.random.default_rng(5), []
+    for _ in range(60):
+        words = [f"w{made.integers(10**6)}" for _ in range(made.integers(5, 200))]
+        for _ in range(5):
+            prints.append(simhash.wide_fingerprint(minhash.shingles(" ".join(words))))
+            words[made.integers(len(words))] = "other"
+    # crowded values, whose sets differ in every other way
+    prints += [np.concatenate([prints[0][:1], made.integers(0, 2**64, 3, dtype=np.uint64)]) for _ in range(150)]
+    prints = np.array(prints)
+    places, radius, half = simhash.segments(len(prints), 0.8)
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+    differ = lambda a, b, at=slice(None): int((bits[a][at] != bits[b][at]).sum())
+    want, moved = list(range(len(prints))), True
+    links = [(i, j) for i in range(len(prints)) for j in range(i) if differ(i, j) <= radius and differ(i, j, slice(128)) <= half and (bits[i][places] == bits[j][places]).all(axis=1).any()]
+    while moved:
+        old = [*want]
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+        moved = want != old
+    points = spark.createDataFrame([(i, p) for i, p in enumerate(prints.view(np.int64).tolist())], "node long, wide array<long>")
+    root = {r["node"]: r["root"] for r in simhash.components(simhash.close_sets(points, 0.8)).collect()}
+    groups = {}
+    for i in range(len(prints)):
+        groups.setdefault(root.get(i, i), []).append(i)
+    assert sorted(groups.values()) == sorted([i for i in range(len(prints)) if want[i] == w] for w in set(want)) and len(set(want)) < 300
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"])]
+    assert len({r["component_id"] for r in minhash.near_copies(table(spark, texts)).collect()}) == 1
+    monkeypatch.setattr(simhash, "segments", lambda *_: (places, -1, -1))
+    assert len({r["component_id"] for r in minhash.near_copies(table(spark, texts)).collect()}) == 2
+
+
+@pytest.mark.parametrize(("common", "a", "b"), [(4, 0, 1), (8, 1, 1), (16, 0, 4), (80, 10, 10), (400, 50, 50)])
+@pytest.mark.parametrize("points", [100, 10**8])
+def test_fingerprints_miss_few_pairs_of_just_the_similarity(points, common, a, b):
+    made = np.random.default_rng(common)
+    places, radius, half = simhash.segments(points, 0.8)
+    missed = 0
+    for _ in range(2000):
+        h = made.integers(0, 2**64, common + a + b, dtype=np.uint64)
+        x = np.unpackbits((simhash.wide_fingerprint(h[: common + a]) ^ simhash.wide_fingerprint(np.concatenate([h[:common], h[common + a :]]))).view(np.uint8), bitorder="little")
+        missed += x.sum() > radius or x[:128].sum() > half or x[places].any(axis=1).all()
+    assert missed <= 2
+
+
 def test_near_dedup_of_repeated_ids(spark):
     made = random.Random(7)
     words = [f"w{made.randrange(10**5)}" for _ in range(200)]
