@@ -541,6 +541,16 @@ def test_session_pairs_out_of_order(spark, tmp_path):
     assert {t: p for t, p in got.items() if t in want} == want and len(pairs) == len(got)
 
 
+def test_session_pairs_over_centuries(spark, tmp_path):
+    """Conversations over more days than any fixed delay, and beyond the year 2200: each turn has the one before it."""
+    from spanloom.plans.stream_queries import pairs
+
+    turns = [(c, t, "user", "x") for c in (1, 2, 40_000, 90_000, 150_000, 400_000) for t in range(5)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["trace_id"]: r["previous_trace_id"] for r in pairs(spark, str(tmp_path)).collect()}
+    assert got == {f"{c}-{t}": f"{c}-{t - 1}" if t else None for c, t, *_ in turns}
+
+
 def test_incidents_kept_in_any_order(spark, tmp_path):
     from itertools import permutations
 
