@@ -27,21 +27,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once and read back, for what is used more than once: columns that a use doesn't need aren't read."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def laid_out(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+def laid_out(df: DataFrame, key: str, name: str, buckets: int | None = None, dealt: bool = False) -> DataFrame:
     """df, written once as a table in buckets by a hash of key and read back: groups, windows and joins by key (alone or with more) read it without an exchange.
 
     buckets are as many as the session's shuffle partitions if not given. One shuffle comes before the write, so that a
-    bucket is one file.
+    bucket is one file; a df that is dealt by key already, as after a join by it, needs none.
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, name)
     table = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    dealt_rows = df if dealt else df.repartition(n, key)
+    dealt_rows.write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -695,3 +696,46 @@ def test_tree_of_traces_with_several_findings_is_enough(spark):
     assert {r["trace_id"] for r in causes.to_order(s, f).collect()} == {r["trace_id"] for r in f.groupBy("trace_id").count().where("count >= 2").collect()} >= {"a"}
     roles = lambda tree: sorted((r["finding_id"], r["position"], r["role"], r["caused_by"] or "") for r in causes.attribute(f, s, tree).collect())
     assert roles(traces.span_tree(causes.to_order(s, f))) == roles(traces.span_tree(s))
+
+
+def test_links_against_every_pair(spark):
+    """Roles from the trees of tied spans alone, against all pairs of findings: ties in time, traces without any time, and parents that are missing."""
+    r, spans, found = random.Random(5), [], []
+    closure = {(x["cause"], x["effect"]): x["distance"] for x in tax.causal_closure(tax.edges(spark)).collect()}
+    modes = sorted({c for pair in closure for c in pair})
+    for t in range(60):
+        for i in range(r.randint(1, 6)):
+            spans.append({"trace_id": f"t{t}", "span_id": f"s{i}", "parent_span_id": r.choice([None, "gone", *(f"s{j}" for j in range(i))]), "name": f"n{i}", "start_ms": None if t % 7 == 0 else r.choice([10, 10, 20, 30])})
+        for n in range(r.randint(1, 9)):
+            code = r.choice(modes)
+            found.append(Row(finding_id=f"{t}/{n}", trace_id=f"t{t}", span_id=r.choice([None, *(f"s{j}" for j in range(6))]), code=code, severity=r.choice(["high", "critical"]), confidence=r.random(), ordinal=r.randint(0, 3), title=code))
+    s = spark.createDataFrame([Row(**x) for x in spans], "trace_id string, span_id string, parent_span_id string, name string, start_ms long")
+    f = spark.createDataFrame(found, "finding_id string, trace_id string, span_id string, code string, severity string, confidence double, ordinal int, title string")
+    tree = traces.span_tree(s)
+    whole = causes.link_causes(causes.order_findings(f, s, tree), spark).collect()
+    few = causes.tied_spans(s, f)
+    some = causes.link_causes(causes.order_findings(f, s, traces.span_tree(few)), spark).collect()
+    picked = lambda rows: sorted((x["finding_id"], x["position"], x["caused_by"] or "") for x in rows)
+    assert picked(some) == picked(whole) and 0 < few.count() < s.count()
+    by = {(x["trace_id"], x["position"]): x for x in whole}
+    for x in whole:
+        best = None
+        for p in range(1, x["position"]):
+            c = by[x["trace_id"], p]
+            timed = x["span_id"] is not None and c["span_id"] is not None
+            before = (x["at_ms"] is not None and c["at_ms"] <= x["at_ms"]) or c["span_id"] in (x["ancestors"] or []) if timed else c["ordinal"] <= x["ordinal"]
+            if before and (c["code"], x["code"]) in closure:
+                best = min(best or (9, 0, ""), (closure[c["code"], x["code"]], p, c["finding_id"]))
+        assert (x["caused_by"], x["cause_position"]) == ((best[2], best[1]) if best else (None, None))
+    assert sum(x["caused_by"] is not None for x in whole) > 20
+
+
+def test_attribution_joins_no_findings(spark):
+    """Order, links, chains and summaries come from windows by trace_id: nothing is dealt by span or finding."""
+    s = frame(spark, [span(i, "tool", tool=tool(error="no")) for i in range(3)])
+    f = detectors.detect(s, detectors=tuple(d for d in detectors.DETECTORS if d.id == "tol.tool-error"))
+    roles = causes.attribute(f, s, traces.span_tree(causes.tied_spans(s, f)))
+    for df in (causes.causal_chain(roles), causes.summarise(roles)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\((finding_id|caused_by|at#|trace_id#\d+, span_id)", plan)
+    assert causes.causal_chain(roles).first()["codes"] == ["TOL-002"]
