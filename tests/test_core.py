@@ -264,6 +264,17 @@ def test_common_runs_of_whole_texts(spark):
     assert "SEC-004" in {c for c, _ in codes(spark, leak)}
 
 
+def test_shared_runs_go_with_the_length_of_texts(spark):
+    """A text of two million characters: seconds, where each run taken out of it apart would go through it again."""
+    import time
+
+    df = spark.createDataFrame([("é" * 5 + "the vault code is 1234",)], "a string").withColumn("b", F.concat(F.expr("repeat('abc ', 500000)"), F.lit("vault code is 1")))
+    began = time.time()
+    got = df.select(text.shares_run(F.col("a"), F.col("b"), 15).alias("x"), text.shares_run(F.col("a"), F.col("b"), 17).alias("y"), text.shares_run(F.col("a"), F.lit("vault"), 15).alias("z")).first()
+    assert tuple(got) == (True, False, False)
+    assert time.time() - began < 60
+
+
 def test_redaction_at_all_depths(spark):
     deep = spark.createDataFrame([("me@example.org",)], "t string").select(F.struct("t").alias("s"))
     for _ in range(10):
