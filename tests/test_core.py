@@ -750,3 +750,24 @@ def test_attribution_joins_no_findings(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"Exchange hashpartitioning\((finding_id|caused_by|at#|trace_id#\d+, span_id)", plan)
     assert causes.causal_chain(roles).first()["codes"] == ["TOL-002"]
+
+
+def test_spans_of_one_trace_are_all_that_is_laid_out(spark):
+    from spanloom.plans import views
+
+    s = views.shared_spans(spark, "/root/testdata/sf0.001", "trace_id = '7'")
+    assert {r["trace_id"] for r in s.select("trace_id").collect()} == {"7"}
+
+
+def test_rounds_of_the_tree_leave_one_table(spark):
+    """A chain of 40 spans takes several rounds; the table of each is deleted once the next is written."""
+    import os
+
+    from spanloom.shared import shared_dir
+
+    place = shared_dir(spark).removeprefix("file://")
+    tables = lambda: {x for x in os.listdir(place) if x.startswith("span-tree-")} if os.path.isdir(place) else set()
+    before = tables()
+    s = frame(spark, [span(i, parent_span_id=f"s{i - 1}" if i else None) for i in range(40)])
+    assert max(r["depth"] for r in traces.span_tree(s).collect()) == 39
+    assert len(tables() - before) == 1
